@@ -68,9 +68,26 @@ def smallest_per_stratum(
     return whole.unionByName(edge.select(*df.columns))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, bucket: Column, out: str) -> DataFrame:
-    """Rank of each row's value among its key's rows, ties sharing their mean rank."""
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = 4096) -> DataFrame:
+    """Rank of each row's value among its key's rows, ties sharing their mean rank.
+
+    Values are counted first; the distinct values are then ranked by a scan over equal slices of each key's range.
+    """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranked = running_before(counts, keys, value, bucket, {"_before": ("sum", "_n")})
+    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    slice_width = (F.col("_hi") - F.col("_lo")) / buckets
+    slice_number = F.when(slice_width > 0, F.floor((F.col(value) - F.col("_lo")) / slice_width)).otherwise(0)
+    ranked = running_before(counts.join(span, keys), keys, value, slice_number, {"_before": ("sum", "_n")})
     ranks = ranked.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*keys, value])
+
+
+def number_rows(df: DataFrame, strata: list[str], draw: Column, tie: str, out: str, coarse_bits: int = 16) -> DataFrame:
+    """Number the rows of each stratum 0, 1, 2 ... in the order of a non-negative long draw."""
+    drawn = df.withColumn("_draw", draw).withColumn("_range", F.shiftrightunsigned("_draw", 63 - coarse_bits))
+    counts = drawn.groupBy(*strata, "_range").agg(F.count("*").alias("_n"))
+    across = Window.partitionBy(*strata).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*strata, "_range", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*strata, "_range").orderBy("_draw", tie)
+    numbered = drawn.withColumn("_row", F.row_number().over(inside)).join(offsets, [*strata, "_range"])
+    return numbered.select(*df.columns, (F.col("_offset") + F.col("_row") - 1).alias(out))
