@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readframe.functions.bind import let
+
 # The token patterns of the three string formats.
 CIGAR_TOKEN = r"(\d+)([MID])"
 MD_TOKEN = r"\d+|\^[A-Z]+|[A-Z]"
@@ -125,14 +127,16 @@ def shift_by_indels(errors: Column) -> Column:
 
 def restore_substitutions(seq: Column, errors: Column) -> Column:
     """Put the reference base back at every substituted position; the last error at a position wins."""
-    wanted = F.filter(errors, lambda e: e["kind"].isin("A", "C", "G", "T"))
     letters = F.regexp_extract_all(seq, F.lit(r"[\s\S]"), F.lit(0))
 
-    def restored(letter: Column, index: Column) -> Column:
-        here = F.filter(wanted, lambda e: e["pos"] == index + 1)
-        return F.coalesce(F.try_element_at(here, F.lit(-1))["kind"], letter)
+    def restored(wanted: Column) -> Column:
+        def at(letter: Column, index: Column) -> Column:
+            here = F.filter(wanted, lambda e: e["pos"] == index + 1)
+            return F.coalesce(F.try_element_at(here, F.lit(-1))["kind"], letter)
+
+        return F.when(F.size(wanted) == 0, seq).otherwise(F.array_join(F.transform(letters, at), ""))
 
-    return F.when(F.size(wanted) == 0, seq).otherwise(F.array_join(F.transform(letters, restored), ""))
+    return let(F.filter(errors, lambda e: e["kind"].isin("A", "C", "G", "T")), restored)
 
 
 def nominal_rates(dataset: Column) -> tuple[Column, Column]:

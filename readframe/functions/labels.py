@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readframe.functions.bind import let
+
 # Labels that may follow a label, for six and for four classes.
 LEGAL_SIX = {0: (0, 2, 4), 1: (1, 3, 5), 2: (1, 5), 3: (0, 2, 4), 4: (1, 3, 5), 5: (0, 2, 4)}
 LEGAL_FOUR = {0: (0, 2), 1: (1, 3), 2: (1,), 3: (0, 2)}
@@ -31,27 +33,31 @@ def _at(labels: Column, index: Column) -> Column:
 
 
 def mark_indel_borders(labels: Column) -> Column:
-    """0 -> 1 becomes 4; then the last 1 before a 0 becomes 5 (a codon already marked 4 stays 4)."""
-    opened = F.transform(
-        labels, lambda x, i: F.when((x == 1) & (_at(labels, i - 1) == 0), F.lit(4)).otherwise(x).cast("tinyint")
-    )
-    closed = F.transform(
-        opened, lambda x, i: F.when((x == 1) & (_at(opened, i + 1) == 0), F.lit(5)).otherwise(x).cast("tinyint")
-    )
-    mixed = F.array_contains(labels, F.lit(0).cast("tinyint")) & F.array_contains(labels, F.lit(1).cast("tinyint"))
-    return F.when(mixed, closed).otherwise(labels)
+    """The first 1 after a 0 becomes 4; a 1 before a 0 that is not such a first one becomes 5."""
+
+    def border(x: Column, i: Column, bound: Column) -> Column:
+        opens = F.coalesce(_at(bound, i - 1) == 0, F.lit(False))
+        closes = F.coalesce(_at(bound, i + 1) == 0, F.lit(False))
+        marked = F.when(x != 1, x).when(opens, 4).when(closes, 5).otherwise(x)
+        return marked.cast("tinyint")
+
+    return let(labels, lambda bound: F.transform(bound, lambda x, i: border(x, i, bound)))
 
 
 def codon_labels(nt_labels: Column) -> Column:
     """One label per codon: 0 if any of its bases is 0, else that of its first base."""
-    n = F.size(nt_labels)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(3))).otherwise(F.array().cast("array<int>"))
 
-    def one(i: Column) -> Column:
-        codon = F.slice(nt_labels, i + 1, 3)
-        return F.when(F.exists(codon, lambda x: x == 0), F.lit(0)).otherwise(_at(nt_labels, i)).cast("tinyint")
+    def per_codon(bound: Column) -> Column:
+        n = F.size(bound)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(3))).otherwise(F.array().cast("array<int>"))
 
-    return F.transform(starts, one)
+        def one(i: Column) -> Column:
+            codon = F.slice(bound, i + 1, 3)
+            return F.when(F.exists(codon, lambda x: x == 0), F.lit(0)).otherwise(_at(bound, i)).cast("tinyint")
+
+        return F.transform(starts, one)
+
+    return F.when(nt_labels.isNotNull(), let(nt_labels, per_codon))
 
 
 def pad_labels(labels: Column, length: int) -> Column:
@@ -77,7 +83,10 @@ def trim_at_eos(labels: Column, tokens: Column, eos: int) -> Column:
 
 def segments(labels: Column, frame: int) -> Column:
     """Runs of coding labels in one frame as (start, end, frame, start_type, end_type), 1-based inclusive."""
+    return let(labels, lambda bound: _segments(bound, frame))
 
+
+def _segments(labels: Column, frame: int) -> Column:
     def inside(i: Column) -> Column:
         return F.coalesce(_at(labels, i).isin(1, 2, 4), F.lit(False))
 
@@ -102,6 +111,10 @@ def segments(labels: Column, frame: int) -> Column:
 
 def truth_intervals(labels: Column, frame: int) -> Column:
     """Runs of start/coding labels up to and with a stop as (start, end, rf); a lone stop is a 3-base interval."""
+    return let(labels, lambda bound: _truth_intervals(bound, frame))
+
+
+def _truth_intervals(labels: Column, frame: int) -> Column:
 
     def body(i: Column) -> Column:
         return F.coalesce(_at(labels, i).isin(1, 2), F.lit(False))
@@ -125,6 +138,10 @@ def truth_intervals(labels: Column, frame: int) -> Column:
 
 def coding_fragments(residues: Column, labels: Column) -> Column:
     """Residue strings under each run of label 1; ``residues`` is an array of letters."""
+    return let(residues, lambda r: let(labels, lambda x: _coding_fragments(r, x)))
+
+
+def _coding_fragments(residues: Column, labels: Column) -> Column:
 
     def coding(i: Column) -> Column:
         return F.coalesce(_at(labels, i) == 1, F.lit(False))
@@ -135,35 +152,51 @@ def coding_fragments(residues: Column, labels: Column) -> Column:
     return F.zip_with(opens, shuts, lambda a, b: F.array_join(F.slice(residues, a + 1, b - a + 1), ""))
 
 
-def _label_fold(cds: Column, base: Column, frame_start: Column) -> Column:
-    """Label of the base at genome position ``base``.
+def _paint(cds: Column, first_base: Column, n: Column, step: int) -> Column:
+    """Labels of ``n`` places, ``step`` bases apart, from the CDSs of one frame in list order.
 
-    Only CDSs in the frame that opens at ``frame_start`` count.  Start and stop win over coding; among them the later
-    CDS in the list wins.
+    Each CDS is laid over the array as three stretches.  Its start and stop replace what is there, coding only fills 0;
+    a later CDS therefore wins among starts and stops.
     """
-
-    def step(label: Column, c: Column) -> Column:
-        inside = base.between(c["start"], c["end"])
-        in_frame = F.pmod(c["start"] - frame_start, F.lit(3)) == 0
-        return (
-            F.when(~(inside & in_frame), label)
-            .when(base < c["start"] + 3, F.lit(2))
-            .when(base > c["end"] - 3, F.lit(3))
-            .when(label == 0, F.lit(1))
-            .otherwise(label)
+    codon = 3 // step
+
+    def stretch(low: Column, high: Column, value: int) -> Column:
+        return F.array_repeat(F.lit(value), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+
+    def kept(labels: Column, low: Column, high: Column) -> Column:
+        return F.slice(labels, (low + 1).cast("int"), F.greatest(high - low + 1, F.lit(0)).cast("int"))
+
+    def lay(labels: Column, c: Column) -> Column:
+        s0, e1 = F.floor((c["start"] - first_base) / step), F.floor((c["end"] - first_base) / step)
+        last = n - 1
+        s1 = F.least(s0 + codon - 1, e1)
+        e0 = F.greatest(e1 - codon + 1, s1 + 1)
+        zero = F.lit(0)
+        inner = kept(labels, F.greatest(s1 + 1, zero), F.least(e0 - 1, last))
+        laid = F.concat(
+            kept(labels, zero, s0 - 1),
+            stretch(F.greatest(s0, zero), F.least(s1, last), 2),
+            F.transform(inner, lambda x: F.when(x == 0, 1).otherwise(x)),
+            stretch(F.greatest(e0, zero), F.least(e1, last), 3),
+            kept(labels, F.greatest(e1 + 1, zero), last),
         )
+        return F.when((e1 < 0) | (s0 > last), labels).otherwise(laid)
+
+    return F.aggregate(cds, F.array_repeat(F.lit(0), n.cast("int")), lay)
 
-    return F.aggregate(cds, F.lit(0), step)
+
+def _in_frame(cds: Column, frame_start: Column) -> Column:
+    return F.filter(cds, lambda c: F.pmod(c["start"] - frame_start, F.lit(3)) == 0)
 
 
 def frame_labels(read_start: Column, read_length: Column, cds: Column, frame: int) -> Column:
-    """Codon labels of an indel-free read in one frame; ``cds`` holds (start, end) in genome coordinates."""
-    frame_start = (read_start + frame).cast("int")
+    """Codon labels of an indel-free read in one frame; ``cds`` holds (start, end) in genome coordinates.
+
+    The label of a codon is that of its first base.
+    """
+    frame_start = (read_start + frame).cast("long")
     n = F.floor((read_length - frame) / 3).cast("int")
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    # Only CDSs of this frame reach the inner loop.
-    own = F.filter(cds, lambda c: F.pmod(c["start"] - frame_start, F.lit(3)) == 0)
-    return F.transform(idx, lambda k: _label_fold(own, frame_start + 3 * k, frame_start).cast("tinyint"))
+    return F.transform(_paint(_in_frame(cds, frame_start), frame_start, n, 3), lambda x: x.cast("tinyint"))
 
 
 def _matched_pieces(ops: Column, frame: int) -> Column:
@@ -198,22 +231,18 @@ def nt_labels_with_indels(read_start: Column, read_length: Column, cds: Column,
     CDSs move by +len at an insertion and -len at a deletion; inserted bases are 0.  NULL if the CIGAR covers fewer
     bases than the frame holds.
     """
-    frame_start = (read_start + frame).cast("int")
+    frame_start = (read_start + frame).cast("long")
     wanted = (F.floor((read_length - frame) / 3) * 3).cast("int")
-    pieces = _matched_pieces(ops, frame)
 
     def piece_labels(p: Column) -> Column:
         moved = F.transform(
             cds, lambda c: F.struct((c["start"] + p["shift"]).alias("start"), (c["end"] + p["shift"]).alias("end"))
         )
-        own = F.filter(moved, lambda c: F.pmod(c["start"] - frame_start, F.lit(3)) == 0)
-        return F.when(
-            p["op"] == "M",
-            F.transform(F.sequence(p["from"], p["to"] - 1), lambda j: _label_fold(own, frame_start + j, frame_start)),
-        ).otherwise(F.array_repeat(F.lit(0), p["to"] - p["from"]))
-
-    labels = F.slice(F.flatten(F.transform(pieces, piece_labels)), F.lit(1), wanted)
-    return F.when(F.size(labels) == wanted, labels)
+        painted = _paint(_in_frame(moved, frame_start), frame_start + p["from"], p["to"] - p["from"], 1)
+        return F.when(p["op"] == "M", painted).otherwise(F.array_repeat(F.lit(0), p["to"] - p["from"]))
+
+    labels = F.slice(F.flatten(F.transform(_matched_pieces(ops, frame), piece_labels)), F.lit(1), wanted)
+    return let(labels, lambda bound: F.when(F.size(bound) == wanted, bound))
 
 
 def insertion_positions(ops: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readframe.functions.bind import let
+
 # The standard genetic code, codons in T, C, A, G order, and the letters the cleaning step allows.
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -114,7 +116,7 @@ def _hits(letters: Column, base: str) -> Column:
 def one_hot(seq: Column) -> Column:
     """Four rows (A, C, G, T) of 0/1 floats, one per base; N and other letters are 0 in all rows."""
     letters = F.regexp_extract_all(seq, F.lit(r"[\s\S]"), F.lit(0))
-    return F.array(*[_hits(letters, base) for base in "ACGT"])
+    return let(letters, lambda bound: F.array(*[_hits(bound, base) for base in "ACGT"]))
 
 
 def codon_features(seq: Column) -> Column:
@@ -137,11 +139,15 @@ def token_ids(residues: Column, vocabulary: dict[str, int], max_codons: int) ->
     unknown = F.lit(vocabulary["<unk>"])
     body = F.transform(F.slice(residues, 1, max_codons), lambda r: F.coalesce(F.try_element_at(lookup, r), unknown))
     ids = F.concat(F.array(F.lit(vocabulary["<cls>"])), body, F.array(F.lit(vocabulary["<eos>"])))
-    missing = F.lit(max_codons + 2) - F.size(ids)
-    return F.struct(
-        F.concat(ids, F.array_repeat(F.lit(vocabulary["<pad>"]), missing)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
-    )
+
+    def padded(bound: Column) -> Column:
+        missing = F.lit(max_codons + 2) - F.size(bound)
+        return F.struct(
+            F.concat(bound, F.array_repeat(F.lit(vocabulary["<pad>"]), missing)).alias("input_ids"),
+            F.concat(F.array_repeat(F.lit(1), F.size(bound)), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
+        )
+
+    return let(ids, padded)
 
 
 def hash_percent_millionths(*parts: Column) -> Column:
