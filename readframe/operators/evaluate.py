@@ -168,7 +168,7 @@ def codon_confusion(
         first = F.greatest(F.floor((F.col("start") - 1 - F.col("rf")) / 3), F.lit(0)).cast("int")
         last = (F.floor((F.col("end") - F.col("rf")) / 3) - 1).cast("int")
         ranges = spans.select(*keys, "rf", first.alias("a"), last.alias("b")).filter("a <= b")
-        split = ranges.withColumn("word", F.explode(F.expr("sequence(a div 64, b div 64)")).cast("int"))
+        split = ranges.withColumn("word", F.explode(F.expr("cast(sequence(a div 64, b div 64) as array<int>)")))
         low = F.greatest(F.col("a") - F.col("word") * 64, F.lit(0))
         high = F.least(F.col("b") - F.col("word") * 64, F.lit(63))
         # Bits low..high: all ones, moved left to start at low, without those above high.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from readframe.functions.metrics import f1, ratio
 from readframe.operators.scan import average_ranks
+from readframe.session import cut_lineage
 
 # The settings of the paired test.
 PERMUTATIONS = 1000
@@ -21,7 +22,8 @@ MIN_SHARED_GENOMES = 5
 
 def spearman(scores: DataFrame, keys: list[str], x: str, y: str, min_rows: int = 3) -> DataFrame:
     """Rank correlation of two columns per key: rho, n and its t statistic; keys with fewer rows are left out."""
-    data = scores.select(*keys, x, y).dropna(subset=[x, y])
+    # The metric table is read several times; what made it is not run again.
+    data = cut_lineage(scores.select(*keys, x, y).dropna(subset=[x, y]))
     ranked = average_ranks(average_ranks(data, keys, x, "_rx"), keys, y, "_ry")
     out = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
     spread = F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho"))
@@ -38,7 +40,7 @@ def box_numbers(scores: DataFrame, keys: list[str], value: str, digits: int = 6)
 
     Exact percentiles keep one counter per distinct value; values are rounded first, which bounds that number.
     """
-    rounded = scores.select(*keys, F.round(F.col(value).cast("double"), digits).alias("_v"))
+    rounded = cut_lineage(scores.select(*keys, F.round(F.col(value).cast("double"), digits).alias("_v")))
     stats = rounded.groupBy(*keys).agg(
         F.count("_v").alias("n"),
         F.avg("_v").alias("mean"),
@@ -99,6 +101,7 @@ def sequence_accuracy(pairs: DataFrame) -> DataFrame:
         .groupBy("seq_desc", "t", "p")
         .agg(F.count("*").alias("n"))
     )
+    cells = cut_lineage(cells)
     # From here on the tables hold at most types x classes^2 rows.
     both = cells.groupingSets([[F.col("seq_desc"), F.col("t"), F.col("p")], [F.col("t"), F.col("p")]], "seq_desc", "t", "p").agg(
         (F.grouping_id() > 0).alias("is_total"), F.sum("n").cast("double").alias("n")
@@ -208,7 +211,7 @@ def permutation_test(
     per distinct difference instead of one per read.  Each difference seeds its own generator, so a rerun task
     repeats its draws.
     """
-    vectors = _pair_counts(read_counts, models, min_genomes)
+    vectors = cut_lineage(_pair_counts(read_counts, models, min_genomes))
     deltas = (
         vectors.select(*PAIR, *[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in ("tp", "fp", "fn")], "n")
         .filter("tp != 0 or fp != 0 or fn != 0")

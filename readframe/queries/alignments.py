@@ -335,8 +335,8 @@ def caller_pieces(t):
     """Predicted CDSs cut at two indel positions each."""
     from readframe.sources.tables import caller_pieces as cut
 
-    calls = t("pred").filter("model = 'small'").select(
-        "read_name", F.xxhash64("read_name", "start", "end", "rf").alias("call"), "start", "end", "rf",
+    calls = t("pred").select(
+        "read_name", F.xxhash64("model", "read_name", "start", "end", "rf").alias("call"), "start", "end", "rf",
         F.array((F.col("start") + 10).cast("int")).alias("insertions"), F.array((F.col("end") - 9).cast("int")).alias("deletions"),
     )
     return cut(calls, READ_LENGTH).select("read_name", "cds_group", "start", "end", "rf")

@@ -1,6 +1,6 @@
 """All queries; importing a module registers what it defines."""
 
-from readframe.queries import alignments, labels, sequences  # noqa: F401
+from readframe.queries import alignments, evaluation, genomes, labels, sequences  # noqa: F401
 from readframe.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
