@@ -81,12 +81,12 @@ def trim_at_eos(labels: Column, tokens: Column, eos: int) -> Column:
     return F.slice(labels, F.lit(1), F.greatest(found, F.lit(1)))
 
 
-def segments(labels: Column, frame: int) -> Column:
+def segments(labels: Column, frame: Column | int) -> Column:
     """Runs of coding labels in one frame as (start, end, frame, start_type, end_type), 1-based inclusive."""
     return let(labels, lambda bound: _segments(bound, frame))
 
 
-def _segments(labels: Column, frame: int) -> Column:
+def _segments(labels: Column, frame: Column | int) -> Column:
     def inside(i: Column) -> Column:
         return F.coalesce(_at(labels, i).isin(1, 2, 4), F.lit(False))
 
@@ -109,12 +109,12 @@ def _segments(labels: Column, frame: int) -> Column:
     return F.zip_with(opens, shuts, run).cast(SEGMENT_TYPE)
 
 
-def truth_intervals(labels: Column, frame: int) -> Column:
+def truth_intervals(labels: Column, frame: Column | int) -> Column:
     """Runs of start/coding labels up to and with a stop as (start, end, rf); a lone stop is a 3-base interval."""
     return let(labels, lambda bound: _truth_intervals(bound, frame))
 
 
-def _truth_intervals(labels: Column, frame: int) -> Column:
+def _truth_intervals(labels: Column, frame: Column | int) -> Column:
 
     def body(i: Column) -> Column:
         return F.coalesce(_at(labels, i).isin(1, 2), F.lit(False))
@@ -136,6 +136,11 @@ def _truth_intervals(labels: Column, frame: int) -> Column:
     ).cast(INTERVAL_TYPE)
 
 
+def in_all_frames(columns: list[str], runs) -> Column:
+    """``runs(labels, frame)`` of the three frames' label columns in one array."""
+    return F.flatten(F.transform(F.array(*[F.col(c) for c in columns]), runs))
+
+
 def coding_fragments(residues: Column, labels: Column) -> Column:
     """Residue strings under each run of label 1; ``residues`` is an array of letters."""
     return let(residues, lambda r: let(labels, lambda x: _coding_fragments(r, x)))
@@ -168,19 +173,25 @@ def _paint(cds: Column, first_base: Column, n: Column, step: int) -> Column:
 
     def lay(labels: Column, c: Column) -> Column:
         s0, e1 = F.floor((c["start"] - first_base) / step), F.floor((c["end"] - first_base) / step)
-        last = n - 1
-        s1 = F.least(s0 + codon - 1, e1)
-        e0 = F.greatest(e1 - codon + 1, s1 + 1)
+        ends = F.struct(s0.alias("s0"), e1.alias("e1"), (n - 1).alias("last"))
+        return let(ends, lambda e: let(borders(e), lambda b: laid(labels, b)))
+
+    def borders(e: Column) -> Column:
+        s1 = F.least(e["s0"] + codon - 1, e["e1"])
+        e0 = F.greatest(e["e1"] - codon + 1, s1 + 1)
+        return F.struct(e["s0"].alias("s0"), s1.alias("s1"), e0.alias("e0"), e["e1"].alias("e1"), e["last"].alias("last"))
+
+    def laid(labels: Column, b: Column) -> Column:
         zero = F.lit(0)
-        inner = kept(labels, F.greatest(s1 + 1, zero), F.least(e0 - 1, last))
-        laid = F.concat(
-            kept(labels, zero, s0 - 1),
-            stretch(F.greatest(s0, zero), F.least(s1, last), 2),
+        inner = kept(labels, F.greatest(b["s1"] + 1, zero), F.least(b["e0"] - 1, b["last"]))
+        whole = F.concat(
+            kept(labels, zero, b["s0"] - 1),
+            stretch(F.greatest(b["s0"], zero), F.least(b["s1"], b["last"]), 2),
             F.transform(inner, lambda x: F.when(x == 0, 1).otherwise(x)),
-            stretch(F.greatest(e0, zero), F.least(e1, last), 3),
-            kept(labels, F.greatest(e1 + 1, zero), last),
+            stretch(F.greatest(b["e0"], zero), F.least(b["e1"], b["last"]), 3),
+            kept(labels, F.greatest(b["e1"] + 1, zero), b["last"]),
         )
-        return F.when((e1 < 0) | (s0 > last), labels).otherwise(laid)
+        return F.when((b["e1"] < 0) | (b["s0"] > b["last"]), labels).otherwise(whole)
 
     return F.aggregate(cds, F.array_repeat(F.lit(0), n.cast("int")), lay)
 
@@ -189,7 +200,7 @@ def _in_frame(cds: Column, frame_start: Column) -> Column:
     return F.filter(cds, lambda c: F.pmod(c["start"] - frame_start, F.lit(3)) == 0)
 
 
-def frame_labels(read_start: Column, read_length: Column, cds: Column, frame: int) -> Column:
+def frame_labels(read_start: Column, read_length: Column, cds: Column, frame: Column | int) -> Column:
     """Codon labels of an indel-free read in one frame; ``cds`` holds (start, end) in genome coordinates.
 
     The label of a codon is that of its first base.
@@ -199,7 +210,7 @@ def frame_labels(read_start: Column, read_length: Column, cds: Column, frame: in
     return F.transform(_paint(_in_frame(cds, frame_start), frame_start, n, 3), lambda x: x.cast("tinyint"))
 
 
-def _matched_pieces(ops: Column, frame: int) -> Column:
+def _matched_pieces(ops: Column, frame: Column | int) -> Column:
     """(op, from, to, shift) per operation: labelled positions from <= j < to, and the CDS shift in force.
 
     The frame offset is taken from the first operation; an operation with nothing left is skipped.
@@ -225,7 +236,7 @@ def _matched_pieces(ops: Column, frame: int) -> Column:
     return F.aggregate(kept, start, step, lambda state: state["pieces"])
 
 
-def nt_labels_with_indels(read_start: Column, read_length: Column, cds: Column, ops: Column, frame: int) -> Column:
+def nt_labels_with_indels(read_start: Column, read_length: Column, cds: Column, ops: Column, frame: Column | int) -> Column:
     """Base labels of one frame of a read with insertions and deletions.
 
     CDSs move by +len at an insertion and -len at a deletion; inserted bases are 0.  NULL if the CIGAR covers fewer

@@ -83,9 +83,9 @@ def strict_translation(seq: Column) -> Column:
     return F.when(~F.array_contains(residues, UNKNOWN_RESIDUE), F.array_join(residues, ""))
 
 
-def frame_sequence(seq: Column, frame: int) -> Column:
+def frame_sequence(seq: Column, frame: Column | int) -> Column:
     """The read from the first base of a reading frame on."""
-    return F.substr(seq, F.lit(frame + 1))
+    return F.substr(seq, F.lit(frame) + 1)
 
 
 def three_frames(seq: Column) -> Column:

@@ -290,7 +290,7 @@ def _certain(t):
 
 
 def _nonzero(reads, labels):
-    frames = F.array(*[F.struct(F.lit(rf).alias("rf"), labels(rf).alias("labels")) for rf in range(3)])
+    frames = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda rf: F.struct(rf.alias("rf"), labels(rf).alias("labels")))
     rows = reads.select("read_id", F.inline(frames)).select("read_id", "rf", F.posexplode("labels").alias("codon", "label"))
     return rows.filter("label != 0")
 
@@ -324,10 +324,9 @@ def _nonzero(reads, labels):
 def frame_labels_with_indels(t):
     """Non-zero codon labels of all reads through their CIGAR."""
     reads = I.attach_cds(_placed(t), _certain(t), READ_LENGTH)
-    ops = E.parse_cigar(F.col("cigar"))
-    return _nonzero(
-        reads, lambda rf: L.codon_labels(L.nt_labels_with_indels(F.col("start"), F.lit(READ_LENGTH), F.col("cds"), ops, rf))
-    )
+    reads = reads.withColumn("ops", E.parse_cigar(F.col("cigar")))
+    labels = lambda rf: L.nt_labels_with_indels(F.col("start"), F.lit(READ_LENGTH), F.col("cds"), F.col("ops"), rf)
+    return _nonzero(reads, lambda rf: L.codon_labels(labels(rf)))
 
 
 @query()

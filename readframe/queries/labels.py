@@ -25,7 +25,7 @@ _CELLS = """
 
 
 def _frames(t, fn):
-    rows = F.array(*[F.struct(F.lit(rf).alias("rf"), fn(F.col(c), rf).alias("x")) for rf, c in enumerate(FRAMES)])
+    rows = F.transform(F.array(*[F.col(c) for c in FRAMES]), lambda labels, rf: F.struct(rf.alias("rf"), fn(labels, rf).alias("x")))
     return t("labelled").select("name", F.inline(rows))
 
 
@@ -61,7 +61,7 @@ def indel_borders(t):
     from bodies"""
 )
 def label_segments(t):
-    runs = F.concat(*[L.segments(F.col(c), rf) for rf, c in enumerate(FRAMES)])
+    runs = L.in_all_frames(FRAMES, L.segments)
     return t("labelled").select("name", F.inline(runs))
 
 
@@ -76,7 +76,7 @@ def label_segments(t):
     from marked where label in (1, 2, 3) group by name, rf, run"""
 )
 def truth_intervals(t):
-    runs = F.concat(*[L.truth_intervals(F.col(c), rf) for rf, c in enumerate(FRAMES)])
+    runs = L.in_all_frames(FRAMES, L.truth_intervals)
     return t("labelled").select("name", F.inline(runs))
 
 
@@ -240,7 +240,7 @@ def called_features(t):
 @query()
 def chained_segments(t):
     """Label runs of each read with indel borders marked, chained over frameshifts."""
-    runs = F.concat(*[L.segments(L.mark_indel_borders(F.col(c)), rf) for rf, c in enumerate(FRAMES)])
+    runs = L.in_all_frames(FRAMES, lambda labels, rf: L.segments(L.mark_indel_borders(labels), rf))
     chained = X.chain_segments(t("labelled").select("name", runs.alias("segments")), min_length=30)
     return chained.select("name", F.inline("segments"))
 
@@ -248,6 +248,6 @@ def chained_segments(t):
 @query()
 def truth_chains(t):
     """Truth intervals of each read chained over small gaps."""
-    runs = F.concat(*[L.truth_intervals(F.col(c), rf) for rf, c in enumerate(FRAMES)])
+    runs = L.in_all_frames(FRAMES, L.truth_intervals)
     chained = X.chain_truth_fragments(t("labelled").select("name", "length", runs.alias("cds_coords")))
     return chained.select("name", F.inline("cds_coords"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ def local_session(cores: int | str = 8, app: str = "readframe", **conf: str) ->
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -24,16 +26,33 @@ def local_session(cores: int | str = 8, app: str = "readframe", **conf: str) ->
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan to all cores if it comes in fewer pieces than there are cores.
+
+    For inputs that cannot be split, such as a gzip file or one small Parquet file, ahead of work that is heavy per
+    row.  A large input has more pieces than that and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session without it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="readframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+    """Write a table that is read several times to the shared folder and go on from there.
 
-    Only a local session without that setting gets a folder of its own.
+    The rows are made once, survive lost executors, and come back with the sizes that join planning needs.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="readframe-"))
-    return df.checkpoint()
+    path = f"{_shared_folder(spark).rstrip('/')}/readframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
