@@ -52,28 +52,23 @@ DERIVED = {
                cast(l.l_quantity as int) as qty, l.l_partkey as partkey, l.l_suppkey as suppkey
         from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey""",
     "truth": """
-        select testset, accession, read_name, case when is_broken then line end as cds_group, start_at as start,
-               cast(start_at - 1 + 3 * case when is_broken then n_first else n_codons end as int) as "end", rf
-        from {cds_base}
-        union all
-        select testset, accession, read_name, line, cast(start_at + 3 * n_first + 1 as int),
-               cast(start_at + 6 * n_first as int), cast((rf + 1) % 3 as int)
-        from {cds_base} where is_broken""",
+        select testset, accession, read_name, case when is_broken then line end as cds_group,
+               cast(case part when 0 then start_at else start_at + 3 * n_first + 1 end as int) as start,
+               cast(case when part = 1 then start_at + 6 * n_first when is_broken then start_at - 1 + 3 * n_first else start_at - 1 + 3 * n_codons end as int) as "end",
+               cast((rf + part) % 3 as int) as rf
+        from {cds_base} cross join (select 0 as part union all select 1) p where part = 0 or is_broken""",
     # Predictions of three models: mostly right, some too long, some in the next frame, some with the break missed.
     "cds_by_model": """
         select m.model, b.*, (b.mix + m.offset_by) % 10 as kind
         from {cds_base} b cross join (select 'small' as model, 0 as offset_by union all select 'medium', 3 union all select 'large', 11) m""",
     "pred": """
         select model, testset, accession, read_name, case when is_broken and kind <> 9 then line end as cds_group,
-               cast(start_at + case when kind = 8 and not is_broken then 1 else 0 end as int) as start,
-               cast(start_at - 1 + 3 * case when is_broken then n_first else n_codons end
-                    + case when kind = 8 and not is_broken then 1 when kind in (6, 7) and not is_broken then 3 * (1 + qty % 4) else 0 end as int) as "end",
-               cast(case when kind = 8 and not is_broken then (rf + 1) % 3 else rf end as int) as rf
-        from {cds_by_model}
-        union all
-        select model, testset, accession, read_name, line, cast(start_at + 3 * n_first + 1 as int),
-               cast(start_at + 6 * n_first as int), cast((rf + 1) % 3 as int)
-        from {cds_by_model} where is_broken and kind <> 9""",
+               cast(case when part = 1 then start_at + 3 * n_first + 1 when kind = 8 and not is_broken then start_at + 1 else start_at end as int) as start,
+               cast(case when part = 1 then start_at + 6 * n_first when is_broken then start_at - 1 + 3 * n_first
+                         when kind = 8 then start_at + 3 * n_codons when kind in (6, 7) then start_at - 1 + 3 * n_codons + 3 * (1 + qty % 4)
+                         else start_at - 1 + 3 * n_codons end as int) as "end",
+               cast(case when part = 1 or (kind = 8 and not is_broken) then (rf + 1) % 3 else rf end as int) as rf
+        from {cds_by_model} cross join (select 0 as part union all select 1) p where part = 0 or (is_broken and kind <> 9)""",
     "read_universe": """
         select concat('with_errors_', case o_orderstatus when 'F' then '5e-06i_0.004s' when 'O' then '1.25e-05i_0.01s'
                                                           else '3.75e-05i_0.03s' end, '_300bp') as testset,

@@ -36,15 +36,20 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+_own_folders: dict[str, str] = {}
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; only a local session without it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="readframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="readframe-")
+    return _own_folders[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
