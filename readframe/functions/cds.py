@@ -38,11 +38,6 @@ def indel_type(from_frame: Column, to_frame: Column) -> Column:
     return F.when(step == 1, "insertion").when(step == 2, "deletion")
 
 
-def passes_min_length(start: Column, end: Column, indel: Column, minimum: int) -> Column:
-    """CDSs at an indel always pass; others need ``end - start >= minimum``."""
-    return (end - start >= minimum) | indel.isNotNull()
-
-
 def start_codon_span(strand: Column, start: Column, end: Column) -> tuple[Column, Column]:
     plus = strand == "+"
     return F.when(plus, start).otherwise(end - 2), F.when(plus, start + 2).otherwise(end)

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readframe.functions import cds as C
+from readframe.functions.metrics import precision, recall, with_scores
 
 GENOME = ["model", "testset", "accession"]
 READ = [*GENOME, "read_name"]
@@ -318,8 +319,6 @@ def indel_matches(truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 def indel_metrics(matches: DataFrame, keys: list[str] = GENOME) -> DataFrame:
     """tp, fp, fn, MAE (NULL without matches), precision and sensitivity of indel calls."""
-    from readframe.functions.metrics import precision, recall
-
     sums = matches.groupBy(*keys).agg(
         F.sum("tp").alias("tp"),
         F.sum(F.col("n_pred") - F.col("tp")).alias("fp"),
@@ -366,6 +365,11 @@ def micro_totals(counts: DataFrame, sets: list[list[str]], counters: tuple[str,
     )
 
 
+def sweep(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals and scores per condition: error level, read length, training size, platform or ablation."""
+    return with_scores(counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+
+
 def model_grid(scores: DataFrame, testsets: DataFrame, models: DataFrame) -> DataFrame:
     """Every (testset, model) combination; missing scores are NULL.  Both lists are small by nature."""
     return testsets.crossJoin(models).join(scores, ["testset", "model"], "left")
@@ -392,8 +396,6 @@ def family_report(genome_counts: DataFrame, metric, min_genomes: int, first_mode
     ``genome_counts`` has accession, model, family, tp, fp, fn; ``metric`` maps (tp, fp, fn) columns to a column.
     Families need ``min_genomes`` genomes scored by ``first_model``, whose metric also ranks them.
     """
-    from pyspark.sql import Window
-
     score = metric(F.col("tp"), F.col("fp"), F.col("fn"))
     grouped = (
         genome_counts.withColumn("_score", score)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readframe.functions import cds as C
+from readframe.functions.bind import let
 from readframe.operators.scan import running_before
 from readframe.operators.skew import HOT_ROWS, salt_hot_keys
 
@@ -199,25 +200,28 @@ def indels_match_frames(fragments, indels):
     return F.forall(F.transform(fragments, ok), lambda x: x)
 
 
-def chunk_sequences(assemblies: DataFrame, overlap: int, width: int = 65536) -> DataFrame:
+def chunk_sequences(assemblies: DataFrame, overlap: int, width: int = 1024) -> DataFrame:
     """Cut sequences (assembly_id, strand, seq) to rows (.., chunk, chunk_seq) of ``width + overlap`` bases.
 
-    A read joins the one chunk its start falls into instead of a whole chromosome.
+    A read joins the one short chunk its start falls into instead of a whole chromosome.  The cut is one pass over the
+    sequence; a ``substring`` per chunk would scan it from the first base every time.
     """
-    last = F.floor((F.length("seq") - 1) / width).cast("long")
-    return (
-        assemblies.filter(F.length("seq") > 0)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .select(
-            "assembly_id",
-            "strand",
-            "chunk",
-            F.substr("seq", (F.col("chunk") * width + 1).cast("int"), F.lit(width + overlap)).alias("chunk_seq"),
+    if overlap > width:
+        raise ValueError("a chunk takes its overlap from the next one only")
+    pieces = F.regexp_extract_all("seq", F.lit(f"[\\s\\S]{{1,{width}}}"), F.lit(0))
+
+    def with_overlap(bound):
+        return F.transform(
+            bound, lambda piece, i: F.concat(piece, F.substr(F.coalesce(F.get(bound, i + 1), F.lit("")), F.lit(1), F.lit(overlap)))
         )
+
+    chunks = F.posexplode(let(pieces, with_overlap)).alias("_n", "chunk_seq")
+    return assemblies.select("assembly_id", "strand", chunks).select(
+        "assembly_id", "strand", F.col("_n").cast("long").alias("chunk"), "chunk_seq"
     )
 
 
-def matches_reference(reads: DataFrame, chunks: DataFrame, width: int = 65536) -> DataFrame:
+def matches_reference(reads: DataFrame, chunks: DataFrame, width: int = 1024) -> DataFrame:
     """Add ``is_restored``: does the corrected read equal the reference at its start?
 
     ``reads`` has assembly_id, strand, start, restored.  A start without reference gives false.

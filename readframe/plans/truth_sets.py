@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readframe.functions import cds as C
@@ -17,6 +17,18 @@ def _tiers(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("_tier").isNotNull()).withColumn("tier", F.explode(both)).drop("_tier")
 
 
+def grouped_coordinates(coords: Column, connections: Column) -> Column:
+    """(start, end, rf, cds_group) from plain coordinates and chains given as lists of their indexes."""
+
+    def group_of(index: Column) -> Column:
+        hit = F.filter(F.transform(connections, lambda c, g: F.struct(c.alias("c"), g.alias("g"))), lambda x: F.array_contains(x["c"], index))
+        return F.get(hit, F.lit(0))["g"]
+
+    return F.transform(
+        coords, lambda c, i: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rf"].alias("rf"), group_of(i).alias("cds_group"))
+    )
+
+
 def truth_cds(reads: DataFrame) -> DataFrame:
     """(tier, testset, accession, read_name, cds_group, fragments, indels) of labelled reads, one row per CDS.
 

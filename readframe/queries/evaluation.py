@@ -128,8 +128,7 @@ def error_level_sweep(t):
         indel.alias("indel_rate"), substitution.alias("substitution_rate"), E.nominal_read_length(F.col("testset")).alias("read_length"),
         "model", "tp", "fp", "fn",
     )
-    sums = named.groupBy("indel_rate", "substitution_rate", "read_length", "model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return M.with_scores(sums, digits=6)
+    return _rounded(V.sweep(named, ["indel_rate", "substitution_rate", "read_length", "model"]))
 
 
 @query(
@@ -143,8 +142,24 @@ def training_size_sweep(t):
     """F1 per testset and number of training genomes."""
     size = F.when(F.col("model") == "small", 100).when(F.col("model") == "medium", 200).otherwise(400)
     counts = _counts(t, ["model", "testset"]).withColumn("n_training_genomes", size)
-    sums = counts.groupBy("testset", "n_training_genomes").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return M.with_scores(sums, digits=6)
+    return _rounded(V.sweep(counts, ["testset", "n_training_genomes"]))
+
+
+def _rounded(scores):
+    return scores.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(
+    f"""
+    with {_MATCHED}, platforms as (select o_orderkey, o_orderpriority as platform from {{orders}}),
+    sums as (select platform, model, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn
+             from read_counts c join platforms p on c.read_name = concat('r', p.o_orderkey) group by all)
+    select *, {_SCORES} from sums"""
+)
+def platform_sweep(t):
+    """Scores per sequencing platform, for which the order priority stands."""
+    platforms = t("orders").select(F.concat(F.lit("r"), "o_orderkey").alias("read_name"), F.col("o_orderpriority").alias("platform"))
+    return _rounded(V.sweep(_counts(t, V.READ).join(platforms, "read_name"), ["platform", "model"]))
 
 
 @query(

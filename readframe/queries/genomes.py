@@ -56,8 +56,8 @@ def reference_match(t):
         F.col("name").alias("assembly_id"), F.lit("+").alias("strand"), F.col("start").cast("long"),
         F.when(F.col("start") % 3 == 0, F.concat(F.lit("N"), F.substr(part, F.lit(2)))).otherwise(part).alias("restored"),
     )
-    chunks = I.chunk_sequences(seqs.select(F.col("name").alias("assembly_id"), F.lit("+").alias("strand"), "seq"), overlap=40, width=4096)
-    matched = I.matches_reference(pieces, chunks, width=4096)
+    chunks = I.chunk_sequences(seqs.select(F.col("name").alias("assembly_id"), F.lit("+").alias("strand"), "seq"), overlap=40, width=512)
+    matched = I.matches_reference(pieces, chunks, width=512)
     return matched.select(F.col("assembly_id").alias("read_name"), "start", "is_restored")
 
 

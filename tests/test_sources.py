@@ -147,6 +147,12 @@ def test_reads_to_gff_and_records(spark, tmp_path):
     assert not (tmp_path / "cds.faa").exists()
 
 
+def test_chains_from_index_lists(spark):
+    df = spark.createDataFrame([([(1, 30, 0), (32, 61, 1), (80, 99, 0)], [[0, 1], [2]])], "c array<struct<start:int,end:int,rf:int>>, g array<array<int>>")
+    got = df.select(truth_sets.grouped_coordinates(F.col("c"), F.col("g"))).first()[0]
+    assert [r.cds_group for r in got] == [0, 0, 1]
+
+
 def test_truth_and_prediction_tiers(spark):
     coords = "array<struct<start:int,end:int,rf:int,cds_group:int>>"
     reads = spark.createDataFrame([("t", "g", "r", [(1, 30, 0, 0), (32, 64, 1, 0), (100, 132, 0, 1), (200, 229, 1, 2)], "31I,110D")], f"testset string, accession string, read_name string, cds_coords {coords}, indel_positions string")
