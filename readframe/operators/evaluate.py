@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,35 +82,43 @@ def exact_match_counts(truth: DataFrame, pred: DataFrame, keys: list[str] = READ
     return _totals(per_key, keys)
 
 
-def _greedy_matches(preds: list, truths: list, threshold: float) -> int:
-    """Each prediction, in order, takes the free truth it overlaps best; rows carry the number of their copies."""
-    owner = np.repeat(np.arange(len(truths)), [len(t["fragments"]) for t in truths])
-    flat = [f for t in truths for f in t["fragments"]]
-    start, end, rf = (np.array([f[name] for f in flat]) for name in ("start", "end", "rf"))
-    whole = np.bincount(owner, end - start, len(truths))
-    broken = np.array([len(t["fragments"]) > 1 for t in truths])
-    free = np.array([t["n"] for t in truths])
+Cds = tuple[list[tuple[int, int, int]], int]  # fragments (start, end, rf) and the number of copies
+
+
+def _greedy_matches(preds: list[Cds], truths: list[Cds], threshold: float) -> int:
+    """Each prediction, in order, takes the free truth it overlaps best; copies are taken together."""
+    free = [copies for _, copies in truths]
     matched = 0
-    for p in preds:
-        spans = p["fragments"]
-        shared = np.zeros(len(truths))
-        for s in spans:
-            overlap = np.clip(np.minimum(end, s["end"]) - np.maximum(start, s["start"]), 0, None) * (rf == s["rf"])
-            shared += np.bincount(owner, overlap, len(truths))
-        length = whole
-        if len(spans) == 1:
-            length = np.where(broken, np.bincount(owner, (end - start) * (rf == spans[0]["rf"]), len(truths)), whole)
-        union = sum(s["end"] - s["start"] for s in spans) + length - shared
-        iou = np.where((shared > 0) & (union > 0), shared / np.maximum(union, 1), 0.0)
-        left = p["n"]
-        for t in np.argsort(-iou, kind="stable"):
-            if left == 0 or iou[t] < threshold or iou[t] <= 0:
-                break
-            taken = min(left, free[t])
-            free[t] -= taken
+    for spans, left in preds:
+        length = sum(e - s for s, e, _ in spans)
+        found = []
+        for i, (fragments, _) in enumerate(truths):
+            shared = held = 0
+            for a, b, r in fragments:
+                for s, e, rf in spans:
+                    if r == rf:
+                        shared += max(min(e, b) - max(s, a), 0)
+                # An unbroken prediction is held against the truth's fragments in its own frame only.
+                if len(spans) > 1 or len(fragments) == 1 or r == spans[0][2]:
+                    held += b - a
+            if shared > 0 and shared / (length + held - shared) >= threshold:
+                found.append((-shared / (length + held - shared), i))
+        for _, i in sorted(found):
+            taken = min(left, free[i])
+            free[i] -= taken
             left -= taken
             matched += taken
-    return int(matched)
+            if left == 0:
+                break
+    return matched
+
+
+def _regroup(owners, starts, ends, frames, copies) -> list[Cds]:
+    """Flat fragment arrays of a read to its CDS list."""
+    out: list[Cds] = [([], n) for n in copies.tolist()]
+    for owner, *span in zip(owners.tolist(), starts.tolist(), ends.tolist(), frames.tolist()):
+        out[owner][0].append(tuple(span))
+    return out
 
 
 def iou_match_counts(truth: DataFrame, pred: DataFrame, threshold: float, keys: list[str] = READ) -> DataFrame:
@@ -142,15 +149,23 @@ def iou_match_counts(truth: DataFrame, pred: DataFrame, threshold: float, keys:
     tp = F.when(F.least(F.size("preds"), F.size("truths")) == 0, F.lit(0)).otherwise(single)
     done = per_read.filter(easy).select(*READ, "n_truth", "n_pred", tp.cast("long").alias("tp"))
 
+    # Flat integer arrays cross to Python far faster than nested rows.
+    def flat(side: str) -> list[Column]:
+        owners = F.flatten(F.transform(side, lambda c, i: F.transform(c["fragments"], lambda f: i)))
+        spans = F.flatten(F.transform(side, lambda c: c["fragments"]))
+        fields = [F.transform(spans, lambda f: f["start"]), F.transform(spans, lambda f: f["end"]), F.transform(spans, lambda f: f["rf"])]
+        return [c.alias(f"{side}_{i}") for i, c in enumerate([owners, *fields, F.transform(side, lambda c: c["n"])])]
+
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[[*READ, "n_truth", "n_pred"]].copy()
-            out["tp"] = [_greedy_matches(a, b, threshold) for a, b in zip(batch["preds"], batch["truths"])]
+            sides = [zip(*[batch[f"{side}_{i}"] for i in range(5)]) for side in ("preds", "truths")]
+            out["tp"] = [_greedy_matches(_regroup(*p), _regroup(*t), threshold) for p, t in zip(*sides)]
             yield out
 
     schema = ", ".join(f"{k} string" for k in READ) + ", n_truth long, n_pred long, tp long"
-    folded = per_read.filter(~easy).mapInPandas(match, schema)
-    return _totals(done.unionByName(folded), keys)
+    hard = per_read.filter(~easy).select(*READ, "n_truth", "n_pred", *flat("preds"), *flat("truths"))
+    return _totals(done.unionByName(hard.mapInPandas(match, schema)), keys)
 
 
 def codon_confusion(
@@ -306,13 +321,16 @@ def indel_matches(truth: DataFrame, pred: DataFrame) -> DataFrame:
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[[*READ, "n_truth", "n_pred"]].copy()
-            found = [_closest_pairs([(i["pos"], i["n_truth"], i["n_pred"]) for i in items]) for items in batch["items"]]
+            lists = zip(*[[a.tolist() for a in batch[c]] for c in ("pos", "truths", "preds")])
+            found = [_closest_pairs(list(zip(*read))) for read in lists]
             out["tp"] = [matches for matches, _ in found]
             out["distance"] = [distance for _, distance in found]
             yield out
 
     schema = ", ".join(f"{k} string" for k in READ) + ", n_truth long, n_pred long, tp long, distance long"
-    folded = per_read.filter(~single).mapInPandas(match, schema)
+    fields = {"pos": "pos", "truths": "n_truth", "preds": "n_pred"}
+    flat = [F.transform("items", lambda x: x[field]).alias(name) for name, field in fields.items()]
+    folded = per_read.filter(~single).select(*READ, "n_truth", "n_pred", *flat).mapInPandas(match, schema)
     side = F.when(F.col("n_pred") == 0, "truth only").when(F.col("n_truth") == 0, "prediction only").otherwise("both")
     return done.unionByName(folded).withColumn("side", side)
 

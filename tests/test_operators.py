@@ -190,17 +190,17 @@ def test_iou_greedy_against_unit_copies():
         out = []
         for _ in range(n):
             s = rng.randint(1, 60)
-            out.append({"fragments": [{"start": s, "end": s + rng.choice([30, 45, 60]), "rf": 0}], "n": rng.randint(1, 3)})
-        return sorted(out, key=lambda x: (x["fragments"][0]["start"], x["fragments"][0]["end"]))
+            out.append(([(s, s + rng.choice([30, 45, 60]), 0)], rng.randint(1, 3)))
+        return sorted(out)
 
     def unit(preds, truths, limit):
-        spread = lambda xs: [x["fragments"][0] for x in xs for _ in range(x["n"])]
+        spread = lambda xs: [spans[0] for spans, n in xs for _ in range(n)]
         truths, used, hits = spread(truths), set(), 0
         for p in spread(preds):
             best, at = 0.0, None
             for i, t in enumerate(truths):
-                shared = max(0, min(p["end"], t["end"]) - max(p["start"], t["start"]))
-                iou = shared / (p["end"] - p["start"] + t["end"] - t["start"] - shared)
+                shared = max(0, min(p[1], t[1]) - max(p[0], t[0]))
+                iou = shared / (p[1] - p[0] + t[1] - t[0] - shared)
                 if i not in used and iou >= limit and iou > best:
                     best, at = iou, i
             if at is not None:
