@@ -96,33 +96,23 @@ def weighted_with_replacement(
     """``n_draws`` rows drawn with replacement, each with probability proportional to its category's weight.
 
     A draw picks a category by its total weight, then a row number in it; rows are numbered without a global sort, and
-    the draws, a distributed range, meet them by an equi-join on (category, number).
+    the draws, a distributed range, meet them by an equi-join on (category, number).  Only the counts of the weighted
+    categories come to the driver.
     """
-    weight = F.lit(0.0)
-    for name, value in weights.items():
-        weight = F.when(F.col(category) == name, F.lit(float(value))).otherwise(weight)
-    sizes = rows.groupBy(category).agg(F.count("*").alias("_n")).withColumn("_w", F.col("_n") * weight)
-    upto = F.sum("_w").over(Window.orderBy(category).rowsBetween(Window.unboundedPreceding, 0))
-    slots = sizes.withColumn("_hi", upto / F.sum("_w").over(Window.partitionBy())).filter("_w > 0")
-    slots = slots.withColumn("_lo", F.col("_hi") - F.col("_w") / F.sum("_w").over(Window.partitionBy()))
-    spark = rows.sparkSession
+    counted = rows.filter(F.col(category).isin(*weights)).groupBy(category).agg(F.count("*").alias("n")).collect()
+    counts = {row[category]: row["n"] for row in counted if weights[row[category]] > 0}
+    total = sum(weights[name] * n for name, n in counts.items())
     scale = float(2**63)
-    draws = spark.range(n_draws).select(
-        F.col("id").alias("draw_id"),
-        (draw63(F.lit(seed), F.col("id")) / scale).alias("_u"),
-        (draw63(F.lit(seed + 1), F.col("id")) / scale).alias("_v"),
-    )
-    # One row per category on the small side.
-    slot_list = slots.agg(F.array_sort(F.collect_list(F.struct("_hi", "_n", category))).alias("_slots"))
-    placed = draws.crossJoin(F.broadcast(slot_list))
-    chosen = F.coalesce(
-        F.get(F.filter("_slots", lambda s: F.col("_u") < s["_hi"]), F.lit(0)), F.element_at("_slots", -1)
-    )
-    placed = placed.withColumn("_slot", chosen).select(
-        "draw_id",
-        F.col(f"_slot.{category}").alias(category),
-        F.least(F.floor(F.col("_v") * F.col("_slot._n")), F.col("_slot._n") - 1).cast("long").alias("_number"),
-    )
+    u, v = (draw63(F.lit(seed + i), F.col("id")) / scale for i in range(2))
+    slot, upto = F.lit(None).cast("struct<name:string,n:bigint>"), 1.0
+    # From the last category down, so that rounding at the top end still falls into it.
+    for name, n in reversed(sorted(counts.items())):
+        here = F.struct(F.lit(name).alias("name"), F.lit(n).cast("bigint").alias("n"))
+        slot = here if upto == 1.0 else F.when(F.col("_u") < upto, here).otherwise(slot)
+        upto -= weights[name] * n / total
+    draws = rows.sparkSession.range(n_draws).select(F.col("id").alias("draw_id"), u.alias("_u"), v.alias("_v"))
+    number = F.least(F.floor(F.col("_v") * F.col("_slot.n")), F.col("_slot.n") - 1).cast("long")
+    placed = draws.withColumn("_slot", slot).select("draw_id", F.col("_slot.name").alias(category), number.alias("_number"))
     numbered = number_rows(rows, [category], draw63(F.lit(seed + 2), F.col(key)), key, "_number")
     return placed.join(numbered, [category, "_number"]).drop("_number")
 
@@ -275,7 +265,10 @@ def sample_report(sample: DataFrame, population: DataFrame) -> DataFrame:
         F.avg("gc_content").alias("gc_mean"),
         F.percentile("gc_content", 0.5).alias("gc_median"),
     )
-    return size.crossJoin(family_numbers).crossJoin(population.agg(F.count("*").alias("n_population")))
+    whole = population.agg(F.count("*").alias("n_population"))
+    # Three tables of one row each.
+    parts = [part.withColumn("_one", F.lit(1)) for part in (size, family_numbers, whole)]
+    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
 
 
 def domain_shares(sample: DataFrame, population: DataFrame) -> DataFrame:

@@ -388,9 +388,9 @@ def sweep(counts: DataFrame, keys: list[str]) -> DataFrame:
     return with_scores(counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
 
 
-def model_grid(scores: DataFrame, testsets: DataFrame, models: DataFrame) -> DataFrame:
-    """Every (testset, model) combination; missing scores are NULL.  Both lists are small by nature."""
-    return testsets.crossJoin(models).join(scores, ["testset", "model"], "left")
+def model_grid(scores: DataFrame, testsets: DataFrame, models: list[str]) -> DataFrame:
+    """Every (testset, model) combination; missing scores are NULL."""
+    return for_models(testsets, models).join(scores, ["testset", "model"], "left")
 
 
 def metric_matrix(scores: DataFrame, metric: str, models: list[str]) -> DataFrame:
