@@ -11,6 +11,7 @@ from readframe.operators import intervals as I
 from readframe.operators import frameshift as X
 from readframe.queries.inputs import READ_LENGTH
 from readframe.queries.registry import query
+from readframe.session import spread
 
 # One row per CIGAR operation.
 _OPS = """
@@ -282,7 +283,8 @@ def frame_labels(t):
 
 
 def _placed(t):
-    return t("alignments").select("read_id", "assembly_id", "strand", "start", "end", "cigar")
+    # Every read is hundreds of labels, so the reads are dealt out to all cores.
+    return spread(t("alignments").select("read_id", "assembly_id", "strand", "start", "end", "cigar"))
 
 
 def _certain(t):
