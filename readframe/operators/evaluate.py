@@ -9,6 +9,7 @@ copies of a row cost one row after the map side.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,21 +89,29 @@ Cds = tuple[list[tuple[int, int, int]], int]  # fragments (start, end, rf) and t
 def _greedy_matches(preds: list[Cds], truths: list[Cds], threshold: float) -> int:
     """Each prediction, in order, takes the free truth it overlaps best; copies are taken together."""
     free = [copies for _, copies in truths]
+    # Truth fragments per frame in start order: a prediction looks only at those that can overlap it.
+    by_frame: dict[int, list[tuple[int, int, int]]] = {}
+    for i, (fragments, _) in enumerate(truths):
+        for a, b, rf in fragments:
+            by_frame.setdefault(rf, []).append((a, b, i))
+    longest = {rf: max(b - a for a, b, _ in rows) for rf, rows in by_frame.items()}
+    for rows in by_frame.values():
+        rows.sort()
     matched = 0
     for spans, left in preds:
         length = sum(e - s for s, e, _ in spans)
+        shared: dict[int, int] = {}
+        for s, e, rf in spans:
+            rows = by_frame.get(rf, [])
+            for a, b, i in rows[bisect_left(rows, (s - longest.get(rf, 0),)) : bisect_left(rows, (e,))]:
+                if b > s and free[i]:
+                    shared[i] = shared.get(i, 0) + min(e, b) - max(s, a)
         found = []
-        for i, (fragments, _) in enumerate(truths):
-            shared = held = 0
-            for a, b, r in fragments:
-                for s, e, rf in spans:
-                    if r == rf:
-                        shared += max(min(e, b) - max(s, a), 0)
-                # An unbroken prediction is held against the truth's fragments in its own frame only.
-                if len(spans) > 1 or len(fragments) == 1 or r == spans[0][2]:
-                    held += b - a
-            if shared > 0 and shared / (length + held - shared) >= threshold:
-                found.append((-shared / (length + held - shared), i))
+        for i, common in shared.items():
+            # An unbroken prediction is held against the truth's fragments in its own frame only.
+            held = sum(b - a for a, b, r in truths[i][0] if len(spans) > 1 or r == spans[0][2])
+            if common / (length + held - common) >= threshold:
+                found.append((-common / (length + held - common), i))
         for _, i in sorted(found):
             taken = min(left, free[i])
             free[i] -= taken
