@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readframe.llm import line_rules
+from readframe.llm import cube_mix, html_layout, line_rules, secret_links, url_rules
 from readframe.llm.shared import table
 
 
@@ -14,8 +14,27 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.RULES)
+
+
+RUNS = [op2_line_frequency, op4_secret_links, op6_html_layout, op9_cube_mix, op10_url_rules]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_frequency": op2_line_frequency}
+    return {run.__name__: run for run in RUNS}
 
 
 def oracle_sql() -> dict[str, str]:
