@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readframe.llm import cube_mix, html_layout, line_rules, secret_links, url_rules
-from readframe.llm.shared import table
+from readframe.llm import best_fit, cube_mix, html_layout, line_rules, secret_links, url_rules
+from readframe.llm.shared import table, tokenizer_files
+
+
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +34,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.RULES)
 
 
-RUNS = [op2_line_frequency, op4_secret_links, op6_html_layout, op9_cube_mix, op10_url_rules]
+RUNS = [op1_best_fit, op2_line_frequency, op4_secret_links, op6_html_layout, op9_cube_mix, op10_url_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

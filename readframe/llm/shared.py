@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files(name: str = "byte_bpe_50k") -> tuple[str, str]:
+    """Where a public tokenizer and its vocabulary as ranks lie; every worker has their package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken")
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input clash with nothing an operator adds."""
     return df.select(*names)
