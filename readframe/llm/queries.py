@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, secret_links, substring_trees, url_rules
+from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, secret_links, substring_trees, url_rules
 from readframe.llm.shared import table, tokenizer_files
 
 
@@ -26,6 +26,10 @@ def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return min_max.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.extract(table(spark, sf_dir, "pages"))
 
@@ -42,7 +46,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.RULES)
 
 
-RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op6_html_layout, op7_substring_trees, op9_cube_mix, op10_url_rules]
+RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op5_min_max, op6_html_layout, op7_substring_trees, op9_cube_mix, op10_url_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

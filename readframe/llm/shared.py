@@ -67,7 +67,8 @@ def components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(now)
         if before == state:
             break
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    found = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return found.union(found.select("component", "component").distinct())
 
 
 def _hang(pairs: DataFrame, smaller: bool) -> DataFrame:
