@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, secret_links, substring_trees, url_rules
+from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, multi_index, secret_links, substring_trees, url_rules
 from readframe.llm.shared import table, tokenizer_files
 
 
@@ -38,6 +38,10 @@ def op7_substring_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_trees.remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.RULES)
 
 
-RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op5_min_max, op6_html_layout, op7_substring_trees, op9_cube_mix, op10_url_rules]
+RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op5_min_max, op6_html_layout, op7_substring_trees, op8_multi_index, op9_cube_mix, op10_url_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
