@@ -80,11 +80,11 @@ def line_words(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, host: str) -> DataFrame:
-    """Documents with their host's name and two hashes that stand for the text."""
+    """Each row as a whole, its host's name, and two hashes that stand for its text."""
     # A present host gets an h in front, so that none can look like the missing one.
     name = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("none"))
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), name.alias("host"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
+    return docs.select(F.struct("*").alias("row"), text.alias("text"), name.alias("host"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
 
 
 def frequent_lines(texts: DataFrame, min_docs: int, max_share: float) -> DataFrame:
@@ -100,8 +100,9 @@ def frequent_lines(texts: DataFrame, min_docs: int, max_share: float) -> DataFra
     return many.groupBy("host").agg(F.collect_list("line_hash").alias("frequent"))
 
 
-def line_quality(
+def judged(
     docs: DataFrame,
+    kept_columns: list[str],
     host: str = "source",
     min_words: int = 20,
     max_repeat_percent: int = 30,
@@ -109,20 +110,10 @@ def line_quality(
     max_share: float = 0.05,
     min_kept_percent: int = 30,
 ) -> DataFrame:
-    """Verdict per document: base rules, then whether enough is left once lines frequent on its host are gone.
-
-    Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words, kept).  A
-    document is rejected if it has fewer than ``min_words`` words, if more than ``max_repeat_percent`` of its words lie in
-    repeated 8-word windows, or if after removal of frequent lines fewer than ``min_words`` words or less than
-    ``min_kept_percent`` of its words stay.  A line is frequent if more than ``min_docs`` documents and more than
-    ``max_share`` of the documents of its host have it; documents of equal text count once.
-
-    Null or empty text: no words, so rejected.  Null host: a host of its own.  Null or repeated doc_id: every input row
-    gives one row, judged by its own text.  Further columns are ignored.  No rows: no rows.
-    """
+    """Measures and verdict of each row next to a struct ``row`` of the columns asked for; see :func:`line_quality`."""
     texts = _keyed(docs, host)
     measured = texts.select(
-        "doc_id", "host",
+        F.struct(*(F.col("row")[c].alias(c) for c in kept_columns)).alias("row"), "host",
         *(c.alias(n) for n, c in text_measures(F.col("text")).items()),
         repeated_words(words(F.col("text"))).alias("n_repeat_words"),
         line_words(F.col("text")).alias("lines"),
@@ -134,11 +125,25 @@ def line_quality(
     return (
         measured.join(frequent_lines(texts, min_docs, max_share), "host", "left")
         .withColumn("n_line_words", F.coalesce(gone, F.lit(0).cast("long")))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_line_words", (~failed & ~depleted).alias("kept"))
+        .select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_line_words", (~failed & ~depleted).alias("kept"))
     )
 
 
+def line_quality(docs: DataFrame, **limits) -> DataFrame:
+    """Verdict per document: base rules, then whether enough is left once lines frequent on its host are gone.
+
+    Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words, kept).  A
+    document is rejected if it has fewer than ``min_words`` words, if more than ``max_repeat_percent`` of its words lie in
+    repeated 8-word windows, or if after removal of frequent lines fewer than ``min_words`` words or less than
+    ``min_kept_percent`` of its words stay.  A line is frequent if more than ``min_docs`` documents and more than
+    ``max_share`` of the documents of its host have it; documents of equal text count once.
+
+    Null or empty text: no words, so rejected.  Null host: a host of its own.  Null or repeated doc_id: every input row
+    gives one row, judged by its own text.  Further columns are ignored.  No rows: no rows.
+    """
+    return judged(docs, ["doc_id"], **limits).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept")
+
+
 def keep_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that the rules keep, with their own columns; see :func:`line_quality`."""
-    verdict = line_quality(docs, **limits).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The documents that the rules keep, with all their columns; see :func:`line_quality`."""
+    return judged(docs, docs.columns, **limits).where("kept").select("row.*")

@@ -16,9 +16,9 @@ from readframe.llm.shared import components, cut
 
 SHINGLE = 5
 MIN_SIMILARITY = 85  # in percent
-#: Each permutation gives two signature values, so 126 evaluations of a shingle fill 36 bands of 7 values.  Two sets that
-#: share 85 % of their shingles then meet in no band once in a million times.
-BANDS, ROWS = 36, 7
+#: Each permutation gives two signature values, so 126 evaluations of a shingle fill 42 bands of 6 values.  Sets that share
+#: 80 % of their shingles then meet in no band three times in a million, at 85 % twice in a thousand million.
+BANDS, ROWS = 42, 6
 #: Shingles of the documents that one task compares with each other.
 BLOCK_SHINGLES = 400_000
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, multi_index, secret_links, substring_trees, url_rules
 from readframe.llm.shared import table, tokenizer_files
 
@@ -54,7 +55,7 @@ RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {run.__name__: run for run in RUNS}
+    return {run.__name__: run for run in RUNS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
