@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from readframe.llm.shared import cut
+from readframe.llm.shared import cut, parts_of
 
 CAPACITY = 2048
 END_ID = 0
@@ -173,7 +173,7 @@ def _largest(lengths: list[int], limit: int, fits) -> int | None:
 
 def ranked(pieces: DataFrame) -> DataFrame:
     """Pieces with their rank among those of equal length, counted in parts so that no length meets in one task."""
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(pieces.sparkSession)
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")
@@ -188,7 +188,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The packing is planned from the number of pieces of each length; those numbers, at most ``capacity`` of them, are all
     that comes to the driver.
     """
-    pieces = cut(pieces)
+    # Far fewer files than scan tasks: what is kept of a text is some numbers.
+    pieces = cut(pieces.repartition(parts_of(pieces.sparkSession, 4)))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     tables = Plan(counts, capacity).tables()
 

@@ -33,6 +33,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != "")
 
 
+def parts_of(spark: SparkSession, share: int = 1) -> int:
+    """Number of shuffle partitions, or of a share of them for tables that are far smaller than the input."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Make the rows now and keep them in the folder that ``spark.checkpoint.dir`` names.
 
@@ -59,11 +64,12 @@ def components(edges: DataFrame) -> DataFrame:
     Only the number and a checksum of the edges come to the driver.  Self loops, repeated edges and nulls are ignored.
     """
     link = (F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = cut(edges.where("a != b").select(*link).distinct())
+    few = parts_of(edges.sparkSession, 4)  # edges are small: few files for each round
+    now = cut(edges.where("a != b").select(*link).distinct().coalesce(few))
     state = _state(now)
     while state[0]:
         large = _hang(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), smaller=False)
-        now = cut(_hang(large, smaller=True))
+        now = cut(_hang(large, smaller=True).coalesce(few))
         before, state = state, _state(now)
         if before == state:
             break
