@@ -133,6 +133,10 @@ class Repeats:
             return
         d, t, records = (np.concatenate([p[k] for p in parts]) for k in range(3))
         del parts
+        marked, real = np.unique(records["minimizer"][records["gone"] == 2]), records["gone"] != 2
+        d, t, records = d[real], t[real], records[real]
+        if not len(records):
+            return
         order = np.lexsort((records["at"], t, d, records["content"], records["minimizer"]))
         d, t, records = d[order], t[order], records[order]
         gone = records["gone"] == 1
@@ -140,11 +144,10 @@ class Repeats:
         fresh = np.r_[True, (records["content"][1:] != records["content"][:-1]) | (records["minimizer"][1:] != records["minimizer"][:-1])]
         group = np.cumsum(np.r_[True, records["minimizer"][1:] != records["minimizer"][:-1]]) - 1
         different = np.bincount(group, weights=fresh)
-        hot = np.bincount(group, weights=records["gone"] >= 2) > 0
+        hot = (np.bincount(group, weights=records["gone"] == 3) > 0) | np.isin(records["minimizer"][np.r_[True, np.diff(group) > 0]], marked)
         kind = np.where(hot | (different > HOT), SPREAD, np.where(different > 1, SHARED, 255))[group]
-        # In one document only, a segment that occurs twice shares its windows with itself; those stay if own is off.
         kind = np.where(gone | ~first, GONE, kind)
-        keep = (kind != 255) & (records["gone"] != 2)
+        keep = kind != 255
         flags = np.zeros(int(keep.sum()), FLAG)
         flags["at"], flags["n"], flags["kind"] = records["at"][keep], records["n"][keep], kind[keep]
         yield from _documents(d[keep], t[keep], flags)
