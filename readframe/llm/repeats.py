@@ -59,10 +59,10 @@ class Repeats:
         """
         parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         split = texts.mapInArrow(self._split(parts), "bucket int, payload binary").repartition(parts, "bucket")
-        flags = _by_document(split.mapInArrow(self._judge, "d long, t long, payload binary"), "flags")
+        flags = _by_document(split.mapInArrow(self._judge(parts), "bucket int, payload binary"), parts, "flags")
         flagged = texts.join(flags, ["d", "t"], "left")
         segments = flagged.mapInArrow(self._fetch(parts), "bucket int, payload binary").repartition(parts, "bucket")
-        spans = _by_document(segments.mapInArrow(self._compare, "d long, t long, payload binary"), "spans")
+        spans = _by_document(segments.mapInArrow(self._compare(parts), "bucket int, payload binary"), parts, "spans")
         return flagged.join(spans, ["d", "t"], "left")
 
     # Each text into segments, and their hashes into buckets by minimizer.
@@ -127,12 +127,15 @@ class Repeats:
             yield int(bucket[lo]), b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
     # Segments with the same minimizer meet: which are covered whole, which share their minimizer.
-    def _judge(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpacked(p) for batch in batches for p in batch.column("payload").to_pylist()]
-        if not parts:
+    def _judge(self, parts: int):
+        return lambda batches: self._judged(batches, parts)
+
+    def _judged(self, batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+        met = [_unpacked(p) for batch in batches for p in batch.column("payload").to_pylist()]
+        if not met:
             return
-        d, t, records = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        del parts
+        d, t, records = (np.concatenate([p[k] for p in met]) for k in range(3))
+        del met
         marked, real = np.unique(records["minimizer"][records["gone"] == 2]), records["gone"] != 2
         d, t, records = d[real], t[real], records[real]
         if not len(records):
@@ -150,7 +153,7 @@ class Repeats:
         keep = kind != 255
         flags = np.zeros(int(keep.sum()), FLAG)
         flags["at"], flags["n"], flags["kind"] = records["at"][keep], records["n"][keep], kind[keep]
-        yield from _documents(d[keep], t[keep], flags)
+        yield from _documents(d[keep], t[keep], flags, parts)
 
     # Symbols of the segments that share their minimizer.
     def _fetch(self, parts: int):
@@ -158,7 +161,7 @@ class Repeats:
             for batch in batches:
                 out: dict[int, list[tuple[bytes, bytes]]] = {}
                 for d, t, text, flags in zip(*(batch.column(c).to_pylist() for c in ("d", "t", "text", "flags")), strict=True):
-                    flags = np.frombuffer(b"".join(flags or []), FLAG)
+                    flags = np.frombuffer(flags or b"", FLAG)
                     flags = flags[flags["kind"] != GONE]
                     if len(flags):
                         for bucket, head, symbols in self._segments(d, t, self.symbols(text), flags, parts):
@@ -181,7 +184,10 @@ class Repeats:
                 yield key % parts, np.array((d, t, k, m, m - self.width + 1, key), SEGMENT).tobytes(), data[k * size : (k + m) * size]
 
     # Windows of segments with the same key meet.
-    def _compare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _compare(self, parts: int):
+        return lambda batches: self._compared(batches, parts)
+
+    def _compared(self, batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
         kind = self.symbols("").dtype
         heads, data = [], []
         for batch in batches:
@@ -196,9 +202,9 @@ class Repeats:
         order = np.argsort(head["minimizer"], kind="stable")
         for block in _blocks(head["minimizer"][order], head["n"][order]):
             part = order[block]
-            yield from self._covered(head[part], [symbols[b : b + n] for b, n in zip(begin[part], head["n"][part], strict=True)])
+            yield from self._covered(head[part], [symbols[b : b + n] for b, n in zip(begin[part], head["n"][part], strict=True)], parts)
 
-    def _covered(self, head: np.ndarray, pieces: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def _covered(self, head: np.ndarray, pieces: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
         active = head["active"].astype(np.int64)
         # One place is left free behind each segment; see the methods for what they put there.
         begin = np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])])
@@ -218,7 +224,7 @@ class Repeats:
         gone = ~new if self.own else d != d[start]
         spans = np.zeros(int(gone.sum()), SPAN)
         spans["start"], spans["end"] = at[gone], at[gone] + self.width
-        yield from _documents(d[gone], t[gone], spans)
+        yield from _documents(d[gone], t[gone], spans, parts)
 
 
 def split_windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, gram: int):
@@ -298,19 +304,40 @@ def _payloads(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
 
-def _documents(d: np.ndarray, t: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per document with its items as bytes."""
+def _documents(d: np.ndarray, t: np.ndarray, items: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Items of documents, packed into one payload for each bucket of documents."""
     if not len(d):
         return
-    order = np.lexsort((t, d))
-    d, t, data, size = d[order], t[order], items[order].tobytes(), items.itemsize
-    cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]), True])
-    payloads = [data[a * size : b * size] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), pa.array(t[cuts[:-1]]), pa.array(payloads, pa.binary())], ["d", "t", "payload"])
+    bucket = (d ^ t) % parts
+    order = np.lexsort((t, d, bucket))
+    d, t, items, bucket = d[order], t[order], items[order], bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    rows = ((int(bucket[a]), b"".join((np.int64(b - a).tobytes(), d[a:b].tobytes(), t[a:b].tobytes(), items[a:b].tobytes()))) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    yield _payloads(rows)
+
 
+def _by_document(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    """One row per document with all its items: (d, t, items as bytes)."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, items = [], []
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                n = int(np.frombuffer(payload, "<i8", 1)[0])
+                heads.append(np.frombuffer(payload, "<i8", 2 * n, 8).reshape(2, n))
+                items.append(np.frombuffer(payload, np.uint8, -1, 8 + 16 * n).reshape(n, -1))
+        if not heads:
+            return
+        (d, t), items = np.concatenate(heads, axis=1), np.concatenate(items)
+        order = np.lexsort((t, d))
+        d, t, data, size = d[order], t[order], items[order].tobytes(), items.shape[1]
+        cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]), True])
+        for at in range(0, len(cuts) - 1, 10_000):
+            some = cuts[at : at + 10_001]
+            payloads = [data[a * size : b * size] for a, b in zip(some[:-1].tolist(), some[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(d[some[:-1]]), pa.array(t[some[:-1]]), pa.array(payloads, pa.binary())], ["d", "t", name])
 
-def _by_document(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("d", "t").agg(F.collect_list("payload").alias(name))
+    return rows.repartition(parts, "bucket").mapInArrow(merge, f"d long, t long, {name} binary")
 
 
 def _blocks(keys: np.ndarray, sizes: np.ndarray, most: int = 1_000_000) -> Iterator[slice]:
@@ -327,11 +354,11 @@ def _blocks(keys: np.ndarray, sizes: np.ndarray, most: int = 1_000_000) -> Itera
     yield slice(int(lo), len(keys))
 
 
-def covered(flags: list[bytes] | None, spans: list[bytes] | None) -> list[tuple[int, int]]:
+def covered(flags: bytes | None, spans: bytes | None) -> list[tuple[int, int]]:
     """Maximal covered stretches of a document, in order."""
-    flag = np.frombuffer(b"".join(flags or []), FLAG)
+    flag = np.frombuffer(flags or b"", FLAG)
     flag = flag[flag["kind"] == GONE]
-    span = np.frombuffer(b"".join(spans or []), SPAN)
+    span = np.frombuffer(spans or b"", SPAN)
     starts = np.r_[flag["at"].astype(np.int64), span["start"].astype(np.int64)]
     ends = np.r_[flag["at"].astype(np.int64) + flag["n"], span["end"].astype(np.int64)]
     if not len(starts):
