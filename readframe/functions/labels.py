@@ -60,10 +60,11 @@ def codon_labels(nt_labels: Column) -> Column:
     return F.when(nt_labels.isNotNull(), let(nt_labels, per_codon))
 
 
-def pad_labels(labels: Column, length: int) -> Column:
-    """Fixed length, filled up with -1."""
-    kept = F.slice(labels, 1, length)
-    return F.concat(kept, F.array_repeat(F.lit(-1).cast("tinyint"), F.lit(length) - F.size(kept)))
+def pad_labels(labels: Column, length: Column | int) -> Column:
+    """Filled up to a length with -1; labels beyond it are cut, as an explicit length asks for."""
+    length = F.lit(length) if isinstance(length, int) else length
+    kept = F.slice(labels, F.lit(1), length)
+    return F.concat(kept, F.array_repeat(F.lit(-1).cast("tinyint"), length - F.size(kept)))
 
 
 def valid_labels(labels: Column) -> Column:

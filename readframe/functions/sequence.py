@@ -98,9 +98,10 @@ def equal_length_frame(seq: Column, frame: int) -> Column:
     return F.substr(seq, F.lit(frame + 1), F.greatest(F.length(seq) - 3, F.lit(0)))
 
 
-def pad_or_cut(seq: Column, max_codons: int) -> Column:
-    """Exactly ``3 * max_codons`` bases, filled up with N."""
-    return F.rpad(seq, 3 * max_codons, "N")
+def pad_or_cut(seq: Column, max_codons: Column | int) -> Column:
+    """Exactly ``3 * max_codons`` bases, filled up with N; the longest read of a group tells how many keep all of it."""
+    max_codons = F.lit(max_codons) if isinstance(max_codons, int) else max_codons
+    return F.rpad(seq, (3 * max_codons).cast("int"), F.lit("N"))
 
 
 def codons_in_frame(length: Column, frame: Column | int) -> Column:
@@ -130,18 +131,19 @@ def codon_features(seq: Column) -> Column:
     return F.transform(codons(seq), features)
 
 
-def token_ids(residues: Column, vocabulary: dict[str, int], max_codons: int) -> Column:
+def token_ids(residues: Column, vocabulary: dict[str, int], max_codons: Column | int) -> Column:
     """Struct (input_ids, attention_mask) with CLS and EOS around the residues, padded to ``max_codons + 2``.
 
     The vocabulary is the caller's and names at least ``<cls>``, ``<eos>``, ``<pad>`` and ``<unk>``.
     """
+    max_codons = F.lit(max_codons) if isinstance(max_codons, int) else max_codons
     lookup = F.create_map(*[F.lit(part) for entry in vocabulary.items() for part in entry])
     unknown = F.lit(vocabulary["<unk>"])
-    body = F.transform(F.slice(residues, 1, max_codons), lambda r: F.coalesce(F.try_element_at(lookup, r), unknown))
+    body = F.transform(F.slice(residues, F.lit(1), max_codons), lambda r: F.coalesce(F.try_element_at(lookup, r), unknown))
     ids = F.concat(F.array(F.lit(vocabulary["<cls>"])), body, F.array(F.lit(vocabulary["<eos>"])))
 
     def padded(bound: Column) -> Column:
-        missing = F.lit(max_codons + 2) - F.size(bound)
+        missing = max_codons + 2 - F.size(bound)
         return F.struct(
             F.concat(bound, F.array_repeat(F.lit(vocabulary["<pad>"]), missing)).alias("input_ids"),
             F.concat(F.array_repeat(F.lit(1), F.size(bound)), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),

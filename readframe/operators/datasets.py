@@ -9,7 +9,7 @@ from readframe.functions import errors as E
 from readframe.functions import labels as L
 from readframe.functions import sequence as S
 from readframe.operators.decode import class_of
-from readframe.operators.scan import number_rows, smallest_per_stratum
+from readframe.operators.scan import exact_quantiles, number_rows, same_keys, smallest_per_stratum
 
 FRAMES = ("rf0", "rf1", "rf2")
 LABELS = [f"{f}_labels" for f in FRAMES]
@@ -25,12 +25,21 @@ def draw63(*parts: Column) -> Column:
 def label_classes(reads: DataFrame) -> DataFrame:
     """class_id, rf0, rf1, rf2: the distinct label triples after indel borders are marked, ids in sorted order.
 
-    Frame 0 has one codon more than the others; its last one is left out.  There are at most 6^3 triples, so the
-    numbering window is small.
+    Frames of one read differ in length by up to one codon; all are cut to the shortest.  There are at most 6^3 triples,
+    so the numbering window is small.
     """
-    rf0, rf1, rf2 = (L.mark_indel_borders(F.col(c)) for c in LABELS)
-    zipped = F.arrays_zip(F.slice(rf0, F.lit(1), F.size(rf1)).alias("rf0"), rf1.alias("rf1"), rf2.alias("rf2"))
-    triples = reads.select(F.explode(F.array_distinct(zipped)).alias("t")).select("t.*").distinct()
+    return number_triples(label_triples(reads.withColumns({c: L.mark_indel_borders(F.col(c)) for c in LABELS})))
+
+
+def label_triples(reads: DataFrame) -> DataFrame:
+    """rf0, rf1, rf2: the distinct label triples of all reads, as far as all three frames go."""
+    common = F.least(*[F.size(c) for c in LABELS])
+    zipped = F.arrays_zip(*[F.slice(c, F.lit(1), common).alias(f) for f, c in zip(FRAMES, LABELS)])
+    return reads.select(F.explode(F.array_distinct(zipped)).alias("t")).select("t.*").distinct()
+
+
+def number_triples(triples: DataFrame) -> DataFrame:
+    """Add class_id, dense in sorted order."""
     return triples.select((F.row_number().over(Window.orderBy(*FRAMES)) - 1).alias("class_id"), *FRAMES)
 
 
@@ -177,13 +186,16 @@ def split_by_family(genomes: DataFrame, test_seeds: DataFrame) -> DataFrame:
 
 
 def partition_label(genomes: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
-    """Add partition by membership in accession lists; ``none`` for accessions in no list."""
+    """Add partition by membership in accession lists; ``none`` for accessions in no list.
+
+    An accession in several lists belongs to the last of them.
+    """
     tagged = None
-    for name, accessions in lists.items():
-        part = accessions.select("accession", F.lit(name).alias("partition"))
+    for place, (name, accessions) in enumerate(lists.items()):
+        part = accessions.select("accession", F.struct(F.lit(place).alias("place"), F.lit(name).alias("name")).alias("list"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    first = tagged.groupBy("accession").agg(F.min("partition").alias("partition"))
-    return genomes.drop("partition").join(first, "accession", "left").withColumn("partition", F.coalesce("partition", F.lit("none")))
+    last = tagged.groupBy("accession").agg(F.max("list")["name"].alias("partition"))
+    return genomes.drop("partition").join(last, "accession", "left").withColumn("partition", F.coalesce("partition", F.lit("none")))
 
 
 def gc_extremes(genomes: DataFrame) -> DataFrame:
@@ -228,18 +240,20 @@ def proportional_subsample(genomes: DataFrame, target: int, seed: int = 1) -> Da
     size, what is too much is dropped by draw, never an extreme.
     """
     extremes = gc_extremes(genomes).withColumn("_extreme", F.lit(True))
-    quotas = family_quotas(genomes, target)
+    # One row per family: the mean over genomes of their family's size.
+    mean_size = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
+    quotas = family_quotas(genomes, target).withColumn("_mean_size", mean_size)
     drawn = (
         genomes.join(extremes, "accession", "left")
-        .join(quotas.select("family", F.col("n").alias("_size"), F.col("quota").alias("_family_quota")), "family")
+        .join(quotas.select("family", F.col("n").alias("_size"), F.col("quota").alias("_family_quota"), "_mean_size"), "family")
         .withColumn("_key", draw63(F.lit(seed), F.col("accession")))
         .withColumn("_first_key", F.when(F.col("_extreme"), F.lit(0)).otherwise(F.col("_key")))
     )
     own = smallest_per_stratum(drawn, ["family"], "_family_quota", F.col("_first_key"), "accession").select("accession", F.lit(True).alias("_own"))
     marked = drawn.join(own, "accession", "left")
-    # Exponential race: the smallest -ln(u)/weight wins, scaled into 59 bits below the tier number.
+    # Exponential race: the smallest -ln(u)/weight wins.  The distribution of a mean weight spreads it over 59 bits.
     uniform = (draw63(F.lit(seed + 1), F.col("accession")) + 1) / F.lit(float(2**63))
-    race = F.least(-F.ln(uniform) / F.col("_size") * F.lit(float(2**50)), F.lit(float(2**59 - 1))).cast("long")
+    race = ((1 - F.exp(F.ln(uniform) / F.col("_size") * F.col("_mean_size"))) * F.lit(float(2**59 - 1))).cast("long")
     random_order = F.shiftrightunsigned("_key", 4)
     tier = F.when(F.col("_extreme"), F.lit(0)).when(F.col("_own"), F.lit(1)).otherwise(F.lit(2)).cast("long")
     inside = F.when(F.col("_own") | F.col("_extreme"), random_order).otherwise(race)
@@ -252,23 +266,19 @@ def sample_report(sample: DataFrame, population: DataFrame) -> DataFrame:
     """One row that describes a sample: size, families, GC spread, family sizes, domain shares before and after."""
     per_family = sample.groupBy("family").agg(F.count("*").alias("n"))
     family_numbers = per_family.agg(
-        F.count("*").alias("n_families"),
-        F.avg("n").alias("mean_genomes_per_family"),
-        F.min("n").alias("family_min"),
-        F.percentile("n", 0.5).alias("family_median"),
-        F.max("n").alias("family_max"),
+        F.count("*").alias("n_families"), F.avg("n").alias("mean_genomes_per_family"), F.min("n").alias("family_min"), F.max("n").alias("family_max")
     )
     size = sample.agg(
-        F.count("*").alias("n_genomes"),
-        F.min("gc_content").alias("gc_min"),
-        F.max("gc_content").alias("gc_max"),
-        F.avg("gc_content").alias("gc_mean"),
-        F.percentile("gc_content", 0.5).alias("gc_median"),
+        F.count("*").alias("n_genomes"), F.min("gc_content").alias("gc_min"), F.max("gc_content").alias("gc_max"), F.avg("gc_content").alias("gc_mean")
     )
+    medians = [
+        exact_quantiles(rows.withColumn("_all", F.lit(0)), ["_all"], value, {name: 0.5}).drop("_all")
+        for rows, value, name in ((per_family.withColumn("n", F.col("n").cast("double")), "n", "family_median"), (sample, "gc_content", "gc_median"))
+    ]
     whole = population.agg(F.count("*").alias("n_population"))
-    # Three tables of one row each.
-    parts = [part.withColumn("_one", F.lit(1)) for part in (size, family_numbers, whole)]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+    # Tables of one row each, read as scalars of the first.
+    named = {c: part.select(c).scalar() for part in (family_numbers, *medians, whole) for c in part.columns}
+    return size.withColumns(named)
 
 
 def domain_shares(sample: DataFrame, population: DataFrame) -> DataFrame:
@@ -284,15 +294,22 @@ def domain_shares(sample: DataFrame, population: DataFrame) -> DataFrame:
 
 def partition_report(genomes: DataFrame) -> DataFrame:
     """Per partition, and per partition and domain: genomes, families, GC range, mean and median."""
-    return genomes.groupingSets([[F.col("partition")], [F.col("partition"), F.col("domain")]], "partition", "domain").agg(
+    report = genomes.groupingSets([[F.col("partition")], [F.col("partition"), F.col("domain")]], "partition", "domain").agg(
         F.grouping_id().cast("int").alias("grouping_id"),
         F.count("*").alias("n_genomes"),
         F.count_distinct("family").alias("n_families"),
         F.min("gc_content").alias("gc_min"),
         F.max("gc_content").alias("gc_max"),
         F.avg("gc_content").alias("gc_mean"),
-        F.percentile("gc_content", 0.5).alias("gc_median"),
     )
+    keys = ["partition", "domain", "grouping_id"]
+    levels = F.array(
+        F.struct(F.col("partition"), F.col("domain"), F.lit(0).alias("grouping_id")),
+        F.struct(F.col("partition"), F.lit(None).cast("string").alias("domain"), F.lit(1).alias("grouping_id")),
+    )
+    spread = genomes.select("gc_content", F.explode(levels).alias("level")).select("gc_content", "level.*")
+    medians = same_keys(exact_quantiles(spread, keys, "gc_content", {"gc_median": 0.5}), keys).drop(*keys)
+    return same_keys(report, keys).join(medians, "_same", "left").drop("_same")
 
 
 def read_counts_per_genome(reads: DataFrame, genomes: DataFrame) -> DataFrame:

@@ -372,7 +372,7 @@ def indel_density(indels: DataFrame, reads: DataFrame) -> DataFrame:
 
 
 def with_genome_info(counts: DataFrame, genomes: DataFrame, gc_edges: tuple = C.GC_EDGES) -> DataFrame:
-    """Counts with family, domain, gc_content, gc_bin and translation_table of their genome."""
+    """Counts with family, domain, gc_content, gc_bin and translation_table of their genome; NULLs if it has no row."""
     info = genomes.select(
         "accession",
         "family",
@@ -381,7 +381,7 @@ def with_genome_info(counts: DataFrame, genomes: DataFrame, gc_edges: tuple = C.
         C.gc_bin(F.col("gc_content"), gc_edges).alias("gc_bin"),
         C.translation_table(F.col("family")).alias("translation_table"),
     )
-    return counts.join(info, "accession")
+    return counts.join(info, "accession", "left")
 
 
 def micro_totals(counts: DataFrame, sets: list[list[str]], counters: tuple[str, ...] = ("tp", "fp", "fn")) -> DataFrame:
@@ -409,8 +409,8 @@ def metric_matrix(scores: DataFrame, metric: str, models: list[str]) -> DataFram
 
 def mark_best(scores: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """Add is_best: the row holds its group's highest value; all rows of a tie are marked."""
-    best = scores.groupBy(*keys).agg(F.max(metric).alias("_best"))
-    return scores.join(best, keys).withColumn("is_best", F.col(metric) == F.col("_best")).drop("_best")
+    best = F.max(metric).over(Window.partitionBy(*keys))  # one row per model and condition
+    return scores.withColumn("is_best", F.col(metric) == best)
 
 
 def metric_range(scores: DataFrame, keys: list[str], metric: str) -> DataFrame:

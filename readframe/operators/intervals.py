@@ -204,16 +204,17 @@ def chunk_sequences(assemblies: DataFrame, overlap: int, width: int = 1024) -> D
     """Cut sequences (assembly_id, strand, seq) to rows (.., chunk, chunk_seq) of ``width + overlap`` bases.
 
     A read joins the one short chunk its start falls into instead of a whole chromosome.  The cut is one pass over the
-    sequence; a ``substring`` per chunk would scan it from the first base every time.
+    sequence; a ``substring`` per chunk would scan it from the first base every time.  A long overlap reaches over
+    several of the following chunks.
     """
-    if overlap > width:
-        raise ValueError("a chunk takes its overlap from the next one only")
     pieces = F.regexp_extract_all("seq", F.lit(f"[\\s\\S]{{1,{width}}}"), F.lit(0))
+    following = -(-overlap // width)
 
     def with_overlap(bound):
-        return F.transform(
-            bound, lambda piece, i: F.concat(piece, F.substr(F.coalesce(F.get(bound, i + 1), F.lit("")), F.lit(1), F.lit(overlap)))
-        )
+        def behind(i):
+            return F.array_join(F.slice(bound, i + 2, F.lit(following)), "")
+
+        return F.transform(bound, lambda piece, i: F.concat(piece, F.substr(behind(i), F.lit(1), F.lit(overlap))))
 
     chunks = F.posexplode(let(pieces, with_overlap)).alias("_n", "chunk_seq")
     return assemblies.select("assembly_id", "strand", chunks).select(

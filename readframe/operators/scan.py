@@ -68,18 +68,49 @@ def smallest_per_stratum(
     return whole.unionByName(edge.select(*df.columns))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, buckets: int = 4096) -> DataFrame:
-    """Rank of each row's value among its key's rows, ties sharing their mean rank.
+def same_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_same``, one value per combination of keys that joins NULLs as well."""
+    return df.withColumn("_same", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
 
-    Values are counted first; the distinct values are then ranked by a scan over equal slices of each key's range.
+
+def _ordered_counts(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
+    """(_same, keys, value, _n, _before): each distinct value of a key, how often it occurs, and how many rows are smaller.
+
+    The distinct values are scanned in slices between counted quantiles, so each slice has about as many of them.
     """
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    slice_width = (F.col("_hi") - F.col("_lo")) / buckets
-    slice_number = F.when(slice_width > 0, F.floor((F.col(value) - F.col("_lo")) / slice_width)).otherwise(0)
-    ranked = running_before(counts.join(span, keys), keys, value, slice_number, {"_before": ("sum", "_n")})
-    ranks = ranked.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    counts = same_keys(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys)
+    steps = [k / slices for k in range(1, slices)]
+    edges = counts.groupBy("_same").agg(F.percentile_approx(F.col(value).cast("double"), steps, 20 * slices).alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    return running_before(counts.join(edges, "_same").withColumn("_slice", below).drop("_edges"), ["_same"], value, F.col("_slice"), {"_before": ("sum", "_n")})
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str, slices: int = 64) -> DataFrame:
+    """Rank of each row's value among its key's rows, ties sharing their mean rank; rows without a value have none."""
+    present = df.filter(F.col(value).isNotNull())
+    ranks = _ordered_counts(present, keys, value, slices).select("_same", F.col(value).alias("_value"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+    joined = same_keys(df, keys).alias("d").join(ranks.alias("r"), (F.col("d._same") == F.col("r._same")) & (F.col(value) == F.col("_value")), "left")
+    return joined.select("d.*", out).drop("_same")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], slices: int = 64) -> DataFrame:
+    """(keys, one column per quantile), interpolated between neighbours; NULL values are left out.
+
+    Ranks come from a scan in slices, so no task holds all values of a key.
+    """
+    ordered = _ordered_counts(df.filter(F.col(value).isNotNull()), keys, value, slices)
+    totals = ordered.groupBy("_same").agg(F.sum("_n").alias("_total"))
+    placed = ordered.join(totals, "_same")
+
+    def at(place):
+        return F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col(value)))
+
+    def quantile(q: float):
+        place = (F.col("_total") - 1) * F.lit(q)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return placed.groupBy("_same", *keys).agg(*[quantile(q).alias(name) for name, q in quantiles.items()]).drop("_same")
 
 
 def number_rows(df: DataFrame, strata: list[str], draw: Column, tie: str, out: str, coarse_bits: int = 16) -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readframe.functions.metrics import f1, ratio
-from readframe.operators.scan import average_ranks
-from readframe.session import cut_lineage
+from readframe.operators.scan import average_ranks, exact_quantiles, same_keys
 
 # The settings of the paired test.
 PERMUTATIONS = 1000
@@ -22,8 +21,7 @@ MIN_SHARED_GENOMES = 5
 
 def spearman(scores: DataFrame, keys: list[str], x: str, y: str, min_rows: int = 3) -> DataFrame:
     """Rank correlation of two columns per key: rho, n and its t statistic; keys with fewer rows are left out."""
-    # The metric table is read several times; what made it is not run again.
-    data = cut_lineage(scores.select(*keys, x, y).dropna(subset=[x, y]))
+    data = scores.select(*keys, x, y).dropna(subset=[x, y])
     ranked = average_ranks(average_ranks(data, keys, x, "_rx"), keys, y, "_ry")
     out = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
     spread = F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho"))
@@ -35,30 +33,31 @@ def least_squares(scores: DataFrame, keys: list[str], x: str, y: str) -> DataFra
     return scores.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def box_numbers(scores: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
-    """Count, mean, population spread, quartiles and 1.5-IQR whisker ends.
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
-    Exact percentiles keep one counter per distinct value; values are rounded first, which bounds that number.
-    """
-    rounded = cut_lineage(scores.select(*keys, F.round(F.col(value).cast("double"), digits).alias("_v")))
-    stats = rounded.groupBy(*keys).agg(
+
+def box_numbers(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean, population spread, quartiles and 1.5-IQR whisker ends."""
+    values = scores.select(*keys, F.col(value).cast("double").alias("_v"))
+    stats = values.groupBy(*keys).agg(
         F.count("_v").alias("n"),
         F.avg("_v").alias("mean"),
         F.stddev_pop("_v").alias("std"),
         F.min("_v").alias("minimum"),
         F.max("_v").alias("maximum"),
-        F.percentile("_v", [0.25, 0.5, 0.75]).alias("_q"),
     )
-    q1, q2, q3 = (F.get("_q", F.lit(i)) for i in range(3))
-    with_q = stats.withColumns({"q1": q1, "median": q2, "q3": q3}).drop("_q")
+    quartiles = exact_quantiles(values, keys, "_v", QUARTILES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fenced = rounded.join(with_q.select(*keys, (F.col("q1") - reach).alias("_lo"), (F.col("q3") + reach).alias("_hi")), keys)
+    fences = same_keys(quartiles.withColumns({"_lo": F.col("q1") - reach, "_hi": F.col("q3") + reach}), keys)
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
     ends = (
-        fenced.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*keys)
-        .agg(F.min("_v").alias("whisker_low"), F.max("_v").alias("whisker_high"))
+        same_keys(values, keys)
+        .join(fences.drop(*keys), "_same")
+        .groupBy("_same")
+        .agg(F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"))
     )
-    return with_q.join(ends, keys, "left")
+    out = same_keys(stats, keys).join(fences.drop(*keys, "_lo", "_hi"), "_same", "left").join(ends, "_same", "left")
+    return out.drop("_same")
 
 
 def describe(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -67,16 +66,12 @@ def describe(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
         *keys,
         F.explode(F.array(*[F.struct(F.lit(v).alias("statistic"), F.col(v).cast("double").alias("v")) for v in values])).alias("s"),
     ).select(*keys, "s.statistic", "s.v")
-    out = stacked.groupBy(*keys, "statistic").agg(
-        F.count("v").alias("n"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("minimum"),
-        F.percentile("v", [0.25, 0.5, 0.75]).alias("_q"),
-        F.max("v").alias("maximum"),
+    rows = [*keys, "statistic"]
+    out = stacked.groupBy(*rows).agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("minimum"), F.max("v").alias("maximum")
     )
-    quartiles = {name: F.get("_q", F.lit(i)) for i, name in enumerate(("q1", "median", "q3"))}
-    return out.withColumns(quartiles).drop("_q")
+    quartiles = same_keys(exact_quantiles(stacked, rows, "v", QUARTILES), rows).drop(*rows)
+    return same_keys(out, rows).join(quartiles, "_same", "left").drop("_same")
 
 
 def sequence_accuracy(pairs: DataFrame) -> DataFrame:
@@ -101,7 +96,6 @@ def sequence_accuracy(pairs: DataFrame) -> DataFrame:
         .groupBy("seq_desc", "t", "p")
         .agg(F.count("*").alias("n"))
     )
-    cells = cut_lineage(cells)
     # From here on the tables hold at most types x classes^2 rows.
     both = cells.groupingSets([[F.col("seq_desc"), F.col("t"), F.col("p")], [F.col("t"), F.col("p")]], "seq_desc", "t", "p").agg(
         (F.grouping_id() > 0).alias("is_total"), F.sum("n").cast("double").alias("n")
@@ -211,7 +205,7 @@ def permutation_test(
     per distinct difference instead of one per read.  Each difference seeds its own generator, so a rerun task
     repeats its draws.
     """
-    vectors = cut_lineage(_pair_counts(read_counts, models, min_genomes))
+    vectors = _pair_counts(read_counts, models, min_genomes)
     deltas = (
         vectors.select(*PAIR, *[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in ("tp", "fp", "fn")], "n")
         .filter("tp != 0 or fp != 0 or fn != 0")

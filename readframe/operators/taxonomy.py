@@ -8,39 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readframe.functions.cds import newick_name
-from readframe.session import cut_lineage
+from readframe.operators.scan import exact_quantiles, same_keys
+from readframe.session import checkpointed
 
 # The eight ranks of a genome row, and the ids of the two prokaryote domains.
 RANKS = ("strain", "species", "genus", "family", "order", "class", "phylum", "domain")
 TOP_TAXA = ("2", "2157")
 
 
-def lineages(
-    taxa: DataFrame, nodes: DataFrame, names: DataFrame, top: tuple[str, ...] = TOP_TAXA, doublings: int = 6
-) -> DataFrame:
+def lineages(taxa: DataFrame, nodes: DataFrame, names: DataFrame, top: tuple[str, ...] = TOP_TAXA) -> DataFrame:
     """(accession, depth, tax_id, rank, name) from each accession's taxon up to a top taxon, both included.
 
-    ``taxa`` has accession, tax_id.  The walk runs once per distinct taxon.  Paths double in length with each of the
-    ``doublings`` joins (2^6 = 64 levels) instead of by one level each; every round reads the last one twice, so its
-    lineage is cut.  Finished paths join on a key of their own: a shared key for all of them would send most of the
-    tree to one task.  Taxa that do not reach a top taxon have no lineage.
+    ``taxa`` has accession, tax_id.  The walk runs once per distinct taxon.  Paths double in length with each join, until
+    none can grow; every round reads the last one twice, so its lineage is cut.  Finished paths join on a key of their
+    own: a shared key for all of them would send most of the tree to one task.  Taxa that do not reach a top taxon have
+    no lineage; taxa that are their own ancestors raise an error.
     """
     parents = nodes.groupBy("tax_id").agg(F.first("parent_id").alias("parent_id"))
     at_top = F.col("tax_id").isin(*top) | (F.col("tax_id") == F.col("parent_id"))
     # A path lists the ancestors above a taxon; the steps above a top taxon are empty.
-    paths = parents.select(
-        "tax_id", F.when(at_top, F.array().cast("array<string>")).otherwise(F.array("parent_id")).alias("path")
-    )
-    for _ in range(doublings):
-        paths = cut_lineage(paths)
-        last = F.coalesce(F.try_element_at("path", F.lit(-1)), F.col("tax_id"))
-        done = (F.size("path") == 0) | last.isin(*top)
-        key = F.when(done, F.concat(F.lit("done:"), F.col("tax_id"))).otherwise(last)
-        above = paths.select(F.col("tax_id").alias("_key"), F.col("path").alias("_above"))
+    nothing = F.array().cast("array<string>")
+    paths = parents.select("tax_id", F.when(at_top, nothing).otherwise(F.array("parent_id")).alias("path"), (~at_top).alias("grows"))
+    while True:
+        paths = checkpointed(paths)
+        state = paths.agg(F.count("*").alias("taxa"), F.max(F.when(F.col("grows"), F.size("path"))).alias("longest")).first()
+        if state["longest"] is None:
+            break
+        if state["longest"] > state["taxa"]:
+            raise ValueError("the taxonomy has a cycle")
+        last = F.element_at("path", F.when(F.col("grows"), -1))
+        key = F.coalesce(last, F.concat(F.lit("done:"), F.col("tax_id")))
+        above = paths.select(F.col("tax_id").alias("_key"), F.col("path").alias("_above"), F.col("grows").alias("_grows"))
         paths = (
             paths.withColumn("_key", key)
             .join(above, "_key", "left")
-            .select("tax_id", F.concat("path", F.coalesce("_above", F.array().cast("array<string>"))).alias("path"))
+            .select("tax_id", F.concat("path", F.coalesce("_above", nothing)).alias("path"), F.coalesce("_grows", F.lit(False)).alias("grows"))
         )
     wanted = taxa.select("tax_id").distinct().join(paths, "tax_id")
     full = wanted.withColumn("path", F.concat(F.array("tax_id"), F.col("path")))
@@ -110,8 +112,12 @@ def family_table(genomes: DataFrame, family: str = "family") -> DataFrame:
     columns = ("genome_length_kb", "protein_coding_genes", "coding_percentage", "gc_content")
     aggs = [F.count("*").alias("n_genomes")]
     for c in columns:
-        aggs += [F.percentile(c, 0.5).alias(f"{c}_median"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    return genomes.groupBy(family).agg(*aggs)
+        aggs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    out = same_keys(genomes.groupBy(family).agg(*aggs), [family])
+    for c in columns:
+        medians = exact_quantiles(genomes.select(family, F.col(c).cast("double").alias(c)), [family], c, {f"{c}_median": 0.5})
+        out = out.join(same_keys(medians, [family]).drop(family), "_same", "left")
+    return out.drop("_same")
 
 
 def reference_organisms(genomes: DataFrame, accessions: DataFrame) -> DataFrame:

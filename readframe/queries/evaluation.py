@@ -184,17 +184,17 @@ def family_report(t):
 @query(
     f"""
     with {_MATCHED}, scored as (select model, testset, accession, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1 from genome_counts),
-    r as (select model, testset, round(f1, 6) as v from scored),
+    r as (select model, testset, f1 as v from scored),
     q as (select model, testset, count(*) as n, avg(v) as mean, stddev_pop(v) as std, min(v) as minimum, max(v) as maximum,
                  quantile_cont(v, 0.25) as q1, median(v) as median, quantile_cont(v, 0.75) as q3 from r group by all)
-    select q.model, q.testset, any_value(n) as n, round(any_value(mean), 6) as mean, round(any_value(std), 6) as std, any_value(minimum) as minimum, any_value(maximum) as maximum,
-           round(any_value(q1), 6) as q1, round(any_value(median), 6) as median, round(any_value(q3), 6) as q3, min(v) as whisker_low, max(v) as whisker_high
+    select q.model, q.testset, any_value(n) as n, round(any_value(mean), 6) as mean, round(any_value(std), 6) as std, round(any_value(minimum), 6) as minimum, round(any_value(maximum), 6) as maximum,
+           round(any_value(q1), 6) as q1, round(any_value(median), 6) as median, round(any_value(q3), 6) as q3, round(min(v), 6) as whisker_low, round(max(v), 6) as whisker_high
     from q join r on q.model = r.model and q.testset = r.testset where v between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by q.model, q.testset"""
 )
 def metric_box_numbers(t):
     """Spread of the genome F1 values behind a box plot."""
     box = T.box_numbers(M.with_scores(_counts(t)), ["model", "testset"], "f1")
-    return box.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q1", "median", "q3")})
+    return box.withColumns({c: F.round(c, 6) for c in ("mean", "std", "minimum", "maximum", "q1", "median", "q3", "whisker_low", "whisker_high")})
 
 
 @query(
@@ -300,20 +300,15 @@ _GREEDY = """
     greedy(k, rn, used_p, used_t, n, dist) as (
       select k, 0 :: bigint, [] :: bigint[], [] :: bigint[], 0, 0 :: double from (select distinct k from walk)
       union all
-      select g.k, w.rn, case when free then list_append(used_p, pi) else used_p end, case when free then list_append(used_t, ti) else used_t end,
+      select g.k, g.wrn, case when free then list_append(used_p, pi) else used_p end, case when free then list_append(used_t, ti) else used_t end,
              n + case when free then 1 else 0 end, dist + case when free then d else 0 end
       from (select g.*, w.rn as wrn, w.pi, w.ti, w.d, not list_contains(used_p, w.pi) and not list_contains(used_t, w.ti) as free
-            from greedy g join walk w on w.k = g.k and w.rn = g.rn + 1) g join walk w on w.k = g.k and w.rn = g.wrn),
+            from greedy g join walk w on w.k = g.k and w.rn = g.rn + 1) g),
     done as (select k, max(n) as n, max(dist) as dist from greedy group by k)"""
-_GREEDY = _GREEDY.replace("select g.k, w.rn, case", "select g.k, g.wrn, case").replace(
-    "from greedy g join walk w on w.k = g.k and w.rn = g.rn + 1) g join walk w on w.k = g.k and w.rn = g.wrn)",
-    "from greedy g join walk w on w.k = g.k and w.rn = g.rn + 1) g)",
-)
 
 
-@query(
-    f"""
-    with tt as (
+_INDELS = f"""
+    tt as (
       select concat(model, '|', testset, '|', accession, '|', read_name) as k, pos, row_number() over (partition by model, testset, accession, read_name order by pos) as ti
       from {{true_indels}}, (select unnest(['small', 'medium', 'large']) as model)),
     pp as (
@@ -321,7 +316,12 @@ _GREEDY = _GREEDY.replace("select g.k, w.rn, case", "select g.k, g.wrn, case").r
       from {{called_indels}}),
     pairs as (select tt.k, ti, pi, abs(tt.pos - pp.pos) as d, abs(tt.pos - pp.pos) as o1, ti as o2, pi as o3 from tt join pp on tt.k = pp.k),
     {_GREEDY},
-    sides as (select k, sum(n_t) as n_truth, sum(n_p) as n_pred from (select k, 1 as n_t, 0 as n_p from tt union all select k, 0, 1 from pp) group by k)
+    sides as (select k, sum(n_t) as n_truth, sum(n_p) as n_pred from (select k, 1 as n_t, 0 as n_p from tt union all select k, 0, 1 from pp) group by k)"""
+
+
+@query(
+    f"""
+    with {_INDELS}
     select split_part(s.k, '|', 1) as model, split_part(s.k, '|', 2) as testset, split_part(s.k, '|', 3) as accession, split_part(s.k, '|', 4) as read_name,
            cast(n_truth as bigint) as n_truth, cast(n_pred as bigint) as n_pred, cast(coalesce(n, 0) as bigint) as tp, cast(coalesce(dist, 0) as bigint) as distance,
            case when n_pred = 0 then 'truth only' when n_truth = 0 then 'prediction only' else 'both' end as side
@@ -334,23 +334,21 @@ def indel_matches(t):
 
 
 @query(
-    """
-    with one_each as (
-      select model, testset, accession, count(*) as n from {called_indels} group by all),
-    truths as (select model, testset, accession, count(*) as n from {true_indels}, (select unnest(['small', 'medium', 'large']) as model) group by all),
-    per_read as (
-      select model, testset, accession, read_name, sum(t) as n_t, sum(p) as n_p from (
-        select model, testset, accession, read_name, 0 as t, 1 as p from {called_indels}
-        union all select model, testset, accession, read_name, 1, 0 from {true_indels}, (select unnest(['small', 'medium', 'large']) as model)) group by all),
-    sums as (select model, testset, accession, sum(least(n_t, n_p)) as tp, sum(n_p - least(n_t, n_p)) as fp, sum(n_t - least(n_t, n_p)) as fn from per_read group by all)
-    select model, testset, accession, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn,
+    f"""
+    with {_INDELS},
+    sums as (
+      select split_part(s.k, '|', 1) as model, split_part(s.k, '|', 2) as testset, split_part(s.k, '|', 3) as accession, sum(coalesce(n, 0)) as tp,
+             sum(n_pred - coalesce(n, 0)) as fp, sum(n_truth - coalesce(n, 0)) as fn, sum(coalesce(dist, 0)) as dist
+      from sides s left join done d on s.k = d.k group by all)
+    select model, testset, accession, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, case when tp > 0 then round(dist / tp, 6) end as mae,
            round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as sensitivity
-    from sums"""
+    from sums""",
+    recursive=True,
 )
 def indel_scores(t):
-    """Indel counts, precision and sensitivity per genome (mean error: see indel_matches)."""
-    scores = V.indel_metrics(V.indel_matches(V.for_models(t("true_indels"), MODELS), t("called_indels"))).drop("mae")
-    return scores.withColumns({c: F.round(c, 6) for c in ("precision", "sensitivity")})
+    """Indel counts, mean distance, precision and sensitivity per genome."""
+    scores = V.indel_metrics(V.indel_matches(V.for_models(t("true_indels"), MODELS), t("called_indels")))
+    return scores.withColumns({c: F.round(c, 6) for c in ("mae", "precision", "sensitivity")})
 
 
 @query(
@@ -484,9 +482,9 @@ def pair_report(t):
 
 _LABEL_PAIRS = """
     flat as (
-      select name, source as seq_desc, unnest(a) as x, unnest(b) as y from (
-        select l.name, d.source, rf1_labels as a, rf2_labels as b from {labelled} l join {documents} d on l.name = concat('d', d.doc_id)
-        where len(rf1_labels) = len(rf2_labels) and len(rf1_labels) > 0)),
+      select * from (
+        select l.name, d.source as seq_desc, unnest(rf1_labels) as x, unnest(rf2_labels) as y from {labelled} l join {documents} d on l.name = concat('d', d.doc_id))
+      where x is not null and y is not null),
     seqs as (select name, seq_desc, avg(case when x = y then 1.0 else 0 end) as acc, count(*) filter (where x = y) = count(*) as perfect from flat group by all),
     cells as (select seq_desc, x, y, count(*) as n from flat group by all union all select '(all)', x, y, count(*) from flat group by x, y),
     mt as (select seq_desc, sum(n * n) as v from (select seq_desc, x, sum(n) as n from cells group by all) group by all),
@@ -509,7 +507,8 @@ _LABEL_PAIRS = """
 )
 def sequence_accuracy(t):
     """Accuracy and Matthews correlation of label arrays per sequence type; two frames stand for truth and prediction."""
-    same = t("labelled").filter("size(rf1_labels) = size(rf2_labels) and size(rf1_labels) > 0")
+    both = F.least(F.size("rf1_labels"), F.size("rf2_labels"))
+    same = t("labelled").withColumns({c: F.slice(c, F.lit(1), both) for c in ("rf1_labels", "rf2_labels")}).filter("size(rf1_labels) > 0")
     types = t("documents").select(F.concat(F.lit("d"), "doc_id").alias("name"), F.col("source").alias("seq_desc"))
     pairs = same.join(types, "name").select("seq_desc", F.col("rf1_labels").alias("true_labels"), F.col("rf2_labels").alias("predicted_labels"))
     out = T.sequence_accuracy(pairs)

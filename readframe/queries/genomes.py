@@ -43,21 +43,22 @@ def fragments_in_proteome(t):
 
 @query(
     """
-    with r as (select name, accession, seq, start, substr(seq, start, 40) as part from {reads}, (select unnest(range(1, 200001, 35)) as start) where start <= length(seq) - 39),
+    with s as (select name, seq, unnest(range(1, length(seq) + 1, 35)) as start from {reads}),
+    r as (select name, start, substr(seq, start, 40) as part from s),
     changed as (select name, start, case when start % 3 = 0 then concat('N', substr(part, 2)) else part end as restored, part from r)
     select name as read_name, cast(start as bigint) as start, restored = part as is_restored from changed"""
 )
 def reference_match(t):
     """Pieces of every sequence held against the sequence in chunks; every third piece has a changed first base."""
-    seqs = t("reads").filter("length(seq) >= 40").select("name", "seq")
-    starts = seqs.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("seq") - 39, F.lit(35))))
+    seqs = t("reads").filter("seq != ''").select("name", "seq")
+    starts = seqs.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("seq"), F.lit(35))))
     part = F.substr("seq", F.col("start"), F.lit(40))
     pieces = starts.select(
         F.col("name").alias("assembly_id"), F.lit("+").alias("strand"), F.col("start").cast("long"),
         F.when(F.col("start") % 3 == 0, F.concat(F.lit("N"), F.substr(part, F.lit(2)))).otherwise(part).alias("restored"),
     )
-    chunks = I.chunk_sequences(seqs.select(F.col("name").alias("assembly_id"), F.lit("+").alias("strand"), "seq"), overlap=40, width=512)
-    matched = I.matches_reference(pieces, chunks, width=512)
+    chunks = I.chunk_sequences(seqs.select(F.col("name").alias("assembly_id"), F.lit("+").alias("strand"), "seq"), overlap=40, width=16)
+    matched = I.matches_reference(pieces, chunks, width=16)
     return matched.select(F.col("assembly_id").alias("read_name"), "start", "is_restored")
 
 
@@ -87,10 +88,10 @@ def _genome_inputs(t):
         .when(kind == 3, F.concat(F.lit("0"), F.substr(plain, F.lit(1), F.lit(1)), F.lit(str(_LENGTH - 1))))
         .otherwise(str(_LENGTH)).alias("md"),
     )
-    genes = F.when(F.length("seq") >= 240, F.sequence(F.lit(10), F.length("seq") - 200, F.lit(217))).otherwise(F.array().cast("array<int>"))
-    annotations = texts.withColumn("cds_start", F.explode(genes)).select(
-        "assembly_id", "accession", F.lit("+").alias("strand"), F.col("cds_start").cast("long"),
-        (F.col("cds_start") + 3 * (25 + F.pmod("cds_start", F.lit(30))) - 1).cast("long").alias("cds_end"),
+    genes = F.sequence(F.lit(10), F.greatest(F.length("seq"), F.lit(10)), F.lit(217))
+    end = (F.col("cds_start") + 3 * (25 + F.pmod("cds_start", F.lit(30))) - 1).cast("long")
+    annotations = texts.withColumn("cds_start", F.explode(genes)).filter(end <= F.length("seq")).select(
+        "assembly_id", "accession", F.lit("+").alias("strand"), F.col("cds_start").cast("long"), end.alias("cds_end"),
         (F.pmod("cds_start", F.lit(11)) != 0).alias("certain"),
     )
     assemblies = texts.select("assembly_id", F.lit("+").alias("strand"), "seq")
@@ -131,37 +132,44 @@ def called_cds_records(t):
     return CR.cds_records(features.withColumn("line", line), t("reads").select("name", "seq"))
 
 
+# Every 42 bases of a read hold four single CDSs, on both strands, and one of two fragments.
 _ORFS = f"""
+    blocks as (select input_order, name, seq, length(seq) as n, unnest(range(0, (length(seq) + 41) // 42)) as b from {{reads}}),
     rows as (
-      select input_order * 10 + k as first_line, concat(name, '_', k) as cds_id, case when k % 2 = 0 then substr(seq, 4 * k + 1, 30)
-             else reverse(translate(substr(seq, 4 * k + 1, 30), 'ACGTN', 'TGCAN')) end as cds_seq
-      from {{reads}}, (select unnest([0, 1, 2, 3]) as k) where length(seq) >= 60),
+      select input_order * 1000000 + b * 10 + k as first_line, concat(name, '_', b, '_', k) as cds_id,
+             case when k % 2 = 0 then substr(seq, 42 * b + 4 * k + 1, 30) else reverse(translate(substr(seq, 42 * b + 4 * k + 1, 30), 'ACGTN', 'TGCAN')) end as cds_seq
+      from blocks, (select unnest([0, 1, 2, 3]) as k) where 42 * b + 4 * k < n),
     chains as (
-      select input_order * 10 + 5 as first_line, concat(name, '_group') as cds_id,
-             case when input_order % 2 = 0 then concat(substr(seq, 1, 12), substr(seq, 14, 15)) else concat(substr(seq, 1, 12), 'NNN', substr(seq, 15, 15)) end as cds_seq
-      from {{reads}} where length(seq) >= 60),
+      select input_order * 1000000 + b * 10 + 5 as first_line, concat(name, '_', b, '_group') as cds_id,
+             case when b % 2 = 0 then concat(substr(seq, 42 * b + 1, 12), substr(seq, 42 * b + 14, 15)) else concat(substr(seq, 42 * b + 1, 12), 'NNN', substr(seq, 42 * b + 15, 15)) end as cds_seq
+      from blocks where 42 * b + 29 <= n),
     records as (select * from rows union all select * from chains)"""
 
 
 @query(f"with {_ORFS} select first_line, cds_id, cds_seq, {_protein_sql('cds_seq')} as protein from records")
 def cds_records(t):
-    """CDS records of fixed places on both strands and of a two-fragment chain per read."""
-    reads = t("reads").filter("length(seq) >= 60")
+    """CDS records of places all along each read, on both strands, and of two-fragment chains."""
+    last = F.floor((F.length("seq") - 1) / 42)
+    reads = t("reads").filter("seq != ''").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    at, line = F.col("b") * 42, F.col("input_order") * 1_000_000 + F.col("b") * 10
+    named = (F.col("name"), F.lit("_"), F.col("b").cast("string"), F.lit("_"))
     none = F.lit(None).cast("string")
-    singles = reads.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)]))).select(
-        (F.col("input_order") * 10 + F.col("k")).alias("line"), F.col("name").alias("seqid"), (F.col("k") * 4 + 1).alias("start"),
-        (F.col("k") * 4 + 30).alias("end"), F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"), none.alias("phase"),
-        F.concat(F.lit("ID="), "name", F.lit("_"), F.col("k").cast("string"), F.lit(";start=internal_region")).alias("attributes"),
+    places = reads.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)]))).filter(at + F.col("k") * 4 < F.length("seq"))
+    singles = places.select(
+        (line + F.col("k")).alias("line"), F.col("name").alias("seqid"), (at + F.col("k") * 4 + 1).cast("int").alias("start"),
+        F.least(at + F.col("k") * 4 + 30, F.length("seq")).cast("int").alias("end"), F.when(F.col("k") % 2 == 0, "+").otherwise("-").alias("strand"), none.alias("phase"),
+        F.concat(F.lit("ID="), *named, F.col("k").cast("string"), F.lit(";start=internal_region")).alias("attributes"),
     )
-    even = F.col("input_order") % 2 == 0
-    chained = reads.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        (F.col("input_order") * 10 + 5 + F.col("k")).alias("line"), F.col("name").alias("seqid"),
-        F.when(F.col("k") == 0, 1).when(even, 14).otherwise(15).alias("start"), F.when(F.col("k") == 0, 12).when(even, 28).otherwise(29).alias("end"),
+    even = F.col("b") % 2 == 0
+    chained = reads.filter(at + 29 <= F.length("seq")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        (line + 5 + F.col("k")).alias("line"), F.col("name").alias("seqid"),
+        (at + F.when(F.col("k") == 0, 1).when(even, 14).otherwise(15)).cast("int").alias("start"),
+        (at + F.when(F.col("k") == 0, 12).when(even, 28).otherwise(29)).cast("int").alias("end"),
         F.lit("+").alias("strand"), F.when(F.col("k") == 0, "0").when(even, "1").otherwise("2").alias("phase"),
-        F.concat(F.lit("ID="), "name", F.lit("_group;group_id=group_1."), F.col("k").cast("string"), F.lit(";indel_type="), F.when(even, "insertion").otherwise("deletion")).alias("attributes"),
+        F.concat(F.lit("ID="), *named, F.lit("group;group_id=group_"), F.col("b").cast("string"), F.lit("."), F.col("k").cast("string"), F.lit(";indel_type="), F.when(even, "insertion").otherwise("deletion")).alias("attributes"),
     )
     gff = singles.unionByName(chained).withColumn("type", F.lit("CDS"))
-    return CR.cds_records(gff, reads.select("name", "seq"))
+    return CR.cds_records(gff, t("reads").select("name", "seq"))
 
 
 # ---- genome tables ----
@@ -193,16 +201,16 @@ def gene_numbers(t):
       select accession, cast(floor(sum(length(seq)) / 1000) as int) as genome_length_kb,
              round(100.0 * sum(length(seq) - length(translate(seq, 'CG', ''))) / sum(length(seq) - length(translate(seq, 'ACGT', ''))), 1) as gc_content, sum(length(seq)) as n
       from {reads} group by accession),
-    cds as (select concat('g', doc_id % 20) as accession, concat('d', doc_id) as landmark, 1 as cds_start, n_chars // 2 as cds_end from {documents} where n_chars >= 2),
+    cds as (select concat('g', doc_id % 20) as accession, concat('d', doc_id) as landmark, 1 as cds_start, (n_chars + 1) // 2 as cds_end from {documents}),
     genes as (select accession, cast(count(*) as int) as protein_coding_genes, cast(trunc(median(cds_end - cds_start + 1)) as int) as cds_median_length, sum(cds_end - cds_start + 1) as covered from cds group by all)
     select i.accession, strain, species, genus, family, "order", class, phylum, domain, n.genome_length_kb, n.gc_content, g.protein_coding_genes, g.cds_median_length, round(covered / n * 100, 2) as coding_percentage
     from {genomes} i join numbers n on i.accession = n.accession join genes g on g.accession = i.accession"""
 )
 def genome_table(t):
     """Genome rows from ranks, sequences and annotations; each text is a sequence with one gene over its first half."""
-    cds = t("documents").filter("n_chars >= 2").select(
+    cds = t("documents").select(
         F.concat(F.lit("g"), F.col("doc_id") % 20).alias("accession"), F.concat(F.lit("d"), "doc_id").alias("landmark"),
-        F.lit(1).cast("long").alias("cds_start"), F.expr("n_chars div 2").alias("cds_end"),
+        F.lit(1).cast("long").alias("cds_start"), F.expr("(n_chars + 1) div 2").alias("cds_end"),
     )
     ranks = t("genomes").select("accession", *X.RANKS)
     return G.genome_table(ranks, t("reads").select("accession", "seq"), cds)
@@ -278,7 +286,7 @@ _LINEAGE = f"""
 
 @query(f"with {_LINEAGE} select accession, cast(depth as int) as depth, tax_id, rank, name from reached", recursive=True)
 def lineages(t):
-    return X.lineages(*_taxonomy(t), doublings=3)
+    return X.lineages(*_taxonomy(t))
 
 
 _RANK_COLUMNS = ", ".join(f"max(name) filter (where rank = '{r}') as \"{r}\"" for r in X.RANKS)
@@ -287,7 +295,7 @@ _RANK_COLUMNS = ", ".join(f"max(name) filter (where rank = '{r}') as \"{r}\"" fo
 @query(f"with {_LINEAGE} select accession, {_RANK_COLUMNS} from reached group by accession", recursive=True)
 def lineage_ranks(t):
     """Eight rank columns per genome; ranks the lineage does not have are NULL."""
-    return X.rank_columns(X.lineages(*_taxonomy(t), doublings=3))
+    return X.rank_columns(X.lineages(*_taxonomy(t)))
 
 
 _CLEAN = "translate({0}, '(),:; ''\"', '[]____')"
@@ -324,16 +332,14 @@ def newick_tree(t):
 
 @query(f"with {_CLASSES} select class_id, rf0, rf1, rf2 from classes")
 def label_classes(t):
-    """Label triples of reads whose frames are equally long (labels here hold no 1-0 step that borders would mark)."""
-    from readframe.queries.labels import _class_table
-
-    return _class_table(t)
+    """Numbered label triples of all reads, as far as all three frames of a read go."""
+    return DS.number_triples(DS.label_triples(t("labelled")))
 
 
 @query(
     f"""
-    with arrays as (select name, 0 as rf, rf0_labels as labels from {{labelled}} where len(rf1_labels) = len(rf2_labels)
-                    union all select name, 1, rf1_labels from {{labelled}} where len(rf1_labels) = len(rf2_labels) union all select name, 2, rf2_labels from {{labelled}} where len(rf1_labels) = len(rf2_labels)),
+    with arrays as (select name, 0 as rf, rf0_labels as labels from {{labelled}}
+                    union all select name, 1, rf1_labels from {{labelled}} union all select name, 2, rf2_labels from {{labelled}}),
     flat as (select name, rf, unnest(labels) as label, generate_subscripts(labels, 1) as i from arrays),
     marked as (select name, rf, i, case when label = 1 and lag(label) over w = 0 then 4 when label = 1 and lead(label) over w = 0 then 5 else label end as label
                from flat window w as (partition by name, rf order by i)),
@@ -343,7 +349,7 @@ def label_classes(t):
 )
 def bordered_label_classes(t):
     """Label triples after indel borders are marked."""
-    return DS.label_classes(t("labelled").filter("size(rf1_labels) = size(rf2_labels)"))
+    return DS.label_classes(t("labelled"))
 
 
 _TYPES = """
@@ -440,11 +446,11 @@ def family_split(t):
 
 @query(
     """
-    select g.accession, case when g.accession in (select concat('g', o_custkey) from {orders} where o_orderpriority = '1-URGENT') then 'train'
-                             when g.accession in (select concat('g', o_custkey) from {orders} where o_orderpriority = '5-LOW') then 'val' else 'none' end as partition from {genomes} g"""
+    select g.accession, case when g.accession in (select concat('g', o_custkey) from {orders} where o_orderpriority = '5-LOW') then 'val'
+                             when g.accession in (select concat('g', o_custkey) from {orders} where o_orderpriority = '1-URGENT') then 'train' else 'none' end as partition from {genomes} g"""
 )
 def partition_labels(t):
-    """Membership in two accession lists; an accession in both counts for the first name."""
+    """Membership in two accession lists; an accession in both counts for the later list."""
     orders = t("orders").withColumn("accession", F.concat(F.lit("g"), "o_custkey"))
     lists = {"train": orders.filter("o_orderpriority = '1-URGENT'"), "val": orders.filter("o_orderpriority = '5-LOW'")}
     return DS.partition_label(t("genomes"), lists).select("accession", "partition")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readframe.functions import labels as L
 from readframe.functions import sequence as S
+from readframe.operators import datasets as DS
 from readframe.operators import decode as D
 from readframe.operators import frameshift as X
 from readframe.operators import windows as W
@@ -111,13 +112,15 @@ def codon_labels(t):
 
 @query(
     """
-    select name, array_to_string(list_concat(list_slice(rf0_labels, 1, 400), list_transform(range(len(list_slice(rf0_labels, 1, 400)), 400), lambda x: -1)), ',') as padded,
-           cast(least(len(rf0_labels), 400) as int) as n_valid
-    from {labelled}"""
+    with longest as (select accession, max(len(rf0_labels)) as n from {labelled} group by accession)
+    select name, array_to_string(list_concat(rf0_labels, list_transform(range(len(rf0_labels), n), lambda x: -1)), ',') as padded, cast(len(rf0_labels) as int) as n_valid
+    from {labelled} join longest using (accession)"""
 )
 def padded_labels(t):
-    padded = L.pad_labels(F.col("rf0_labels"), 400)
-    return t("labelled").select(
+    """Labels filled up to the longest read of each genome."""
+    longest = t("labelled").groupBy("accession").agg(F.max(F.size("rf0_labels")).alias("longest"))
+    padded = L.pad_labels(F.col("rf0_labels"), F.col("longest"))
+    return t("labelled").join(longest, "accession").select(
         "name", F.array_join(F.transform(padded, lambda x: x.cast("string")), ",").alias("padded"), F.size(L.valid_labels(padded)).alias("n_valid")
     )
 
@@ -180,20 +183,11 @@ def decoded_labels(t):
 _CLASSES = """
     triples as (
       select distinct a as rf0, b as rf1, c as rf2 from (
-        select unnest(rf0_labels[1:len(rf1_labels)]) as a, unnest(rf1_labels) as b, unnest(rf2_labels) as c from {labelled} where len(rf1_labels) = len(rf2_labels))),
+        select unnest(rf0_labels) as a, unnest(rf1_labels) as b, unnest(rf2_labels) as c from {labelled}) where a is not null and b is not null and c is not null),
     classes as (select cast(row_number() over (order by rf0, rf1, rf2) - 1 as int) as class_id, rf0, rf1, rf2 from triples)"""
 _LEGAL = " or ".join(f"({{0}} = {a} and {{1}} in ({', '.join(map(str, b))}))" for a, b in L.LEGAL_FOUR.items())
 
 
-def _class_table(t):
-    same = t("labelled").filter(F.size("rf1_labels") == F.size("rf2_labels"))
-    zipped = F.arrays_zip(F.slice("rf0_labels", F.lit(1), F.size("rf1_labels")).alias("rf0"), F.col("rf1_labels").alias("rf1"), F.col("rf2_labels").alias("rf2"))
-    triples = same.select(F.explode(F.array_distinct(zipped)).alias("t")).select("t.*").distinct()
-    from pyspark.sql import Window
-
-    return triples.select((F.row_number().over(Window.orderBy("rf0", "rf1", "rf2")) - 1).alias("class_id"), "rf0", "rf1", "rf2")
-
-
 @query(
     f"""
     with {_CLASSES}
@@ -202,7 +196,7 @@ def _class_table(t):
     from classes x cross join classes y"""
 )
 def legal_transitions(t):
-    return D.legal_transitions(_class_table(t), n_labels=4)
+    return D.legal_transitions(DS.number_triples(DS.label_triples(t("labelled"))), n_labels=4)
 
 
 # Six labels, one coding frame at a time.

@@ -82,9 +82,19 @@ def equal_length_frames(t):
     return t("reads").select("name", *[S.equal_length_frame(F.col("seq"), rf).alias(f"rf{rf}") for rf in range(3)])
 
 
-@query("select name, rpad(seq, 3000, 'N') as padded from {reads}")
+def _longest(t):
+    """Codons that hold the longest read of each genome."""
+    return t("reads").groupBy("accession").agg(F.max(F.ceil(F.length("seq") / 3)).cast("int").alias("codons"))
+
+
+@query(
+    """
+    with longest as (select accession, cast(ceil(max(length(seq)) / 3) as int) as codons from {reads} group by accession)
+    select name, rpad(seq, 3 * codons, 'N') as padded from {reads} join longest using (accession)"""
+)
 def padded_reads(t):
-    return t("reads").select("name", S.pad_or_cut(F.col("seq"), 1000).alias("padded"))
+    """Reads filled up to the longest of their genome."""
+    return t("reads").join(_longest(t), "accession").select("name", S.pad_or_cut(F.col("seq"), F.col("codons")).alias("padded"))
 
 
 @query(
@@ -121,17 +131,19 @@ VOCABULARY = {"<cls>": 0, "<pad>": 1, "<eos>": 2, "<unk>": 3} | {r: 4 + i for i,
 @query(
     f"""
     with t as (
-      select name, list_slice(regexp_extract_all({_protein_sql("seq", "X", "Z")}, '.'), 1, 1000) as residues from {{reads}})
-    select name, concat_ws(',', '0', array_to_string(MAP(residues, <x> case when x = 'Z' then '3' else cast(3 + instr('LAGVSERTIDPKQNFYMHWCX', x) as varchar) end), ','), '2') as ids,
+      select name, accession, regexp_extract_all({_protein_sql("seq", "X", "Z")}, '.') as residues from {{reads}}),
+    longest as (select accession, cast(ceil(max(length(seq)) / 3) as int) as codons from {{reads}} group by accession)
+    select name, concat(array_to_string(list_concat(['0'], list_transform(residues, lambda x: case when x = 'Z' then '3' else cast(3 + instr('LAGVSERTIDPKQNFYMHWCX', x) as varchar) end), ['2']), ','),
+                        repeat(',1', cast(codons - len(residues) as int))) as ids,
            cast(len(residues) + 2 as int) as n_attended
-    from t where len(residues) > 0"""
+    from t join longest using (accession)"""
 )
 def token_ids(t):
-    tokens = S.token_ids(S.model_residues(F.col("seq")), VOCABULARY, 1000)
-    rows = t("reads").filter("length(seq) >= 3").select("name", tokens.alias("k"))
+    """Token ids filled up to the longest read of each genome."""
+    tokens = S.token_ids(S.model_residues(F.col("seq")), VOCABULARY, F.col("codons"))
+    rows = t("reads").join(_longest(t), "accession").select("name", tokens.alias("k"))
     attended = F.aggregate("k.attention_mask", F.lit(0), lambda acc, x: acc + x)
-    ids = F.array_join(F.transform(F.slice("k.input_ids", F.lit(1), attended), lambda x: x.cast("string")), ",")
-    return rows.select("name", ids.alias("ids"), attended.alias("n_attended"))
+    return rows.select("name", F.array_join(F.transform("k.input_ids", lambda x: x.cast("string")), ",").alias("ids"), attended.alias("n_attended"))
 
 
 @query(

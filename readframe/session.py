@@ -1,9 +1,8 @@
-"""Session settings and lineage cuts."""
+"""Session settings and checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,28 +35,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-_own_folders: dict[str, str] = {}
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, made now and kept in the folder that ``spark.checkpoint.dir`` names, for jobs that iterate.
 
-
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only a local session without it gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="readframe-")
-    return _own_folders[context.applicationId]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a table that is read several times to the shared folder and go on from there.
-
-    The rows are made once, survive lost executors, and come back with the sizes that join planning needs.
+    A local session without that setting gets a folder of its own; on a cluster the folder must be shared.
     """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/readframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="readframe-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)

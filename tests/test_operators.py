@@ -84,7 +84,7 @@ def test_contained_fragments(spark):
     want = {(a, f) for a, f in fragments if any(a == g and f.replace("X", "W") in p for g, p in proteins)}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     reads = spark.createDataFrame([("r1", "g", []), ("r2", "g", ["QQQ"])], "read_id string, accession string, fragments array<string>")
-    kept = containment.reads_with_known_fragments(reads, spark.createDataFrame(proteins, "accession string, protein string"))
+    kept = containment.reads_with_known_fragments(reads, spark.createDataFrame(proteins, "accession string, protein string"), ["accession", "read_id"])
     assert [r.read_id for r in kept.collect()] == ["r1"]
 
 
