@@ -239,7 +239,33 @@ def chained_segments(t):
     return chained.select("name", F.inline("segments"))
 
 
-@query()
+# Fragments in order; each row carries the chains that may still go on, with their last fragment.
+@query(
+    f"""
+    with {_CELLS},
+    marked as (
+      select *, sum(case when label in (1, 2) and (prev is null or prev not in (1, 2)) or label = 3 and (prev is null or prev not in (1, 2)) then 1 else 0 end)
+                over (partition by name, rf order by i) as run
+      from cells),
+    runs as (
+      select name, cast(3 * min(i) + rf + 1 as int) as start, cast(3 * (max(i) + 1) + rf as int) as "end", cast(rf as int) as rf
+      from marked where label in (1, 2, 3) group by name, rf, run),
+    placed as (
+      select r.*, row_number() over (partition by r.name order by start, "end", rf) as k, length,
+             list_transform([0, 1, 2], lambda f: (length - f) // 3 * 3) as labelled_to
+      from runs r join {{labelled}} l on r.name = l.name),
+    walk(name, k, start, "end", rf, chain, n_chains, open) as (
+      select name, k, start, "end", rf, 0, 1, [{{'chain': 0, 'end': "end", 'rf': rf}}] from placed where k = 1
+      union all
+      select name, k, start, "end", rf, coalesce(fit, n_chains), n_chains + case when fit is null then 1 else 0 end,
+             list_append(list_filter(open, lambda o: o['chain'] <> coalesce(fit, -1) and o['end'] >= start - {X.MAX_FRAGMENT_GAP + 1}), {{'chain': coalesce(fit, n_chains), 'end': "end", 'rf': rf}})
+      from (select p.name, p.k, p.start, p."end", p.rf, w.n_chains, w.open,
+                   list_min(list_transform(list_filter(w.open, lambda o: p.start - o['end'] - 1 between 0 and {X.MAX_FRAGMENT_GAP} and p.rf <> o['rf']
+                     and o['end'] < p.labelled_to[o['rf'] + 1] and p.start < p.labelled_to[p.rf + 1]), lambda o: o['chain'])) as fit
+            from walk w join placed p on p.name = w.name and p.k = w.k + 1) x)
+    select name, start, "end", rf, cast(chain as int) as cds_group from walk""",
+    recursive=True,
+)
 def truth_chains(t):
     """Truth intervals of each read chained over small gaps."""
     runs = L.in_all_frames(FRAMES, L.truth_intervals)
