@@ -231,7 +231,65 @@ def called_features(t):
     return scoring.gff_features(_called(t), t("reads").select(F.col("name").alias("read_name"), "input_order"))
 
 
-@query()
+# Segments of labels with marked borders; k is a segment's place in its read.
+_MARKED_SEGMENTS = f"""{_CELLS},
+    bordered as (select name, rf, i, case when label = 1 and prev = 0 then 4 when label = 1 and next = 0 then 5 else label end as label from cells),
+    beside as (select *, lag(label) over w as prev, lead(label) over w as next from bordered window w as (partition by name, rf order by i)),
+    runs as (
+      select *, sum(case when label in (1, 2, 4) and (prev is null or prev not in (1, 2, 4)) then 1 else 0 end) over (partition by name, rf order by i) as run
+      from beside),
+    bodies as (
+      select name, rf, run, min(i) as first, max(i) as last, arg_min(label, i) as opening, arg_max(next, i) as closing
+      from runs where label in (1, 2, 4) group by name, rf, run),
+    segs as (
+      select name, cast(3 * first + rf + 1 as int) as start, cast(3 * (last + 1 + case when closing in (3, 5) then 1 else 0 end) + rf as int) as "end",
+             cast(rf as int) as frame, case opening when 2 then 'start_codon' when 4 then 'indel_start' else 'internal_region' end as start_type,
+             case closing when 3 then 'stop_codon' when 5 then 'indel_stop' else 'internal_region' end as end_type
+      from bodies),
+    placed as (select *, row_number() over (partition by name order by start, frame) as k from segs)"""
+
+# A walk over the segments of a read; each row carries the chains that wait for a further segment.
+_LINKED = f"""
+    walk(name, k, first, fragment, open) as (
+      select name, k, k, 0, case when end_type = 'indel_stop' then [{{'first': k, 'last': k, 'n': 1, 'end': "end", 'frame': frame}}] else [] end from placed where k = 1
+      union all
+      select name, k, coalesce(fit['first'], k), coalesce(fit['n'], 0),
+             case when end_type = 'indel_stop' then list_append(rest, {{'first': coalesce(fit['first'], k), 'last': k, 'n': coalesce(fit['n'], 0) + 1, 'end': "end", 'frame': frame}}) else rest end
+      from (
+        select name, k, "end", frame, end_type, fit, list_filter(waiting, lambda o: fit is null or o['first'] <> fit['first']) as rest
+        from (
+          select *, list_sort(list_filter(waiting, lambda o: abs(start - o['end']) <= {X.MAX_LINK_DISTANCE} and start_type = 'indel_start' and frame <> o['frame']))[1] as fit
+          from (
+            select p.*, list_filter(w.open, lambda o: o['n'] = 1 and p.start - o['end'] <= {X.MAX_LINK_DISTANCE} or o['last'] = p.k - 1) as waiting
+            from walk w join placed p on p.name = w.name and p.k = w.k + 1) a) b) c),
+    members as (select p.*, w.first, w.fragment, count(*) over (partition by p.name, w.first) as parts from placed p join walk w on p.name = w.name and p.k = w.k),
+    linked as (
+      select *, dense_rank() over (partition by name order by first) as group_id, lead(frame) over c as frame_after, lag(frame) over c as frame_before,
+             lead(start) over c as start_after, lead("end") over c as end_after
+      from members where parts > 1 window c as (partition by name, first order by fragment)),
+    settled(name, first, fragment, start) as (
+      select name, first, fragment, start from linked where fragment = 0
+      union all
+      select l.name, l.first, l.fragment + 1, case when {{cut}} then cut_start else start_after end
+      from (select l.*, s.start as cut_from, s.start + 3 * cast(floor((start_after - s.start) / 3) as int) - 1 as cut_end, start_after + 3 * cast(floor(("end" - start_after + 3) / 3) as int) as cut_start
+            from settled s join linked l on l.name = s.name and l.first = s.first and l.fragment = s.fragment) l
+      where start_after is not null),
+    chained as (
+      select l.name, l.k, s.start, case when {{cut}} then cut_end else "end" end as "end", frame, start_type, end_type, group_id, l.fragment,
+             case when (coalesce(frame_after, frame) - case when frame_after is null then frame_before else frame end + 3) % 3 = 1 then 'insertion' else 'deletion' end as indel_type
+      from (select l.*, s.start + 3 * cast(floor((start_after - s.start) / 3) as int) - 1 as cut_end, start_after + 3 * cast(floor(("end" - start_after + 3) / 3) as int) as cut_start, s.start as cut_from
+            from settled s join linked l on l.name = s.name and l.first = s.first and l.fragment = s.fragment) l
+      join settled s on l.name = s.name and l.first = s.first and l.fragment = s.fragment),
+    single as (select *, row_number() over (partition by name, "end" - start >= 30 order by start, frame) as n from members where parts = 1),
+    segments as (
+      select name, start, "end", frame, start_type, end_type, indel_type, cast(group_id as int) as group_id, cast(fragment as int) as fragment, cast(null as int) as number from chained
+      union all
+      select name, start, "end", frame, start_type, end_type, null, null, null, cast(case when "end" - start >= 30 then n end as int) from single)""".replace(
+    "{cut}", '(start_after is not null and "end" >= start_after and cut_end >= cut_from and cut_start <= end_after)'
+)
+
+
+@query(f"with {_MARKED_SEGMENTS}, {_LINKED} select * from segments", recursive=True)
 def chained_segments(t):
     """Label runs of each read with indel borders marked, chained over frameshifts."""
     runs = L.in_all_frames(FRAMES, lambda labels, rf: L.segments(L.mark_indel_borders(labels), rf))
