@@ -312,7 +312,7 @@ def test_lineages_and_tree(spark):
     names = [(n, f"name {n}") for n, _, _ in nodes]
     taxa = spark.createDataFrame([("A", "1000"), ("B", "1000"), ("C", "70"), ("D", "100")], "accession string, tax_id string")
     found = taxonomy.lineages(
-        taxa, spark.createDataFrame(nodes, "tax_id string, parent_id string, rank string"), spark.createDataFrame(names, "tax_id string, name string"), doublings=3
+        taxa, spark.createDataFrame(nodes, "tax_id string, parent_id string, rank string"), spark.createDataFrame(names, "tax_id string, name string")
     )
     rows = {r.accession: r for r in taxonomy.rank_columns(found).collect()}
     assert set(rows) == {"A", "B", "D"} and rows["A"].species == "name 1000" and rows["D"].species is None and rows["D"].domain == "name 2"
