@@ -1,11 +1,14 @@
 """Sequence, annotation, prediction and genome tables derived from the test tables.
 
 Each derivation is one SQL text that both engines run over whole tables and whole texts.  The few spellings that differ
-are written as marks: ``<ALL>`` (replace every match), ``MAP(`` (transform an array) and ``<x>`` (a lambda's argument).
+are written as marks: ``<ALL>`` (replace every match), ``MAP(`` (transform an array), ``<x>`` (a lambda's argument) and
+``EACH(`` (a row for each value).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from readframe.session import spread
@@ -56,11 +59,11 @@ DERIVED = {
                cast(case part when 0 then start_at else start_at + 3 * n_first + 1 end as int) as start,
                cast(case when part = 1 then start_at + 6 * n_first when is_broken then start_at - 1 + 3 * n_first else start_at - 1 + 3 * n_codons end as int) as "end",
                cast((rf + part) % 3 as int) as rf
-        from {cds_base} cross join (select 0 as part union all select 1) p where part = 0 or is_broken""",
+        from (select *, EACH(0, 1) as part from {cds_base}) p where part = 0 or is_broken""",
     # Predictions of three models: mostly right, some too long, some in the next frame, some with the break missed.
     "cds_by_model": """
-        select m.model, b.*, (b.mix + m.offset_by) % 10 as kind
-        from {cds_base} b cross join (select 'small' as model, 0 as offset_by union all select 'medium', 3 union all select 'large', 11) m""",
+        select *, (mix + case model when 'small' then 0 when 'medium' then 3 else 11 end) % 10 as kind
+        from (select *, EACH('small', 'medium', 'large') as model from {cds_base}) m""",
     "pred": """
         select model, testset, accession, read_name, case when is_broken and kind <> 9 then line end as cds_group,
                cast(case when part = 1 then start_at + 3 * n_first + 1 when kind = 8 and not is_broken then start_at + 1 else start_at end as int) as start,
@@ -68,7 +71,7 @@ DERIVED = {
                          when kind = 8 then start_at + 3 * n_codons when kind in (6, 7) then start_at - 1 + 3 * n_codons + 3 * (1 + qty % 4)
                          else start_at - 1 + 3 * n_codons end as int) as "end",
                cast(case when part = 1 or (kind = 8 and not is_broken) then (rf + 1) % 3 else rf end as int) as rf
-        from {cds_by_model} cross join (select 0 as part union all select 1) p where part = 0 or (is_broken and kind <> 9)""",
+        from (select *, EACH(0, 1) as part from {cds_by_model}) p where part = 0 or (is_broken and kind <> 9)""",
     "read_universe": """
         select concat('with_errors_', case o_orderstatus when 'F' then '5e-06i_0.004s' when 'O' then '1.25e-05i_0.01s'
                                                           else '3.75e-05i_0.03s' end, '_300bp') as testset,
@@ -127,7 +130,9 @@ DERIVED = {
 def _dialect(sql: str, spark: bool) -> str:
     if spark:
         out = sql.replace("<ALL>", "").replace("MAP(", "transform(").replace("<x>", "x ->")
+        out = re.sub(r"EACH\(([^()]*)\)", r"explode(array(\1))", out)
         return out.replace('"end"', "`end`").replace('"order"', "`order`")
+    sql = re.sub(r"EACH\(([^()]*)\)", r"unnest([\1])", sql)
     return sql.replace("<ALL>", ", 'g'").replace("MAP(", "list_transform(").replace("<x>", "lambda x:")
 
 
