@@ -163,9 +163,13 @@ def _pair_counts(read_counts: DataFrame, models: list[str], min_genomes: int) ->
         .groupBy("testset", "accession", "model_a", "model_b", "a", "b")
         .agg(F.count("*").alias("n"))
     )
-    scored = read_counts.select("testset", "accession", "model").distinct()
-    a, b = (scored.withColumnRenamed("model", name) for name in ("model_a", "model_b"))
-    shared = a.join(b, ["testset", "accession"]).filter("model_a != model_b")
+    # Which models have scored a genome follows from the same rows.
+    scored = per_read.groupBy("testset", "accession").agg(*[F.max(F.col(f"_m{i}").isNotNull()).alias(f"_has{i}") for i in range(len(models))])
+    both = [
+        F.when(F.col(f"_has{i}") & F.col(f"_has{j}"), F.struct(F.lit(models[i]).alias("model_a"), F.lit(models[j]).alias("model_b")))
+        for i, j in combinations(range(len(models)), 2)
+    ]
+    shared = scored.select("testset", "accession", F.explode(F.array_compact(F.array(*both))).alias("x")).select("testset", "accession", "x.*")
     enough = shared.groupBy("testset", "model_a", "model_b").agg(F.count("*").alias("n_genomes")).filter(F.col("n_genomes") >= min_genomes)
     kept = shared.join(enough, ["testset", "model_a", "model_b"], "left_semi")
     return (
