@@ -384,6 +384,11 @@ def with_genome_info(counts: DataFrame, genomes: DataFrame, gc_edges: tuple = C.
     return counts.join(info, "accession", "left")
 
 
+def genomes_per_bin(genomes: DataFrame, gc_edges: tuple = C.GC_EDGES) -> DataFrame:
+    """Genomes in each GC bin; those outside all bins have none."""
+    return genomes.withColumn("gc_bin", C.gc_bin(F.col("gc_content"), gc_edges)).groupBy("gc_bin").agg(F.count("*").alias("n_genomes"))
+
+
 def micro_totals(counts: DataFrame, sets: list[list[str]], counters: tuple[str, ...] = ("tp", "fp", "fn")) -> DataFrame:
     """Summed counters for several grouping sets at once; ``grouping_id`` tells a total from a NULL value."""
     columns = list(dict.fromkeys(c for s in sets for c in s))

@@ -331,13 +331,33 @@ def frame_labels_with_indels(t):
     return _nonzero(reads, lambda rf: L.codon_labels(labels(rf)))
 
 
-@query()
+# A walk over the breaks of a call: its indels in order, then the base behind its end.
+@query(
+    """
+    with calls as (
+      select distinct read_name, start * 1000000 + "end" * 100 + rf as call, cast(start as int) as start, cast(case when "end" = 297 then 300 else "end" end as int) as e, rf,
+             start + 10 as ins, "end" - 9 as del from {pred}),
+    cuts as (select *, list_append(list_sort(list_distinct([ins, del])), e + 1) as breaks from calls),
+    walk(read_name, call, start, e, ins, del, breaks, k, at_base, frame, from_base, to_base, piece_frame) as (
+      select read_name, call, start, e, ins, del, breaks, 0, start, rf, null :: int, null :: int, null :: int from cuts
+      union all
+      select read_name, call, start, e, ins, del, breaks, k + 1, case when b = ins and b <> del then b + 1 else b end,
+             case when b = del then (frame + 2) % 3 when b = ins then (frame + 1) % 3 else frame end,
+             case when usable then a end, case when usable then z - (z - a + 1 + 300) % 3 end, frame
+      from (
+        select *, f + (1 - f + frame + 3000) % 3 as a, at_base <= b - 1 and at_base <= e and b - 1 >= start and f <= z as usable
+        from (select *, greatest(at_base, start) as f, least(b - 1, e) as z from (select *, breaks[cast(k + 1 as bigint)] as b from walk where k < len(breaks)) x) y) w)
+    select read_name, cast(call as varchar) as cds_group, cast(from_base as int) as start, cast(to_base as int) as "end", cast(piece_frame as int) as rf
+    from walk where from_base is not null and to_base > from_base""",
+    recursive=True,
+)
 def caller_pieces(t):
     """Predicted CDSs cut at two indel positions each."""
     from readframe.sources.tables import caller_pieces as cut
 
-    calls = t("pred").select(
-        "read_name", F.xxhash64("model", "read_name", "start", "end", "rf").alias("call"), "start", "end", "rf",
+    distinct = t("pred").select("read_name", "start", "end", "rf").distinct()
+    calls = distinct.select(
+        "read_name", (F.col("start").cast("long") * 1_000_000 + F.col("end") * 100 + F.col("rf")).alias("call"), "start", "end", "rf",
         F.array((F.col("start") + 10).cast("int")).alias("insertions"), F.array((F.col("end") - 9).cast("int")).alias("deletions"),
     )
     return cut(calls, READ_LENGTH).select("read_name", "cds_group", "start", "end", "rf")

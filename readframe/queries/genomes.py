@@ -530,10 +530,11 @@ def reads_per_genome(t):
     return DS.read_counts_per_genome(t("alignments"), t("genomes"))
 
 
-@query("select accession from {genomes} except select concat('g', o_custkey) as accession from {orders}")
+@query("select accession from {genomes} except select concat('g', o_custkey) as accession from {orders} where o_orderstatus = 'P'")
 def unfinished_genomes(t):
-    """Genomes without any order."""
-    return X.unfinished(t("genomes"), t("orders").select(F.concat(F.lit("g"), "o_custkey").alias("accession")))
+    """Genomes without any order that is under way."""
+    done = t("orders").filter("o_orderstatus = 'P'")
+    return X.unfinished(t("genomes"), done.select(F.concat(F.lit("g"), "o_custkey").alias("accession")))
 
 
 @query(
