@@ -70,6 +70,9 @@ def attach_cds(
     The annotation is folded into one list per bin first, wide enough for every read that starts in the bin.  A read
     then meets exactly one row: it is neither repeated nor grouped again.  The list is bounded by the bin: checked
     annotations hold a start and an end once.
+
+    Reads and lists meet on the bin's name as text.  The lists are dealt out by that name anew, after they are made, so
+    that adaptive execution finds two plain shuffles and can split the reads of a hot bin over tasks.
     """
     per_bin = (
         cds.select(*place, "cds_start", "cds_end")
@@ -82,17 +85,23 @@ def attach_cds(
                 F.collect_set(F.struct(F.col("cds_start").cast("long").alias("start"), F.col("cds_end").cast("long").alias("end")))
             ).alias("_cds")
         )
+        .select(_name(place), "_cds")
     )
     touching = F.filter("_cds", lambda c: (c["start"] <= F.col("end")) & (c["end"] >= F.col("start")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return (
         reads.withColumn("_bin", _bin("start", width))
-        .join(per_bin, [*place, "_bin"], "left")
+        .withColumn("_name", _name(place))
+        .join(per_bin, "_name", "left")
         .withColumn("cds", F.coalesce(touching, empty))
-        .drop("_bin", "_cds")
+        .drop("_bin", "_name", "_cds")
     )
 
 
+def _name(place: list[str]):
+    return F.concat_ws("\u0001", *place, F.col("_bin").cast("string")).alias("_name")
+
+
 def merge_regions(cds: DataFrame, place: list[str], width: int = 65536) -> DataFrame:
     """Union of overlapping intervals per place: (place, region_start, region_end, n_cds)."""
     starts = cds.groupBy(*place, "cds_start").agg(F.max("cds_end").alias("cds_end"), F.count("*").alias("n_cds"))

@@ -91,3 +91,23 @@ def test_equal_read_ids_of_two_genomes_are_two_reads(spark):
     proteins = spark.createDataFrame([("g", protein), ("h", "QQQQQQQQQQ")], "accession string, protein string")
     got = labelled_reads.check_reads(alignments, annotations, assemblies, proteins, 90).collect()
     assert sorted((r.accession, r.kept) for r in got) == [("g", True), ("h", False)]
+
+
+def test_reads_of_a_hot_bin_are_split(spark):
+    """Nine reads in ten start in one bin: the plan lets adaptive execution split them, and each finds its CDSs."""
+    reads = spark.range(2000).selectExpr("id as read_id", "'a' as assembly_id", "'+' as strand", "if(id % 10 = 0, id * 900, 100 + id % 50) as start").selectExpr("*", "start + 89 as end")
+    cds = spark.createDataFrame([("a", "+", 120, 400), ("a", "+", 90_000, 90_500), ("b", "+", 1, 10_000)], "assembly_id string, strand string, cds_start long, cds_end long")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = intervals.attach_cds(reads, cds, 90)
+        rows = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "skew=true" in plan and len(rows) == 2000
+    for r in rows:
+        assert [(c.start, c.end) for c in r.cds] == [(s, e) for s, e in ((120, 400), (90_000, 90_500)) if s <= r.end and e >= r.start]
