@@ -30,26 +30,29 @@ def for_models(truth: DataFrame, models: list[str]) -> DataFrame:
 
 
 def whole_cds(cds: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per CDS: start, end, rf (NULL if broken), fragments (start, end, rf) in order."""
-    fragment = F.struct(F.col("start").cast("int"), F.col("end").cast("int"), F.col("rf").cast("int"))
+    """One row per CDS: start, end, rf (NULL if broken), fragments (start, end, rf) in order.
+
+    Rows are dealt out by read once.  Whatever later groups or stacks CDSs of a read finds them in place, so that an
+    evaluation shuffles each side once.  Copies of an unbroken CDS are counted, not listed.
+    """
+    fragment = F.struct(*[F.col(c).cast("int").alias(c) for c in ("start", "end", "rf")])
     spans = "array<struct<start:int,end:int,rf:int>>"
-    single = cds.filter(F.col("cds_group").isNull()).select(
-        *keys, F.col("start").cast("int"), F.col("end").cast("int"), F.col("rf").cast("int"),
-        F.array(fragment).cast(spans).alias("fragments"),
-    )
-    chained = (
-        cds.filter(F.col("cds_group").isNotNull())
-        .groupBy(*keys, "cds_group")
-        .agg(F.array_sort(F.collect_list(fragment)).cast(spans).alias("fragments"))
-        .select(
-            *keys,
-            F.get("fragments", F.lit(0))["start"].alias("start"),
-            F.element_at("fragments", -1)["end"].alias("end"),
-            F.when(F.size("fragments") == 1, F.get("fragments", F.lit(0))["rf"]).alias("rf"),
-            "fragments",
-        )
+    is_single = F.col("cds_group").isNull()
+    grouped = (
+        cds.repartition(*[k for k in keys if k != "model"])
+        .withColumn("_own", F.when(is_single, fragment))
+        .groupBy(*keys, "cds_group", "_own")
+        .agg(F.count("*").cast("int").alias("_n"), F.array_sort(F.collect_list(F.when(~is_single, fragment))).cast(spans).alias("_parts"))
     )
-    return single.unionByName(chained)
+
+    def row(start: Column, end: Column, rf: Column, fragments: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), rf.alias("rf"), fragments.cast(spans).alias("fragments"))
+
+    own, parts = F.col("_own"), F.col("_parts")
+    first = F.get(parts, F.lit(0))
+    single = row(own["start"], own["end"], own["rf"], F.array(own))
+    chained = row(first["start"], F.get(parts, F.size(parts) - 1)["end"], F.when(F.size(parts) == 1, first["rf"]), parts)
+    return grouped.select(*keys, F.inline(F.when(is_single, F.array_repeat(single, F.col("_n"))).otherwise(F.array(chained))))
 
 
 def _stack(truth: DataFrame, pred: DataFrame, columns: list) -> DataFrame:
