@@ -34,6 +34,10 @@ HEADLINE = [
     "genome_composition",
     "decoded_labels",
     "family_split",
+    "chained_segments",
+    "called_features",
+    "fragments_in_proteome",
+    "labelled_reads",
 ]
 
 
