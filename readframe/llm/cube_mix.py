@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readframe.llm.shared import GAPS, cut
+from readframe.llm.shared import GAPS, cut, join_back
 
 WEIGHTS = (5.0, 2.0, 1.0)
 DOCS_PER_BLOCK = 4096
@@ -91,9 +91,11 @@ def fly(units: DataFrame, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
     blocks = units.where(open_).groupBy("source_no").agg(F.ceil(F.count("*") / docs_per_block).alias("blocks"))
     done = units.where(~open_).select("doc_id", "source_no", "size", "whole", "p")
-    flying = units.where(open_).join(blocks, "source_no").withColumn("block", F.pmod(F.xxhash64("draw"), F.col("blocks")))
+    flying = join_back(units.where(open_), blocks, "source_no").withColumn("block", F.pmod(F.xxhash64("draw"), F.col("blocks")))
     while True:
-        flown = cut(flying.select(*(c.split()[0] for c in UNIT.split(", "))).groupBy("source_no", "block").applyInPandas(_fly, UNIT))
+        # One name for source and block: by two columns Spark would leave a source where a join has put it, in one task.
+        cell = F.concat_ws(":", "source_no", "block").alias("cell")
+        flown = cut(flying.select(*(c.split()[0] for c in UNIT.split(", "))).groupBy(cell).applyInPandas(_fly, UNIT))
         again = open_ & (F.col("blocks") > 1)
         done = done.union(flown.where(~again).select("doc_id", "source_no", "size", "whole", "p"))
         flying = flown.where(again)
