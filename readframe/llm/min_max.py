@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import xxhash
 
-from readframe.llm.shared import components, cut
+from readframe.llm.shared import components, cut, join_back
 
 SHINGLE = 5
 MIN_SIMILARITY = 85  # in percent
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, min_similarity: int = MIN_SIMILARITY, block
     links = cut(_confirmed(docs, one, rough, min_similarity, block_shingles))
     named = one.join(components(links), F.col("s1") == F.col("node"), "left").select("s1", "s2", "first", F.coalesce("component", "s1").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "s1", "s2").join(named.join(least, "group").select("s1", "s2", "component_id"), ["s1", "s2"], "left")
+    out = known.select("doc_id", "n_shingles", "s1", "s2").join(join_back(named, least, "group").select("s1", "s2", "component_id"), ["s1", "s2"], "left")
     component = F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -153,14 +153,16 @@ def _confirmed(docs: DataFrame, one: DataFrame, rough: DataFrame, least: int, mo
     loads = asked.groupBy("g").agg(
         F.greatest(F.ceil(F.sum("n") / most), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("chunks"), F.min("s1").alias("p1"), F.max("s1").alias("p2")
     )
-    placed = asked.join(loads, "g").withColumn("chunk", F.pmod(F.xxhash64("s1"), F.col("chunks")).cast("int"))
+    placed = join_back(asked, loads, "g").withColumn("chunk", F.pmod(F.xxhash64("s1"), F.col("chunks")).cast("int"))
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     full = cut(placed.join(texts, F.col("first").eqNullSafe(F.col("_id"))).select("g", "s1", "chunk", "chunks", "p1", "p2", "text").mapInArrow(_sets, SET))
 
     pivot = (F.col("s1") == F.col("p1")) | (F.col("s1") == F.col("p2"))
     own = F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     compare = _comparer(least)
-    first = full.select("g", F.explode(own).alias("i"), F.lit(0).alias("j"), "s1", "hashes").groupBy("g", "i", "j").applyInPandas(compare, LINK)
+    # One name for a block: by several columns Spark would leave a group where a join has put it, in one task.
+    cell = F.concat_ws(":", "g", "i", "j").alias("cell")
+    first = full.select("g", F.explode(own).alias("i"), F.lit(0).alias("j"), "s1", "hashes").groupBy(cell).applyInPandas(compare, LINK)
 
     large = full.where("chunks > 1")
     if large.isEmpty():
@@ -168,13 +170,13 @@ def _confirmed(docs: DataFrame, one: DataFrame, rough: DataFrame, least: int, mo
     first = cut(first)
     part = large.select("g", "s1", "chunk", "chunks", "hashes").join(components(first), F.col("s1") == F.col("node"), "left").withColumn("part", F.coalesce("component", "s1"))
     main = part.groupBy("g", "part").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    part = part.join(main, "g")
+    part = cut(join_back(part, main, "g"))  # kept, as a plan of all these joins takes the optimizer too long
     apart = part.where("part != main")
     slices = apart.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("slices"))
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i")
-    left = apart.join(slices, "g").select("g", every, F.pmod(F.xxhash64("s1", F.lit(1)), F.col("slices")).cast("int").alias("j"), "s1", "hashes")
-    right = part.join(slices, "g").select("g", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("j"), "s1", "hashes")
-    return first.union(left.union(right).groupBy("g", "i", "j").applyInPandas(compare, LINK))
+    left = join_back(apart, slices, "g").select("g", every, F.pmod(F.xxhash64("s1", F.lit(1)), F.col("slices")).cast("int").alias("j"), "s1", "hashes")
+    right = join_back(part, slices, "g").select("g", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("j"), "s1", "hashes")
+    return first.union(left.union(right).groupBy(cell).applyInPandas(compare, LINK))
 
 
 SET, LINK = "g long, s1 long, chunk int, chunks int, p1 long, p2 long, hashes binary", "a long, b long"

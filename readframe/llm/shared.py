@@ -52,7 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="readframe-llm-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # Kept rows would carry on the optimizer's guess of their size, which joins multiply in each round of a loop, until
+    # working out the guess takes longer than the job.  So they start without any.
+    session = df.sparkSession
+    rows = session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(rows, session)
+
+
+def join_back(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Add to each row what ``totals`` has for its key.
+
+    The totals are dealt out anew, by the key as text: with a plain shuffle on both sides adaptive execution can split the
+    rows of a hot key, which it cannot where one side comes straight from an aggregate.
+    """
+    name = F.concat(F.lit("k"), F.col(key).cast("string"))
+    return rows.withColumn("_name", name).join(totals.withColumn("_name", name).drop(key), "_name").drop("_name")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -78,8 +93,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hang(pairs: DataFrame, smaller: bool) -> DataFrame:
-    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    joined = pairs.join(least, "u")
+    joined = join_back(pairs, pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "u")
     if smaller:
         moved = joined.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         moved = moved.select("e.*")

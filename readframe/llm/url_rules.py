@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readframe.llm.shared import components
+from readframe.llm.shared import components, join_back
 
 #: The rules of the registered query, (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -70,7 +70,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
     rules = pages.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, decision string")
     ruled = ruling(asked.select("host", "path").union(groups.select("host", "path")), rules)
     votes = groups.join(ruled, ["host", "path"]).groupBy("component").agg(F.min("decision").alias("voted"))  # allow sorts before block
-    aliases = groups.join(votes, "component").select("node", "voted")
+    aliases = join_back(groups, votes, "component").select("node", "voted")
     return (
         asked.join(ruled, ["host", "path"], "left")
         .join(aliases, "node", "left")
