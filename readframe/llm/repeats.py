@@ -68,25 +68,27 @@ class Repeats:
     # Each text into segments, and their hashes into buckets by minimizer.
     def _split(self, parts: int):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[int, int, np.ndarray]] = []
+            held: dict[tuple[int, int], np.ndarray] = {}  # rows of equal id and text are one document
             n = 0
             for batch in batches:
                 for d, t, text in zip(*(batch.column(c).to_pylist() for c in ("d", "t", "text")), strict=True):
+                    if (d, t) in held:
+                        continue
                     symbols = self.symbols(text)
                     if len(symbols) < self.width:
                         continue
-                    held.append((d, t, symbols))
+                    held[d, t] = symbols
                     n += len(symbols)
                     if n >= FLUSH_SYMBOLS or len(held) >= FLUSH_DOCS:
                         yield _payloads(self._records(held, parts))
-                        held, n = [], 0
+                        held, n = {}, 0
             if held:
                 yield _payloads(self._records(held, parts))
 
         return rows
 
     def _records(self, held, parts: int) -> Iterator[tuple[int, bytes]]:
-        held.sort(key=lambda x: x[:2])
+        held = sorted(((d, t, symbols) for (d, t), symbols in held.items()), key=lambda x: x[:2])
         d, t = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
         symbols = np.concatenate([x[2] for x in held])
         ends = np.cumsum([len(x[2]) for x in held])
@@ -158,12 +160,14 @@ class Repeats:
     # Symbols of the segments that share their minimizer.
     def _fetch(self, parts: int):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fetched: set[tuple[int, int]] = set()
             for batch in batches:
                 out: dict[int, list[tuple[bytes, bytes]]] = {}
                 for d, t, text, flags in zip(*(batch.column(c).to_pylist() for c in ("d", "t", "text", "flags")), strict=True):
                     flags = np.frombuffer(flags or b"", FLAG)
                     flags = flags[flags["kind"] != GONE]
-                    if len(flags):
+                    if len(flags) and (d, t) not in fetched:
+                        fetched.add((d, t))
                         for bucket, head, symbols in self._segments(d, t, self.symbols(text), flags, parts):
                             out.setdefault(bucket, []).append((head, symbols))
                 if out:
@@ -221,7 +225,10 @@ class Repeats:
         d, t, at, names = d[order], t[order], at[order], names[order]
         new = np.r_[True, names[1:] != names[:-1]]
         start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        gone = ~new if self.own else d != d[start]
+        # Rows of equal id and text may come from several tasks; a window does not repeat itself.
+        gone = d != d[start]
+        if self.own:
+            gone |= (t != t[start]) | (at != at[start])
         spans = np.zeros(int(gone.sum()), SPAN)
         spans["start"], spans["end"] = at[gone], at[gone] + self.width
         yield from _documents(d[gone], t[gone], spans, parts)
@@ -283,10 +290,9 @@ def _hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 def _firsts(records: np.ndarray, d: np.ndarray, t: np.ndarray, own: bool) -> np.ndarray:
     """Which of the sorted records come first among equal segments, or stand in the first document."""
     new = np.r_[True, (records["content"][1:] != records["content"][:-1]) | (records["minimizer"][1:] != records["minimizer"][:-1])]
-    if own:
-        return new
     start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return d == d[start]
+    first = d == d[start]
+    return first & (t == t[start]) & (records["at"] == records["at"][start]) if own else first
 
 
 def _unpacked(payload: bytes):
@@ -317,7 +323,7 @@ def _documents(d: np.ndarray, t: np.ndarray, items: np.ndarray, parts: int) -> I
 
 
 def _by_document(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """One row per document with all its items: (d, t, items as bytes)."""
+    """One row per document with all its items, each once: (d, t, items as bytes)."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, items = [], []
@@ -329,8 +335,14 @@ def _by_document(rows: DataFrame, parts: int, name: str) -> DataFrame:
         if not heads:
             return
         (d, t), items = np.concatenate(heads, axis=1), np.concatenate(items)
-        order = np.lexsort((t, d))
-        d, t, data, size = d[order], t[order], items[order].tobytes(), items.shape[1]
+        size = items.shape[1]
+        numbers = np.zeros((len(items), 8), np.uint8)  # items have at most 8 bytes
+        numbers[:, :size] = items
+        numbers = numbers.view("<u8")[:, 0]
+        order = np.lexsort((numbers, t, d))
+        same = (d[order[1:]] == d[order[:-1]]) & (t[order[1:]] == t[order[:-1]]) & (numbers[order[1:]] == numbers[order[:-1]])
+        order = order[np.r_[True, ~same]]
+        d, t, data = d[order], t[order], items[order].tobytes()
         cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]), True])
         for at in range(0, len(cuts) - 1, 10_000):
             some = cuts[at : at + 10_001]

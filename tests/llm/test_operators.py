@@ -252,6 +252,19 @@ def test_repeated_bytes_go(spark, corpus, monkeypatch, width, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == e
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_of_equal_id_and_text_are_one_document(spark, corpus, parts):
+    """Repeated rows, also without an id, lose what other documents repeat, and nothing to each other."""
+    texts = [*corpus, "only rows without an id hold this: 0123456789"]
+    ids = [*range(len(corpus)), None]
+    docs = documents(spark, [*texts, *texts, texts[-1]], [*ids, *ids, None]).repartition(parts)
+    expected = dict(zip(ids, bytes_removed(texts, 20), strict=True))
+    got = interval_dedup.remove_repeated_bytes(docs, 20).collect()
+    assert len(got) == 2 * len(texts) + 1 and expected[None][1] == 0
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id]
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT, 2])
 @pytest.mark.parametrize("width", [13, 4])
 def test_repeated_words_go(spark, corpus, monkeypatch, width, hot):
