@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 import xxhash
 
-#: Symbols and documents that a task splits at a time; positions fit in 24 bits, documents in 16.
+#: Symbols and documents that a task splits at a time; documents fit in 16 bits.
 FLUSH_SYMBOLS, FLUSH_DOCS = 6_000_000, 50_000
+#: Lower bits of a gram's hash that give way to its place while minimizers are found, over so many grams at a time.
+PLACE_BITS = 24
 #: A minimizer with more different segments than this is spread by window.
 HOT = 4_096
 GONE, SHARED, SPREAD = 0, 1, 2
@@ -237,14 +239,7 @@ class Repeats:
 def split_windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, gram: int):
     """Segments of documents laid one after another: first and last window, minimizer, document."""
     grams = gram_hashes(symbols.astype(np.uint64), gram)
-    # Of equal hashes in their upper bits the leftmost is least, as the lower bits hold the place.
-    least = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
-    span, reach = 1, width - gram + 1
-    while span < reach:
-        step = min(span, reach - span)
-        least = np.minimum(least[:-step], least[step:])
-        span += step
-    place = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+    place = _least_places(grams, width - gram + 1)
     n = len(place)
     whole = np.zeros(n + 1, np.int32)
     np.add.at(whole, starts, 1)
@@ -257,6 +252,26 @@ def split_windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, wid
     return first, last, grams[place[first]], doc
 
 
+def _least_places(grams: np.ndarray, reach: int) -> np.ndarray:
+    """Where the least gram of each run of ``reach`` grams stands, however many grams there are."""
+    out, most = [], 1 << PLACE_BITS
+    for lo in range(0, len(grams) - reach + 1, most - reach + 1):
+        part = grams[lo : lo + most]
+        # Of equal hashes in their upper bits the leftmost is least, as the lower bits hold the place.
+        least = (part & ~_place_mask()) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while span < reach:
+            step = min(span, reach - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        out.append((least & _place_mask()).astype(np.int64) + lo)
+    return np.concatenate(out)
+
+
+def _place_mask() -> np.uint64:
+    return np.uint64((1 << PLACE_BITS) - 1)
+
+
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
     """A hash of each run of ``gram`` symbols, built from halves."""
     hashes, span, k = (symbols + np.uint64(1)) * MIX[0], 1, 1
@@ -270,11 +285,11 @@ def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
 
 
 def least_gram(grams: np.ndarray) -> int:
-    return int(np.argmin(grams & ~np.uint64(0xFFFFFF)))
+    return int(np.argmin(grams & ~_place_mask()))
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Documents in runs of less than 2**24 symbols; a longer document makes a run of its own."""
+    """Documents in runs of less than 2**24 symbols, for memory; a longer document makes a run of its own."""
     lo = 0
     for hi in range(1, len(starts) + 1):
         if hi == len(starts) or ends[hi] - starts[lo] >= 2**24:

@@ -276,6 +276,24 @@ def test_repeated_words_go(spark, corpus, monkeypatch, width, hot):
         assert (r.n_words, r.n_removed, r.kept_sha256) == e
 
 
+@pytest.mark.parametrize("bits, n", [(8, 5_000), (24, 2**24 + 5_000)])
+def test_long_documents_split_like_short_ones(monkeypatch, bits, n):
+    """Behind the places that the lower bits can hold, segments and their minimizers are those of the tail alone."""
+    if bits != 24:
+        monkeypatch.setattr(repeats, "PLACE_BITS", bits)
+    symbols = np.random.default_rng(2).integers(0, 256, n).astype(np.uint8)
+    width, gram, tail = 100, 25, 4_000
+
+    def split(part):
+        return list(zip(*repeats.split_windows(part, np.array([0]), np.array([len(part)]), width, gram)[:3], strict=True))
+
+    whole = [(a - (n - tail), b - (n - tail), m) for a, b, m in split(symbols)[-30:]]
+    assert whole == split(symbols[-tail:])[-30:]
+    grams = repeats.gram_hashes(symbols[-tail:].astype(np.uint64), gram)
+    for a, _, m in whole:
+        assert m == grams[a + repeats.least_gram(grams[a : a + width - gram + 1])]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_windows_fall_into_equal_classes_if_equal(seed):
     rng = np.random.default_rng(seed)
