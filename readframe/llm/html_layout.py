@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style template noscript title textarea iframe noembed noframes xmp".split())
 HIDDEN = set("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math select".split())
+HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())  # what a head can hold
+FOREIGN = {"svg", "math"}  # only they and what is inside can be closed by a slash in the opening tag
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre figure table ul ol dl hr fieldset".split())
 BLOCKS = PARAGRAPHS | set("address article aside body center details dialog dd div dt figcaption footer form header html legend li main menu nav section summary caption".split())
 CELLS, SECTIONS, LISTS = {"td", "th"}, {"thead", "tbody", "tfoot"}, {"ul", "ol", "menu"}
@@ -23,6 +25,7 @@ ENDS |= {b: ({"p"}, {"table", "td", "th", "caption", "button"}) for b in BLOCKS
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+UNQUOTED_END = re.compile(r"""=\s*[^\s"'>]+\Z""")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACES = re.compile(r"[\x20\t\n\r\f]+")
 
@@ -110,8 +113,16 @@ class Page:
         self.tables: list[Table] = []
         self.lists: list[int | None] = []  # next number, or None for bullets
         self.pre = 0
+        self.headed = False  # whether the head has come, or what ends it
 
-    def start(self, tag: str, attributes: dict[str, str]) -> None:
+    def start(self, tag: str, attributes: dict[str, str], empty: bool = False) -> None:
+        if tag == "head" and self.headed:
+            return
+        if tag not in HEAD | {"html", "head"}:
+            self._end_head()
+        self.headed = self.headed or tag == "head"
+        if empty and (tag in FOREIGN or not FOREIGN.isdisjoint(self.open)):
+            return
         if tag in ENDS:
             self._imply_end(*ENDS[tag])
         if tag in CELLS and "tr" not in self._since("table") and "table" in self.open:
@@ -162,6 +173,8 @@ class Page:
             pass
 
     def text(self, text: str) -> None:
+        if text.strip(" \t\n\r\f"):
+            self._end_head()
         if not (self.hidden and self.hidden[-1]):
             self.flows[-1].write(text, self.pre > 0)
 
@@ -170,6 +183,12 @@ class Page:
             self._close()
         return "\n".join(self.flows[0].done())
 
+    def _end_head(self) -> None:
+        """The end of a head whose end tag is left out."""
+        self.headed = True
+        if self.open and self.open[-1] == "head":
+            self._close()
+
     def _since(self, boundary: str) -> list[str]:
         """Open elements inside the nearest such element."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -232,8 +251,9 @@ def visible_text(source: str | None) -> str:
         elif match[2]:
             tag = match[2].lower()
             attributes = {n.lower(): html.unescape(v.strip("\"'")) for n, v in ATTRIBUTE.findall(match[3])} if match[3].strip() else {}
-            page.start(tag, attributes)
-            if tag in RAW and tag not in VOID:
+            empty = match[3].endswith("/") and not UNQUOTED_END.search(match[3])
+            page.start(tag, attributes, empty)
+            if tag in RAW and tag not in VOID and not (empty and not FOREIGN.isdisjoint(page.open)):
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(source, at)
                 if tag == "textarea":
                     page.text(html.unescape(source[at : close.start()]))

@@ -446,6 +446,20 @@ def test_visible_text(source, text):
     assert html_layout.visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<html><head><title>t</title><body><p>hello", "hello"), ("<head><meta charset=x><style>p{}</style>\n<p>hello", "hello"),
+        ("<head>\n<link rel=x>\n<title>t</title>\nhello <b>you</b></body>", "hello you"), ("<head><title>t</title><img src=x>a", "a"),
+        ("<head><title>t</title></head><body>a<head>b", "ab"), ("<head><script>x</script></head>a", "a"), ("<p>a<head><title>t</title>b", "ab"),
+        ("<p>a <svg width='1' /> b</p>c", "a b\n\nc"), ("<p>a <svg/>b <math x=y />c", "a b c"), ("<p>a <svg><style/><path d=x /></svg>b", "a b"),
+        ("<p>a <svg width=1/>b</svg>c", "a c"), ("<div/>a", "a"),
+    ],
+)
+def test_heads_and_drawings_end_where_browsers_end_them(source, text):
+    assert html_layout.visible_text(source) == text
+
+
 def test_extract_gives_a_row_for_each_page(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a<p>b", "z"), (1, None, None, "z"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or 0, r.text, r.n_lines) for r in html_layout.extract(pages).collect())
