@@ -79,6 +79,17 @@ def line_words(text: Column) -> Column:
     return F.transform(F.filter(split_lines, lambda w: F.size(w) > 0), lambda w: F.struct(F.xxhash64(w).alias("h"), F.size(w).alias("n")))
 
 
+def without_lines(text: Column, frequent: Column) -> Column:
+    """The text without the lines whose hash is in a list; lines without a word stay."""
+    plain = F.translate(F.lower(text), "123456789", "000000000")
+    hashes = F.transform(F.split(plain, "\n"), lambda x: _bind(words(x), lambda w: F.when(F.size(w) > 0, F.xxhash64(w))))
+
+    def kept(known):
+        return F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.array_contains(frequent, F.get(known, i)), F.lit(False)))
+
+    return F.array_join(_bind(hashes, kept), "\n")
+
+
 def _keyed(docs: DataFrame, host: str) -> DataFrame:
     """Each row as a whole, its host's name, and two hashes that stand for its text."""
     # A present host gets an h in front, so that none can look like the missing one.
@@ -125,7 +136,7 @@ def judged(
     return (
         measured.join(frequent_lines(texts, min_docs, max_share), "host", "left")
         .withColumn("n_line_words", F.coalesce(gone, F.lit(0).cast("long")))
-        .select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_line_words", (~failed & ~depleted).alias("kept"))
+        .select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_line_words", (~failed & ~depleted).alias("kept"), "frequent")
     )
 
 
@@ -145,5 +156,14 @@ def line_quality(docs: DataFrame, **limits) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that the rules keep, with all their columns; see :func:`line_quality`."""
-    return judged(docs, docs.columns, **limits).where("kept").select("row.*")
+    """The documents that the rules keep, without the lines frequent on their host; see :func:`line_quality`.
+
+    All their columns; ``n_chars``, if there is one, counts the characters of the new text.
+    """
+    kept = judged(docs, docs.columns, **limits).where("kept")
+    changed = F.col("n_line_words") > 0
+    text = F.when(changed, without_lines(F.col("row.text"), F.col("frequent"))).otherwise(F.col("row.text"))
+    out = kept.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns), changed.alias("_changed"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
