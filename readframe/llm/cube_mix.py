@@ -123,13 +123,27 @@ def mix(
     other.  Repeated rows: each is a document.  Further columns are ignored.  No rows: no rows.  The table of sources
     (name, size) is worked out on the driver; more than ``max_sources`` raise an error.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("draw"))
+    return _mixed(_sized(docs, F.col("doc_id")), weights, total, most, docs_per_block, max_sources)
+
+
+def _sized(docs: DataFrame, name: Column) -> DataFrame:
+    return docs.select(name.alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("draw"))
+
+
+def _mixed(
+    sized: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    total: float = 1.5,
+    most: float = 2.0,
+    docs_per_block: int = DOCS_PER_BLOCK,
+    max_sources: int = 100_000,
+) -> DataFrame:
     sizes = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()}
     if len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     targets = shares(sizes, weights, total, most)
     rows = [(k, s, sizes[s], float(targets[s]), min(most, targets[s] / sizes[s]) if sizes[s] else 0.0) for k, s in enumerate(targets)]
-    named = docs.sparkSession.createDataFrame(rows, "source_no long, name string, source_size long, target double, ratio double")
+    named = sized.sparkSession.createDataFrame(rows, "source_no long, name string, source_size long, target double, ratio double")
     units = sized.join(named, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source_no", "size", "draw", F.col("ratio"))
     whole = F.floor(F.col("ratio") + 1e-9)
     part = F.greatest(F.lit(0.0), F.col("ratio") - whole)
@@ -143,11 +157,14 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     A document taken one and a half times gives two rows with its doc_id, the second cut behind its share of the words.
     """
-    share = mix(docs, **how).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("_taken"))
-    share = share.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken")
-    joined = docs.withColumn("_n", word_count(F.col("text"))).join(
-        share, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    )
+    # Documents go by a hash of all their columns; rows equal in all of them share what each of them is taken for.
+    name = F.xxhash64(*docs.columns)
+    amounts = _mixed(_sized(docs, name), **how).where("taken > 0").groupBy("doc_id", "source", "size", "taken").agg(F.count("*").alias("n"))
+    share = amounts.groupBy("doc_id", "source", "size").agg(F.collect_list(F.struct("taken", "n")).alias("_amounts"))
+    share = share.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_amounts")
+    single = docs.withColumn("_name", name).withColumn("_n", word_count(F.col("text"))).dropDuplicates(["_name", "source", "_n"])
+    joined = single.join(share, (F.col("_name") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
+    joined = joined.withColumn("_amount", F.explode("_amounts")).withColumn("_taken", F.explode(F.array_repeat(F.col("_amount.taken"), F.col("_amount.n").cast("int"))))
     copies = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_taken") - 1) / F.col("_n"))), lambda k: F.least(F.col("_n"), F.col("_taken") - k * F.col("_n"))))
     cut_text = F.array_join(F.slice(F.filter(F.split("text", GAPS), lambda w: w != ""), F.lit(1), F.col("_words").cast("int")), " ")
     out = joined.withColumn("_words", copies).withColumn("text", F.when(F.col("_words") == F.col("_n"), F.col("text")).otherwise(cut_text))

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import xxhash
 
-from readframe.llm.shared import components, cut, join_back
+from readframe.llm.shared import GAP_CHARS, components, cut, join_back
 
 SHINGLE = 5
 MIN_SIMILARITY = 85  # in percent
@@ -53,7 +53,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per document: number of shingles, a 128-bit hash of their set, and the hashes of its bands (null if it has none)."""
+    """Per document: two hashes of its text, number of shingles, a 128-bit hash of their set, and the hashes of its bands (null if it has none)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +70,17 @@ def sketches(docs: DataFrame) -> DataFrame:
                 out.append((len(hashes), s1, s2, bands))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            same = [batch.column(c) for c in ("doc_id", "t1", "t2")]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "t1", "t2", "n_shingles", "s1", "s2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, n_shingles long, s1 long, s2 long, bands array<long>")
+    asked = docs.select("doc_id", "text", *_text_hashes())
+    return asked.mapInArrow(rows, f"doc_id {id_type}, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>")
+
+
+def _text_hashes() -> tuple[Column, Column]:
+    """Two hashes that stand for a text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")
 
 
 def _linked(block: pd.DataFrame, least: int) -> list[tuple[int, int]]:
@@ -128,18 +136,27 @@ def near_duplicates(docs: DataFrame, min_similarity: int = MIN_SIMILARITY, block
     its group has no doc_id at all.  Repeated doc_id: each row belongs to the group of its own text; all rows with the
     group's smallest doc_id are kept.  Further columns are ignored.  No rows: no rows.
     """
+    known, named = _groups(docs, min_similarity, block_shingles)
+    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    out = known.select("doc_id", "n_shingles", "s1", "s2").join(join_back(named, least, "group").select("s1", "s2", "component_id"), ["s1", "s2"], "left")
+    component = F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _groups(docs: DataFrame, min_similarity: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all documents, and the group of each set with its least doc_id and its first document."""
     known = cut(sketches(docs))
     # Documents of equal sets are one node, named by a hash of the set.
-    one = known.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t1", "t2")
+    one = known.where("s1 is not null").groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("first"), F.min(row).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+    )
     banded = one.select("s1", F.posexplode("bands").alias("band", "value"))
     met = banded.groupBy("band", "value").agg(F.min("s1").alias("hub"), F.max("s1").alias("other")).where("hub != other")
     rough = cut(components(banded.join(met, ["band", "value"]).where("s1 != hub").select(F.col("s1").alias("a"), F.col("hub").alias("b"))))
     links = cut(_confirmed(docs, one, rough, min_similarity, block_shingles))
-    named = one.join(components(links), F.col("s1") == F.col("node"), "left").select("s1", "s2", "first", F.coalesce("component", "s1").alias("group"))
-    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "s1", "s2").join(join_back(named, least, "group").select("s1", "s2", "component_id"), ["s1", "s2"], "left")
-    component = F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = one.join(components(links), F.col("s1") == F.col("node"), "left").select("s1", "s2", "first", "row", F.coalesce("component", "s1").alias("group"))
+    return known, named
 
 
 def _confirmed(docs: DataFrame, one: DataFrame, rough: DataFrame, least: int, most: int) -> DataFrame:
@@ -201,7 +218,21 @@ def _comparer(least: int):
     return compare
 
 
-def first_of_group(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group, with its own columns."""
-    keep = near_duplicates(docs.select("doc_id", "text"), **how).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def first_of_group(docs: DataFrame, min_similarity: int = MIN_SIMILARITY, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Exactly one row of each group, with its own columns.
+
+    The one with the least doc_id, null last, then by hashes of the text; of rows with equal doc_id and text, one.  Rows
+    without a word are groups of their own, so all of them stay.
+    """
+    named = _groups(docs, min_similarity, block_shingles)[1]
+    first = named.groupBy("group").agg(F.min("row").alias("row")).select(_row_name("row.doc_id", "row.t1", "row.t2"))
+    blank = F.length(F.translate(F.coalesce("text", F.lit("")), GAP_CHARS, "")) == 0
+    rows = docs.where(~blank).select(F.struct("*").alias("doc"), "doc_id", *_text_hashes())
+    found = rows.withColumn("_name", _row_name("doc_id", "t1", "t2")).join(first, "_name", "left_semi")
+    # Equal rows meet in their tasks first, so that many copies of one row do not meet in one.
+    single = found.groupBy("doc_id", "t1", "t2").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return single.select("doc.*").union(docs.where(blank))
+
+
+def _row_name(doc_id: str, t1: str, t2: str) -> Column:
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), t1, t2).alias("_name")

@@ -435,6 +435,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == sorted([(4, 2, 4, True), (None, 2, 4, False), (1, 0, 1, True), (2, 0, 2, True), (7, 1, 7, True), (7, 1, 7, True), (None, 1, None, True)], key=repr)
 
 
+def test_exactly_one_row_of_a_group_stays(spark):
+    near = "a b c d e f g h"
+    texts = [near, near.upper(), near, near, "k l m n o", "k l m n o", "k l m n o", "p q r", "p q r", "x y", "x y z", None, " ", " "]
+    ids = [None, None, 4, 4, None, None, None, 4, 7, None, 9, None, None, 2]
+    docs = documents(spark, texts, ids)
+    kept = min_max.first_of_group(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text and r.text.lower()) for r in kept.collect()), key=repr)
+    assert got == sorted([(4, near), (None, "k l m n o"), (4, "p q r"), (None, "x y"), (9, "x y z"), (None, None), (None, " "), (2, " ")], key=repr)
+
+
 # --- 6 pages
 
 
@@ -567,6 +578,19 @@ def test_mixed_documents_are_taken_as_often(spark):
     assert mixed.columns == docs.columns and dict(sizes) == {k: v for k, v in taken.items() if v}
 
 
+def test_each_row_of_the_mix_gets_its_own_amount(spark):
+    """Rows without an id, repeated rows and rows with one id keep the words of their source at its target."""
+    rng = random.Random(4)
+    texts = [words_of(rng, 10, ["a", "b", "c"]) for _ in range(60)] + ["same words in all of these ten rows here now"] * 40 + ["of y"] * 300
+    docs = documents(spark, texts, [None] * 50 + [3] * 10 + [None] * 20 + [5] * 20 + [None] * 300, ["x"] * 100 + ["y"] * 300)
+    amounts, words = defaultdict(float), Counter()
+    for r in cube_mix.mix(docs).collect():
+        amounts[r.source] += r.taken
+    for r in cube_mix.mixed_documents(docs).collect():
+        words[r.source] += len(r.text.split())
+    assert dict(words) == {k: v for k, v in amounts.items() if v}
+
+
 # --- 10 URLs
 
 
