@@ -30,10 +30,37 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
 
 
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute URL of a link on the page at ``url``; null if it names no other page by host and path."""
+    target = F.regexp_replace(target, "&(?:amp|AMP|#0*38|#[xX]0*26);", "&")
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    host = F.concat(F.lit("http://"), host_of(url))
+    return (
+        F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | target.startswith("#") | (target == ""), F.lit(None).cast("string"))
+        .when(target.startswith("?"), F.concat(host, own, target))
+        .otherwise(F.concat(host, without_dots(F.when(target.startswith("/"), path).otherwise(F.concat(F.regexp_extract(own, "(?s)^(.*/)", 1), path))), rest))
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` with its segments ``.`` and ``..`` resolved."""
+    segments = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), r"((?:^|/)[.]{1,2})$", "$1/"), "/")
+    none = F.array().cast("array<string>")
+    steps = F.aggregate(
+        segments, none, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    )
+    return F.concat(F.lit("/"), F.array_join(steps, "/"))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """Pairs (a, b) of URLs that name one page by its own word: canonical links, and redirects by refresh.
 
-    Links without a scheme and host are taken relative to the page's host.
+    Links without a scheme and host are taken relative to the page's URL, with dot segments resolved.  Ampersands may be
+    written as entities.  Links inside the page (``#...``) and other schemes (``mailto:``) name nothing.
     """
     html = F.coalesce("html", F.lit(""))
     canonical = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), 1)
@@ -42,14 +69,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref" + ATTRIBUTE, 1)),
         F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)),
     )
-    target = F.col("target")
-    whole = (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), target))
-    )
     links = pages.where(F.col("url").contains("://")).select("url", F.explode(named).alias("target"))
-    return links.select(node_of(F.col("url")).alias("a"), node_of(whole).alias("b")).where("b is not null")
+    return links.select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("target"), F.col("url"))).alias("b")).where("b is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame | None = None) -> DataFrame:

@@ -613,6 +613,22 @@ def test_rules_and_aliases(spark):
     assert url_rules.allowed_pages(pages, url_rules.RULES).columns == pages.columns
 
 
+def test_links_are_taken_relative_to_their_page(spark):
+    cases = [
+        ("next.html", "h.org/a/b/next.html"), ("../x", "h.org/a/x"), ("../../../x/", "h.org/x/"), ("..", "h.org/a/"), ("./", "h.org/a/b/"), ("?p=2", "h.org/a/b/c?p=2"),
+        ("/go?u=http://x", "h.org/go?u=http://x"), ("/a/../b/./c", "h.org/b/c"), ("x?y=../z", "h.org/a/b/x?y=../z"), ("/?a=1&amp;b=2", "h.org/?a=1&b=2"),
+        ("http://o.org/?a&#38;b", "o.org/?a&b"), ("HTTP://O.org", "o.org/"), ("//o.org/p#f", "o.org/p"), ("#top", None), ("mailto:a@b.c", None), ("go?u=http://x", "h.org/a/b/go?u=http://x"),
+    ]
+    for html in ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'):
+        rows = [(k, f"http://H.org/a/b/c?k={k}", html.format(t)) for k, (t, _) in enumerate(cases)] + [(99, "http://bare.org", html.format("x"))]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {(r.a, r.b) for r in url_rules.alias_edges(pages).collect()}
+        assert got == {(f"h.org/a/b/c?k={k}", b) for k, (_, b) in enumerate(cases) if b} | {("bare.org/", "bare.org/x")}
+    pages = spark.createDataFrame([(1, "http://one.org/d/e", '<link rel=canonical href="../fr/x">'), (2, "http://one.org/fr/x", "")], "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in url_rules.judge(pages, [("one.org", "/fr/", "block")]).collect()}
+    assert verdicts == {1: "block", 2: "block"}
+
+
 # --- no rows
 
 
