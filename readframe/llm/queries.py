@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, multi_index, secret_links, substring_trees, url_rules
+from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, merkle, min_max, multi_index, secret_links, substring_trees, tree_oracles, url_rules
 from readframe.llm.oracles import ORACLES
 from readframe.llm.shared import table, tokenizer_files
 
@@ -52,7 +52,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.RULES)
 
 
-RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op5_min_max, op6_html_layout, op7_substring_trees, op8_multi_index, op9_cube_mix, op10_url_rules]
+
+def op12_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op5_min_max, op6_html_layout, op7_substring_trees, op8_multi_index, op9_cube_mix, op10_url_rules, op12_bitmap_manifest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -60,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(ORACLES) | tree_oracles.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
