@@ -19,29 +19,30 @@ NO_KEY = -(2**57) - 1
 COPIES = 65_536
 
 
-def running(entries: DataFrame, group: str, key: str, columns: list[str]) -> DataFrame:
-    """Add ``before_c``, the sum of c over smaller keys of the group, and ``total_c`` for each of ``columns``.
+def running(entries: DataFrame, group: str, key: str, columns: list[str], xor: bool = False) -> DataFrame:
+    """Add ``before_c``, the sum (or xor) of c over smaller keys of the group, and ``total_c`` for each of ``columns``.
 
     ``entries`` has one row per (group, key), neither null, and is read several times, so it should be cut.  Sums are taken
     inside blocks of 1024 neighbouring keys, then over the blocks, and so on: no task holds a whole group.
     """
+    gather, joint = (F.bit_xor, Column.bitwiseXOR) if xor else (F.sum, Column.__add__)
     spans = entries.groupBy(group).agg(F.expr(f"min({key}) ^ max({key})").alias("x"))
     bits = spans.agg(F.max(F.expr("if(x < 0, 64, length(bin(x)))"))).first()[0] or 0
     levels = [entries.select(group, F.col(key).alias("_key"), *columns)]
     for _ in range(max(0, -(-bits // BLOCK_BITS) - 1)):
         up = F.shiftright("_key", BLOCK_BITS).alias("_key")
-        levels.append(levels[-1].groupBy(group, up).agg(*[F.sum(c).alias(c) for c in columns]))
+        levels.append(levels[-1].groupBy(group, up).agg(*[gather(c).alias(c) for c in columns]))
     zero = F.lit(0).cast("long")
     # What is left of a group at the top is at most one block, also where keys of both signs never meet by shifts.
     top = levels[-1].groupBy(group, zero.alias("_block"))
-    known = top.agg(*[F.first(zero).alias(f"before_{c}") for c in columns], *[F.sum(c).alias(f"total_{c}") for c in columns])
+    known = top.agg(*[F.first(zero).alias(f"before_{c}") for c in columns], *[gather(c).alias(f"total_{c}") for c in columns])
     for level in reversed(levels):
         blocks = level.withColumn("_block", zero if level is levels[-1] else F.shiftright("_key", BLOCK_BITS))
         inside = Window.partitionBy(group, "_block").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-        local = blocks.select(group, "_key", "_block", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"_{c}") for c in columns])
+        local = blocks.select(group, "_key", "_block", *[F.coalesce(gather(c).over(inside), zero).alias(f"_{c}") for c in columns])
         joined = local.join(known, [group, "_block"])
         known = joined.select(
-            group, F.col("_key").alias("_block"), *[(F.col(f"before_{c}") + F.col(f"_{c}")).alias(f"before_{c}") for c in columns], *[f"total_{c}" for c in columns]
+            group, F.col("_key").alias("_block"), *[joint(F.col(f"before_{c}"), F.col(f"_{c}")).alias(f"before_{c}") for c in columns], *[f"total_{c}" for c in columns]
         )
     return entries.join(known.withColumnRenamed("_block", key), [group, key])
 

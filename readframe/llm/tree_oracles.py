@@ -73,4 +73,27 @@ folded as (
 select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
 """
 
-ORACLES = {"op12_bitmap_manifest": MERKLE_MANIFEST}
+PREFIX_TRIE = f"""
+with own as (
+  select conv_id as c, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+convs as (
+  select c, list({{'r': r, 'x': x}} order by turn nulls first, sha256(strlen(r) || ':' || r || x)) as turns, {crc32_sql("cast(c as varchar)")} % 6 as h
+  from own group by c),
+rebuilt as (
+  select a.c, list_concat(list_slice(coalesce(b.turns, []), 1, a.h), list_slice(a.turns, a.h + 1, len(a.turns))) as turns
+  from convs a left join convs b on b.c = a.c - a.c % 100),
+prefixes as (select c, d, list_slice(turns, 1, d) as pre, d = len(turns) as ends from (select c, turns, unnest(range(0, len(turns) + 1)) as d from rebuilt)),
+nodes as (
+  select pre, d, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (ends), '')) as ends_sha256,
+         (count(*) - 1) * case when d = 0 then 0 else length(pre[d].x) end as saved
+  from prefixes group by pre, d),
+children as (select list_slice(pre, 1, d - 1) as pre, count(*) as n from nodes where d > 0 group by all),
+sized as (select n.*, coalesce(k.n, 0) as n_children from nodes n left join children k on n.pre = k.pre),
+sums as (
+  select list_slice(pre, 1, up) as pre, sum(saved) as saved, count(*) filter (n_children = 0) as n_leaves
+  from (select *, unnest(range(0, d + 1)) as up from sized) group by all)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, s.n_leaves, cast(s.saved as bigint) as saved_tokens, n.ends_sha256
+from sized n join sums s on n.pre = s.pre left join nodes p on n.d > 0 and p.pre = list_slice(n.pre, 1, n.d - 1)
+"""
+
+ORACLES = {"op12_bitmap_manifest": MERKLE_MANIFEST, "op13_block_trie": PREFIX_TRIE}

@@ -18,7 +18,7 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         connection.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     relation = connection.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, FOLDER)
