@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, merkle, min_max, multi_index, prefix_trie, secret_links, substring_trees, tree_oracles, url_rules
+from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, katz, line_rules, merkle, min_max, multi_index, prefix_trie, secret_links, substring_trees, tree_oracles, url_rules
 from readframe.llm.oracles import ORACLES
 from readframe.llm.shared import table, tokenizer_files
 
@@ -53,6 +53,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_block_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
-RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op5_min_max, op6_html_layout, op7_substring_trees, op8_multi_index, op9_cube_mix, op10_url_rules, op12_bitmap_manifest, op13_block_trie]
+RUNS = [op1_best_fit, op2_line_frequency, op3_interval_dedup, op4_secret_links, op5_min_max, op6_html_layout, op7_substring_trees, op8_multi_index, op9_cube_mix, op10_url_rules, op11_katz_backoff, op12_bitmap_manifest, op13_block_trie]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
