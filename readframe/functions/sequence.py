@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from readframe.functions.bind import let
+from readframe.functions.draws import happens
 
 # The standard genetic code, codons in T, C, A, G order, and the letters the cleaning step allows.
 BASES = "TCAG"
@@ -152,20 +153,14 @@ def token_ids(residues: Column, vocabulary: dict[str, int], max_codons: Column |
     return let(ids, padded)
 
 
-def hash_percent_millionths(*parts: Column) -> Column:
-    """A draw in 0 .. 999,999 that depends on the parts only, so a rerun of a lost task repeats it."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1_000_000))
-
-
 def mask_bases(seq: Column, key: Column, seed: int, per_million: int = 100) -> Column:
-    """Turn each base into N with probability ``per_million / 1e6``; the draw hashes (key, position, seed)."""
+    """Turn each base into N with probability ``per_million / 1e6``, drawn from (seed, key, position from 0)."""
     letters = F.regexp_extract_all(seq, F.lit(r"[\s\S]"), F.lit(0))
 
-    def draw(letter: Column, position: Column) -> Column:
-        hit = hash_percent_millionths(key, position, F.lit(seed)) < per_million
-        return F.when(hit, F.lit("N")).otherwise(letter)
+    def masked(letter: Column, position: Column) -> Column:
+        return F.when(happens(per_million / 1e6, F.lit(seed), key, position), F.lit("N")).otherwise(letter)
 
-    return F.array_join(F.transform(letters, draw), "")
+    return F.array_join(F.transform(letters, masked), "")
 
 
 def mask_residues(nt_seq: Column, residues: Column) -> Column:

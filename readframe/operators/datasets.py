@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readframe.functions import errors as E
 from readframe.functions import labels as L
 from readframe.functions import sequence as S
+from readframe.functions.draws import DRAW_BITS, draw
 from readframe.operators.decode import class_of
 from readframe.operators.scan import exact_quantiles, number_rows, same_keys, smallest_per_stratum
 
@@ -18,8 +21,8 @@ FIRST_FAMILIES, VALIDATION_SHARE, ENOUGH, TOO_MUCH = 0.12, 0.10, 0.95, 1.10
 
 
 def draw63(*parts: Column) -> Column:
-    """Non-negative 63-bit draw from a row's own key, the same on every attempt of a task."""
-    return F.xxhash64(*parts).bitwiseAND(F.lit(2**63 - 1))
+    """Non-negative draw over the range of 63 bits from a row's own key, the same on every attempt of a task."""
+    return F.shiftleft(draw(*parts), 63 - DRAW_BITS)
 
 
 def label_classes(reads: DataFrame) -> DataFrame:
@@ -106,21 +109,21 @@ def weighted_with_replacement(
 
     A draw picks a category by its total weight, then a row number in it; rows are numbered without a global sort, and
     the draws, a distributed range, meet them by an equi-join on (category, number).  Only the counts of the weighted
-    categories come to the driver.
+    categories come to the driver.  Categories lie on the range of a draw in the order of their names, cut in whole
+    numbers, so that no rounding decides.
     """
     counted = rows.filter(F.col(category).isin(*weights)).groupBy(category).agg(F.count("*").alias("n")).collect()
     counts = {row[category]: row["n"] for row in counted if weights[row[category]] > 0}
-    total = sum(weights[name] * n for name, n in counts.items())
-    scale = float(2**63)
-    u, v = (draw63(F.lit(seed + i), F.col("id")) / scale for i in range(2))
-    slot, upto = F.lit(None).cast("struct<name:string,n:bigint>"), 1.0
-    # From the last category down, so that rounding at the top end still falls into it.
-    for name, n in reversed(sorted(counts.items())):
-        here = F.struct(F.lit(name).alias("name"), F.lit(n).cast("bigint").alias("n"))
-        slot = here if upto == 1.0 else F.when(F.col("_u") < upto, here).otherwise(slot)
-        upto -= weights[name] * n / total
+    shares = {name: Fraction(str(weights[name])) * n for name, n in sorted(counts.items())}
+    slot, upto = F.lit(None).cast("struct<name:string,n:bigint>"), sum(shares.values())
+    total = upto
+    for name, share in reversed(shares.items()):
+        here = F.struct(F.lit(name).alias("name"), F.lit(counts[name]).cast("bigint").alias("n"))
+        slot = here if upto == total else F.when(F.col("_u") < int(2**DRAW_BITS * upto / total), here).otherwise(slot)
+        upto -= share
+    u, v = (draw(F.lit(seed + i), F.col("id")) for i in range(2))
     draws = rows.sparkSession.range(n_draws).select(F.col("id").alias("draw_id"), u.alias("_u"), v.alias("_v"))
-    number = F.least(F.floor(F.col("_v") * F.col("_slot.n")), F.col("_slot.n") - 1).cast("long")
+    number = F.pmod("_v", "_slot.n")
     placed = draws.withColumn("_slot", slot).select("draw_id", F.col("_slot.name").alias(category), number.alias("_number"))
     numbered = number_rows(rows, [category], draw63(F.lit(seed + 2), F.col(key)), key, "_number")
     return placed.join(numbered, [category, "_number"]).drop("_number")

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readframe.functions.draws import DRAW_BITS, heads
 from readframe.functions.metrics import f1, ratio
 from readframe.operators.scan import average_ranks, exact_quantiles, same_keys
+from readframe.session import checkpointed
 
 # The settings of the paired test.
 PERMUTATIONS = 1000
 SEED = 42
 MIN_SHARED_GENOMES = 5
+#: Coins that one hash gives.
+COINS = 2 * DRAW_BITS
+COUNTS = ["tp", "fp", "fn"]
 
 
 def spearman(scores: DataFrame, keys: list[str], x: str, y: str, min_rows: int = 3) -> DataFrame:
@@ -205,35 +207,23 @@ def permutation_test(
     """Two-sided p value of the F1 difference per model pair when reads swap models at random.
 
     ``read_counts`` has one row (model, testset, accession, read_name, tp, fp, fn) per read with any count.  Reads of
-    equal count differences are exchangeable: of n such reads Binomial(n, 1/2) swap.  So a permutation costs one draw
-    per distinct difference instead of one per read.  Each difference seeds its own generator, so a rerun task
-    repeats its draws.
+    equal count differences are exchangeable, so it only matters how many of them swap: the heads among as many coins,
+    120 coins from one hash of the pair, the difference, the permutation and a counter.  Coins of a frequent difference
+    are dealt over tasks.
     """
-    vectors = _pair_counts(read_counts, models, min_genomes)
+    vectors = checkpointed(_pair_counts(read_counts, models, min_genomes))
     deltas = (
-        vectors.select(*PAIR, *[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in ("tp", "fp", "fn")], "n")
+        vectors.select(*PAIR, *[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in COUNTS], "n")
         .filter("tp != 0 or fp != 0 or fn != 0")
-        .groupBy(*PAIR, "tp", "fp", "fn")
+        .groupBy(*PAIR, *COUNTS)
         .agg(F.sum("n").alias("n"))
-        .withColumn("draw_seed", F.xxhash64(F.lit(seed), *PAIR, "tp", "fp", "fn").bitwiseAND(F.lit(2**63 - 1)))
     )
-
-    def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pair, rows in batch.groupby(PAIR):
-                moved = np.zeros((n_permutations, 3), dtype=np.int64)
-                for row in rows.itertuples(index=False):
-                    swapped = np.random.default_rng(row.draw_seed).binomial(row.n, 0.5, n_permutations)
-                    moved += swapped[:, None] * np.array([row.tp, row.fp, row.fn])
-                out = pd.DataFrame(moved, columns=["tp", "fp", "fn"])
-                out.insert(0, "permutation", np.arange(n_permutations, dtype=np.int32))
-                for name, value in zip(PAIR, pair):
-                    out[name] = value
-                yield out[[*PAIR, "permutation", "tp", "fp", "fn"]]
-
-    schema = "testset string, model_a string, model_b string, permutation int, tp long, fp long, fn long"
-    moved = deltas.mapInPandas(swap, schema)
-    per_permutation = moved.groupBy(*PAIR, "permutation").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    coins = deltas.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {COINS})"))).repartition("block", *PAIR, *COUNTS)
+    thrown = coins.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    in_block = F.least(F.lit(COINS), F.col("n") - F.col("block") * COINS)
+    swapped = heads(in_block, F.lit(seed), *[F.col(c) for c in (*PAIR, *COUNTS, "block", "permutation")])
+    moved = thrown.withColumn("_swapped", swapped)
+    per_permutation = moved.groupBy(*PAIR, "permutation").agg(*[F.sum(F.col(c) * F.col("_swapped")).alias(c) for c in COUNTS])
     observed = _observed(vectors)
     both = per_permutation.join(observed, PAIR)
     permuted = f1(*[F.col(f"a_{c}") + F.col(c) for c in ("tp", "fp", "fn")]) - f1(*[F.col(f"b_{c}") - F.col(c) for c in ("tp", "fp", "fn")])

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from readframe.functions import cds as C
 from readframe.functions import errors as E
 from readframe.functions import sequence as S
+from readframe.operators import datasets as DS
 from readframe.operators import evaluate as V
 from readframe.operators import taxonomy as X
 from readframe.plans import truth_sets as TS
 from readframe.queries.evaluation import _MATCHED, _SCORES, _counts, _rounded
+from readframe.queries.genomes import _ORDER_WEIGHTS, _PROPORTIONAL, _QUOTAS, _WEIGHTED
 from readframe.queries.registry import query
+from readframe.queries.sequences import _MASKED
 from readframe.sources import fasta
 
 EDGES = (0, 30, 45, 60, 101)
@@ -126,25 +129,40 @@ def gap_indels(t):
     return t("lineitem").select(name.alias("read_name"), F.inline(between(chain)))
 
 
-@query("select name, length(seq) as n, true as is_same_elsewhere, true as has_only_more_n from {reads}")
+@query(
+    f"""
+    with {_MASKED}
+    select name, cast(length(masked) as bigint) as n, cast(length(masked) - length(replace(masked, 'N', '')) as bigint) as n_unknown,
+           cast(length(seq) - length(replace(seq, 'N', '')) as bigint) as n_before,
+           len(list_filter(list_zip(string_split(seq, ''), string_split(masked, '')), lambda z: z[1] = z[2] or z[2] = 'N')) = length(masked) as is_same_elsewhere,
+           len(list_filter(list_zip(string_split(seq, ''), string_split(masked, '')), lambda z: z[1] <> 'N' or z[2] = 'N')) = length(masked) as has_only_more_n
+    from masked_reads"""
+)
 def base_masking_check(t):
-    """Masked reads equal the input wherever they hold no N, and lose no N."""
-    masked = S.mask_bases(F.col("seq"), F.col("name"), 42, 20_000)
+    """How many bases masking leaves unknown in a read; the others equal the input, and no N is lost."""
+    masked = S.mask_bases(F.col("seq"), F.col("name"), 42, 10_000)
     rows = t("reads").select("name", "seq", masked.alias("masked"))
     pairs = F.zip_with(F.split("seq", ""), F.split("masked", ""), lambda a, b: (b == "N") | (a == b))
     kept = F.zip_with(F.split("seq", ""), F.split("masked", ""), lambda a, b: (a != "N") | (b == "N"))
-    return rows.select("name", F.length("masked").cast("long").alias("n"), F.forall(pairs, lambda x: x).alias("is_same_elsewhere"), F.forall(kept, lambda x: x).alias("has_only_more_n"))
+    unknown = [(F.length(c) - F.length(F.translate(c, "N", ""))).cast("long").alias(n) for c, n in (("masked", "n_unknown"), ("seq", "n_before"))]
+    flags = F.forall(pairs, lambda x: x).alias("is_same_elsewhere"), F.forall(kept, lambda x: x).alias("has_only_more_n")
+    return rows.select("name", F.length("masked").cast("long").alias("n"), *unknown, *flags)
 
 
-@query("select count(*) as n_drawn, true as all_known, true as in_proportion from {orders}")
+@query(
+    f"""
+    with {_WEIGHTED}, drawn as (select o_orderpriority, count(*) as drawn from chosen group by all),
+    given as (select o_orderpriority, count(*) as given, any_value(weight) as weight from weighed group by all),
+    shares as (select g.o_orderpriority, given, coalesce(drawn, 0) as drawn, coalesce(drawn, 0) / (given * weight) as share from given g left join drawn d on g.o_orderpriority = d.o_orderpriority)
+    select cast(sum(drawn) as bigint) as n_drawn, sum(drawn) = sum(given) as all_known, max(share) < 2 * min(share) as in_proportion from shares"""
+)
 def weighted_sample_check(t):
     """As many draws as asked for, all of known orders, categories in the order of weight times size."""
     from readframe.queries.genomes import weighted_sample
 
     drawn = weighted_sample(t).groupBy("o_orderpriority").agg(F.count("*").alias("drawn"))
     given = t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("given"))
-    weights = {"1-URGENT": 4.0, "2-HIGH": 3.0, "3-MEDIUM": 2.0, "4-NOT SPECIFIED": 1.0, "5-LOW": 0.5}
-    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("o_orderpriority")]
+    weight = F.create_map(*[F.lit(x) for kv in _ORDER_WEIGHTS.items() for x in kv])[F.col("o_orderpriority")]
     both = given.join(drawn, "o_orderpriority", "left").withColumn("share", F.coalesce("drawn", F.lit(0)) / (F.col("given") * weight))
     return both.agg(
         F.sum("drawn").alias("n_drawn"), (F.sum("drawn") == F.sum("given")).alias("all_known"), (F.max("share") < 2 * F.min("share")).alias("in_proportion")
@@ -152,15 +170,13 @@ def weighted_sample_check(t):
 
 
 @query(
-    """
-    select count(*) as n, (select count(*) from {genomes} where gc_content = (select min(gc_content) from {genomes}) or gc_content = (select max(gc_content) from {genomes})) >= 2 as has_extremes
-    from (select accession from {genomes} limit 100)"""
+    f"""
+    with {_QUOTAS}, {_PROPORTIONAL}
+    select count(*) as n, count(*) filter (accession in (select accession from both_ends)) = 2 as has_extremes from sample"""
 )
 def proportional_sample_check(t):
     """A hundred genomes, both GC extremes among them."""
     from readframe.queries.genomes import proportional_sample
 
-    sample = proportional_sample(t)
-    ends = t("genomes").agg(F.min("gc_content").alias("low"), F.max("gc_content").alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    return sample.agg(F.count("*").alias("n"), (F.max((F.col("gc_content") == low).cast("int")) + F.max((F.col("gc_content") == high).cast("int")) == 2).alias("has_extremes"))
+    sample, ends = proportional_sample(t), DS.gc_extremes(t("genomes")).withColumn("is_end", F.lit(1))
+    return sample.join(ends, "accession", "left").agg(F.count("*").alias("n"), (F.sum("is_end") == 2).alias("has_extremes"))

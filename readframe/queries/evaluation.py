@@ -442,12 +442,41 @@ def paired_differences(t):
     return pairs.select("testset", "model_a", "model_b", *[F.round(c, 6).alias(c) for c in ("f1_a", "f1_b", "difference")])
 
 
-@query()
+# Of n reads with equal count differences as many swap as coins show heads, 120 coins from one hash.
+_SWAPS = f"""
+    sides as (
+      select ts as testset, ma as model_a, mb as model_b, acc, read_name,
+             sum(case when model = mb then tp else -tp end) as tp, sum(case when model = mb then fp else -fp end) as fp, sum(case when model = mb then fn else -fn end) as fn
+      from shared join enough on ts = t0 and ma = a0 and mb = b0 join read_counts c on c.testset = ts and c.accession = acc and model in (ma, mb) group by all),
+    deltas as (select testset, model_a, model_b, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, count(*) as n from sides where tp <> 0 or fp <> 0 or fn <> 0 group by all),
+    coins as (select *, least(120, n - 120 * block) as k from (select *, unnest(range(0, (n - 1) // 120 + 1)) as block from deltas)),
+    hashes as (select *, md5(concat_ws(':', 42, testset, model_a, model_b, tp, fp, fn, block, permutation)) as h from (select *, unnest(range(0, 1000)) as permutation from coins)),
+    heads as (
+      select *, bit_count(cast(concat('0x', substr(h, 1, 15)) as bigint) & ((1 :: bigint << least(k, 60) :: int) - 1))
+              + bit_count(cast(concat('0x', substr(h, 16, 15)) as bigint) & ((1 :: bigint << greatest(k - 60, 0) :: int) - 1)) as swapped from hashes),
+    moved as (select testset, model_a, model_b, permutation, sum(tp * swapped) as d_tp, sum(fp * swapped) as d_fp, sum(fn * swapped) as d_fn from heads group by all),
+    permuted as (
+      select o.testset, o.model_a, o.model_b,
+             abs(2 * (a_tp + d_tp) / (2 * (a_tp + d_tp) + a_fp + d_fp + a_fn + d_fn) - 2 * (b_tp - d_tp) / (2 * (b_tp - d_tp) + b_fp - d_fp + b_fn - d_fn)) >= abs(f1_a - f1_b) as is_extreme
+      from moved m join sums s on m.testset = s.testset and m.model_a = s.model_a and m.model_b = s.model_b join observed o on o.testset = s.testset and o.model_a = s.model_a and o.model_b = s.model_b),
+    tests as (
+      select o.testset, o.model_a, o.model_b, any_value(f1_a) as f1_a, any_value(f1_b) as f1_b, greatest(coalesce(count(*) filter (is_extreme) / count(is_extreme), 1), 0.001) as p_value
+      from observed o left join permuted p on o.testset = p.testset and o.model_a = p.model_a and o.model_b = p.model_b group by o.testset, o.model_a, o.model_b),
+    ranked as (select *, count(*) over (partition by testset) - row_number() over (partition by testset order by p_value, model_a, model_b) + 1 as factor from tests)"""
+
+
+@query(
+    f"""
+    with {_MATCHED}, {_PAIRS}, {_SWAPS}
+    select testset, model_a, model_b, round(f1_a, 6) as f1_a, round(f1_b, 6) as f1_b, round(f1_a - f1_b, 6) as difference, round(p_value, 6) as p_value,
+           round(least(max(p_value * factor) over (partition by testset order by p_value, model_a, model_b rows unbounded preceding), 1), 6) as p_holm
+    from ranked"""
+)
 def permutation_test(t):
     """Paired permutation test of every two models with corrected p values."""
     tests = T.permutation_test(_counts(t, V.READ), MODELS)
-    return T.holm(tests, ["testset"], ["model_a", "model_b"])
-
+    held = T.holm(tests, ["testset"], ["model_a", "model_b"])
+    return held.withColumns({c: F.round(c, 6) for c in ("f1_a", "f1_b", "difference", "p_value", "p_holm")})
 
 
 _P_VALUES = """

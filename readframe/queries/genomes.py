@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from readframe.functions import labels as L
 from readframe.functions import sequence as S
+from readframe.functions.draws import DRAW_BITS
 from readframe.operators import containment as K
 from readframe.operators import datasets as DS
 from readframe.operators import genomes as G
@@ -15,7 +16,7 @@ from readframe.operators import taxonomy as X
 from readframe.plans import cds_records as CR
 from readframe.plans import labelled_reads as LR
 from readframe.queries.labels import _CLASSES, _LABEL_SCHEME, _called
-from readframe.queries.registry import query
+from readframe.queries.registry import draw_sql, query
 from readframe.queries.sequences import _protein_sql
 
 # ---- proteins and references ----
@@ -383,13 +384,27 @@ def stratified_sample_sizes(t):
     return sample.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n_sampled"))
 
 
-@query()
+_ORDER_WEIGHTS = {"1-URGENT": 4.0, "2-HIGH": 3.0, "3-MEDIUM": 2.0, "4-NOT SPECIFIED": 1.0, "5-LOW": 0.5}
+
+# Weights in halves, so that all bounds are whole numbers.
+_WEIGHTED = f"""
+    weighed as (select o_orderkey, o_orderpriority, w.weight from {{orders}} o join (values {', '.join(f"('{k}', {v})" for k, v in _ORDER_WEIGHTS.items())}) w(name, weight) on o.o_orderpriority = w.name),
+    shares_of as (select o_orderpriority, count(*) as n, cast(2 * any_value(weight) * count(*) as hugeint) as part from weighed group by o_orderpriority),
+    bounds as (
+      select o_orderpriority, n, {2**DRAW_BITS} :: hugeint * coalesce(sum(part) over (order by o_orderpriority rows between unbounded preceding and 1 preceding), 0) // sum(part) over () as since,
+             {2**DRAW_BITS} :: hugeint * sum(part) over (order by o_orderpriority) // sum(part) over () as upto from shares_of),
+    throws as (select i as draw_id, {draw_sql("42", "i")} as u, {draw_sql("43", "i")} as v from (select unnest(range(0, (select count(*) from {{orders}}))) as i)),
+    numbered as (select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by {draw_sql("44", "o_orderkey")}, o_orderkey) - 1 as place from weighed),
+    chosen as (
+      select draw_id, x.o_orderpriority, x.o_orderkey from throws t join bounds b on t.u >= b.since and t.u < b.upto
+      join numbered x on x.o_orderpriority = b.o_orderpriority and x.place = t.v % b.n)"""
+
+
+@query(f"with {_WEIGHTED} select draw_id, o_orderpriority, o_orderkey from chosen")
 def weighted_sample(t):
     """As many orders as there are, drawn with replacement and priority weights."""
     orders = t("orders")
-    weights = {"1-URGENT": 4.0, "2-HIGH": 3.0, "3-MEDIUM": 2.0, "4-NOT SPECIFIED": 1.0, "5-LOW": 0.5}
-    n = orders.count()
-    return DS.weighted_with_replacement(orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", weights, n, "o_orderkey")
+    return DS.weighted_with_replacement(orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", _ORDER_WEIGHTS, orders.count(), "o_orderkey")
 
 
 _FAMILIES = """
@@ -492,7 +507,20 @@ def proportional_sample_sizes(t):
     return sample.groupBy("family").agg(F.count("*").alias("n_sampled"))
 
 
-@query()
+# Both ends first, then each family's quota by draw, then the rest by a race weighted by family size.
+_PROPORTIONAL = f"""
+    both_ends as ((select accession from {{genomes}} order by gc_content, accession limit 1) union (select accession from {{genomes}} order by gc_content desc, accession limit 1)),
+    drawn as (
+      select g.accession, g.family, g.gc_content, q.n as size, q.quota, (select sum(n * n) / sum(n) from quotas) as mean_size,
+             8 * {draw_sql("1", "g.accession")} as key, (8 * {draw_sql("2", "g.accession")} + 1) / cast(9223372036854775808 as double) as uniform, e.accession is not null as is_end
+      from {{genomes}} g join quotas q on g.family = q.family left join both_ends e on g.accession = e.accession),
+    own as (select *, row_number() over (partition by family order by case when is_end then 0 else key end, accession) <= quota as is_own from drawn),
+    tiers as (select *, case when is_end then 0 when is_own then 1 else 2 end as tier, 1 - exp(ln(uniform) / size * mean_size) as race from own),
+    sample as (
+      select * from tiers qualify row_number() over (order by tier, case when tier < 2 then key // 16 end, race, accession) <= 100)"""
+
+
+@query(f"with {_QUOTAS}, {_PROPORTIONAL} select accession, family, gc_content from sample")
 def proportional_sample(t):
     return DS.proportional_subsample(t("genomes"), 100).select("accession", "family", "gc_content")
 

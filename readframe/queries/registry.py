@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from readframe.queries.inputs import oracle, table
 
+def draw_sql(*parts: str) -> str:
+    """Plain SQL of :func:`readframe.functions.draws.draw`."""
+    return f"cast(concat('0x', substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15)) as bigint)"
+
+
 Tables = Callable[[str], DataFrame]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

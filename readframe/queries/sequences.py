@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from readframe.functions import sequence as S
+from readframe.functions.draws import threshold
 from readframe.operators import genomes as G
 from readframe.operators import windows as W
 from readframe.queries.registry import query
@@ -167,7 +168,13 @@ def residue_masking(t):
     return t("reads").select("name", S.mask_residues(F.col("seq"), protein).alias("masked"))
 
 
-@query()
+_MASKED = f"""
+    masked_reads as (
+      select name, seq, array_to_string(list_transform(string_split(seq, ''), lambda x, i: case when substr(md5(concat_ws(':', 42, name, i - 1)), 1, 8) < '{threshold(0.01)}' then 'N' else x end), '') as masked
+      from {{reads}})"""
+
+
+@query(f"with {_MASKED} select name, masked from masked_reads")
 def base_masking(t):
     """Reads with one base in a hundred masked by hash draw."""
     return t("reads").select("name", S.mask_bases(F.col("seq"), F.col("name"), seed=42, per_million=10_000).alias("masked"))
