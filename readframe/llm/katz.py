@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from readframe.llm.shared import cut, parts_of
 
 #: Tokens and documents that a task counts at a time; documents fit in 16 bits.
-FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 50_000
+FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 50_000
 #: Tokens of one partition of the table, about.
-PART_TOKENS = 6_000_000
+PART_TOKENS = 3_000_000
 #: A word with a larger share of all training tokens is spread; there are fewer such words than this.
 HOT_WORDS = 1_000
 #: Counts up to this one are discounted.
@@ -220,47 +220,44 @@ def _answer(words: Words, with_pairs: bool):
 
     def _answered(asked, flushes, part: int):
         w = np.concatenate([np.repeat(a[0], a[1]) for a in asked])
-        h, train, entries = (np.concatenate([a[k] for a in asked]) for k in (2, 3, 4))
-        flush = np.repeat(np.arange(len(asked)), [len(a[5]) for a in asked])
-        doc, times = (np.concatenate([a[k] for a in asked]).astype(np.int64) for k in (5, 6))
+        h, train = (np.concatenate([a[k] for a in asked]) for k in (2, 3))
         # Pairs of all flushes, each once, with their counts.
         order = np.lexsort((h, w))
-        sw, sh = w[order], h[order]
-        first = np.flatnonzero(np.r_[True, (sw[1:] != sw[:-1]) | (sh[1:] != sh[:-1])])
-        name = np.empty(len(w), np.int64)
-        name[order] = np.cumsum(np.r_[0, (sw[1:] != sw[:-1]) | (sh[1:] != sh[:-1])])
+        w, h = w[order], h[order]
+        new = np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1])]
+        first = np.flatnonzero(new)
+        name = np.empty(len(w), np.int32)
+        name[order] = np.cumsum(new, dtype=np.int32) - 1
         c2 = np.add.reduceat(train[order].astype(np.int64), first)
-        pw, ph = sw[first], sh[first]
-        starts = np.flatnonzero(np.r_[True, pw[1:] != pw[:-1]])
-        c1 = np.add.reduceat(c2, starts)
-        single = pw[starts]
+        w, h = w[first], h[first]
+        del order, new, train
+        opens = np.r_[True, w[1:] != w[:-1]]
+        starts, of = np.flatnonzero(opens), np.cumsum(opens, dtype=np.int32) - 1
+        c1, single = np.add.reduceat(c2, starts), w[starts]
         if len(words.hot):
             at = np.minimum(np.searchsorted(words.hot, single), len(words.hot) - 1)
             c1 = np.where(words.hot[at] == single, words.hot_counts[at], c1)
-        log_word = np.log10(words.probability(c1))
-        follow = np.where((single != END) & (c1 > 0), np.log10(np.maximum(c1 + (c1 > DISCOUNTED), 1)), 0.0)
-        of = np.cumsum(np.isin(np.arange(len(pw)), starts, assume_unique=True)) - 1
-        out = [(part, CONTEXT, 0, _contexts(ph[c2 > 0], c2[c2 > 0], words.probability(c1)[of[c2 > 0]]))]
+        probability = words.probability(c1)
+        out = [(part, CONTEXT, 0, _contexts(h[c2 > 0], c2[c2 > 0], probability[of[c2 > 0]]))]
         if with_pairs:
-            out.append((part, PAIR, 0, _pack(ph, pw, c2, c1[of])))
-        # What each entry adds to its document.
-        pair = np.repeat(name, entries)
-        base, known, seen = words.base(c1)[of][pair], (c1 > 0)[of][pair], c2[pair]
-        part_score = np.where(seen == 0, log_word[of][pair], np.where(seen > DISCOUNTED, np.log10(np.maximum(seen, 1)), 0.0)) - follow[of][pair]
-        slot = flush * 65_536 + doc
-        slots, place = np.unique(slot, return_inverse=True)
-        total = lambda weights: np.bincount(place, weights, len(slots))
-        numbers = [total(times), total(times * known), *(total(times * (seen == r)) for r in range(1, DISCOUNTED + 1))]
-        sums = [total(times * base), total(times * part_score)]
-        edges = np.searchsorted(slots, np.arange(len(asked) + 1) * 65_536)
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            out.append((part, SUM, flushes[k], _pack((slots[a:b] % 65_536).astype("<u2"), *(x[a:b].astype("<u4") for x in numbers), *(x[a:b] for x in sums))))
-        # Tokens that back off, by context.
-        back = np.flatnonzero(seen == 0)
-        edges = np.searchsorted(flush[back], np.arange(len(asked) + 1))
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            mine = back[a:b]
-            out.append((part, ASK, flushes[k], _pack(ph[pair[mine]], doc[mine].astype("<u2"), times[mine].astype("<u4"))))
+            out.append((part, PAIR, 0, _pack(h, w, c2, c1[of])))
+        # What a token of each pair adds to its document.
+        follow = np.where((single != END) & (c1 > 0), np.log10(np.maximum(c1 + (c1 > DISCOUNTED), 1)), 0.0)
+        base = words.base(c1)
+        score = np.where(c2 == 0, np.log10(probability)[of], np.where(c2 > DISCOUNTED, np.log10(np.maximum(c2, 1)), 0.0)) - follow[of]
+        at = 0
+        for flush, (_, _, before, _, entries, doc, times) in zip(flushes, asked, strict=True):
+            pair = np.repeat(name[at : at + len(before)], entries)
+            at += len(before)
+            docs, place = np.unique(doc, return_inverse=True)
+            seen, word = c2[pair], of[pair]
+            total = lambda weights: np.bincount(place, weights, len(docs))  # noqa: B023, E731
+            numbers = [total(times), total(times * (c1[word] > 0)), *(total(times * (seen == r)) for r in range(1, DISCOUNTED + 1))]
+            sums = [total(times * base[word]), total(times * score[pair])]
+            out.append((part, SUM, flush, _pack(docs, *(x.astype("<u4") for x in numbers), *sums)))
+            # Tokens that back off, by context.
+            back = seen == 0
+            out.append((part, ASK, flush, _pack(h[pair[back]], doc[back], times[back])))
         return out
 
     return rows
