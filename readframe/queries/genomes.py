@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from readframe.functions import labels as L
 from readframe.functions import sequence as S
-from readframe.functions.draws import DRAW_BITS
+from readframe.functions.draws import DRAW_BITS, threshold
 from readframe.operators import containment as K
 from readframe.operators import datasets as DS
 from readframe.operators import genomes as G
@@ -15,9 +15,10 @@ from readframe.operators import stats as T
 from readframe.operators import taxonomy as X
 from readframe.plans import cds_records as CR
 from readframe.plans import labelled_reads as LR
-from readframe.queries.labels import _CLASSES, _LABEL_SCHEME, _called
+from readframe.queries.labels import _CHAINED_TRUTH, _CLASSES, _LABEL_SCHEME, _called
 from readframe.queries.registry import draw_sql, query
-from readframe.queries.sequences import _protein_sql
+from readframe.queries.sequences import _KNOWN, _LETTERS, _protein_sql
+from readframe.sources import sinks
 
 # ---- proteins and references ----
 
@@ -70,10 +71,11 @@ _LENGTH = 90
 
 def _genome_inputs(t):
     texts = t("reads").select(F.col("name").alias("assembly_id"), "accession", "seq")
-    long_ones = texts.filter(F.length("seq") >= _LENGTH + 2)
-    starts = F.sequence(F.lit(1), F.length("seq") - (_LENGTH + 1), F.lit(31))
-    placed = long_ones.withColumn("start_coordinate", F.explode(starts))
+    # A read needs a text of its length; one with a deletion a further base, without which it has none.
+    starts = F.sequence(F.lit(1), F.length("seq") - (_LENGTH - 1), F.lit(31))
+    placed = texts.filter(F.length("seq") >= _LENGTH).withColumn("start_coordinate", F.explode(starts))
     kind = F.pmod(F.col("start_coordinate"), F.lit(4))
+    kind = F.when((kind == 2) & (F.col("start_coordinate") + _LENGTH > F.length("seq")), 0).otherwise(kind)
     plain = F.substr("seq", F.col("start_coordinate"), F.lit(_LENGTH))
     longer = F.substr("seq", F.col("start_coordinate"), F.lit(_LENGTH + 1))
     first = F.substr(plain, F.lit(1), F.lit(30))
@@ -93,33 +95,156 @@ def _genome_inputs(t):
     end = (F.col("cds_start") + 3 * (25 + F.pmod("cds_start", F.lit(30))) - 1).cast("long")
     annotations = texts.withColumn("cds_start", F.explode(genes)).filter(end <= F.length("seq")).select(
         "assembly_id", "accession", F.lit("+").alias("strand"), F.col("cds_start").cast("long"), end.alias("cds_end"),
-        (F.pmod("cds_start", F.lit(11)) != 0).alias("certain"),
+        (F.pmod("cds_start", F.lit(11)) != 0).alias("certain"), "seq",
     )
     assemblies = texts.select("assembly_id", F.lit("+").alias("strand"), "seq")
-    bodies = annotations.join(texts.select("assembly_id", "seq"), "assembly_id").select(
-        "accession",
-        S.translate_model(F.substr("seq", F.col("cds_start").cast("int"), (F.col("cds_end") - F.col("cds_start") + 1).cast("int"))).alias("protein"),
-    )
-    return alignments, I.check_annotations(annotations), assemblies, bodies.withColumn("protein", F.translate("protein", "X", "W"))
+    # The proteome lacks every seventh protein, so that some fragments are in none.
+    body = S.translate_model(F.substr("seq", F.col("cds_start").cast("int"), (F.col("cds_end") - F.col("cds_start") + 1).cast("int")))
+    bodies = annotations.filter("cds_start % 7 != 0").select("accession", F.translate(body, "X", "W").alias("protein"))
+    return alignments, I.check_annotations(annotations.drop("seq")), assemblies, bodies
+
+
+# The job in plain SQL.  A read is cut at every 31st base; its kind tells its error: 1 an inserted A behind the 30th base,
+# 2 a deletion there, 3 a C for the first base.
+_JOB = f"""
+    genes as (
+      select name as assembly_id, accession, seq, cds_start, cds_start + 3 * (25 + cds_start % 30) - 1 as cds_end, cds_start % 11 <> 0 as certain
+      from (select name, accession, seq, unnest(range(10, length(seq) + 1, 217)) as cds_start from {{reads}}) g where cds_start + 3 * (25 + cds_start % 30) - 1 <= length(seq)),
+    cut as (
+      select name as assembly_id, accession, seq, start_at, concat(name, '_', start_at) as read_id, case when start_at % 4 = 2 and start_at + {_LENGTH} > length(seq) then 0 else start_at % 4 end as kind
+      from (select name, accession, seq, unnest(range(1, length(seq) - {_LENGTH - 2}, 31)) as start_at from {{reads}} where length(seq) >= {_LENGTH}) r),
+    aligned as (
+      select *, case kind when 1 then concat(substr(seq, start_at, 30), 'A', substr(seq, start_at + 30, {_LENGTH - 31}))
+                          when 2 then concat(substr(seq, start_at, 30), substr(seq, start_at + 31, {_LENGTH - 30}))
+                          when 3 then concat('C', substr(seq, start_at + 1, {_LENGTH - 1})) else substr(seq, start_at, {_LENGTH}) end as read,
+             case kind when 1 then '30M1I{_LENGTH - 31}M' when 2 then '30M1D{_LENGTH - 30}M' else '{_LENGTH}M' end as cigar,
+             case kind when 1 then '{_LENGTH - 1}' when 2 then concat('30^', substr(seq, start_at + 30, 1), '{_LENGTH - 30}')
+                       when 3 then concat('0', substr(seq, start_at, 1), '{_LENGTH - 1}') else '{_LENGTH}' end as md
+      from cut),
+    usable as (
+      select a.* exclude (seq), case when kind = 3 and substr(seq, start_at, 1) <> 'N' then substr(seq, start_at, {_LENGTH}) else read end as restored,
+             kind <> 3 or substr(seq, start_at, 1) <> 'N' as is_same
+      from aligned a
+      where not contains(read, 'N') and not exists (
+        select 1 from genes u where not u.certain and u.assembly_id = a.assembly_id and a.start_at between u.cds_start - {_LENGTH} and u.cds_end)),
+    bases as (
+      select read_id, rf, j, start_at + rf + j - moved as base, cds_start, cds_end
+      from (
+        select *, case when kind = 1 and j > 30 - rf then 1 when kind = 2 and j >= 30 - rf then -1 else 0 end as moved
+        from (
+          select read_id, kind, start_at, rf, cds_start, cds_end, unnest(range(0, ({_LENGTH} - rf) // 3 * 3)) as j
+          from usable a join genes c on a.assembly_id = c.assembly_id and c.certain and start_at <= cds_end and cds_start < start_at + {_LENGTH}, (select unnest([0, 1, 2]) as rf) f) x) y
+      where not (kind = 1 and j = 30 - rf) and (cds_start + moved - start_at - rf) % 3 = 0),
+    nt as (
+      select read_id, rf, j, coalesce(arg_max(case when base < cds_start + 3 then 2 else 3 end, cds_start) filter (base < cds_start + 3 or base > cds_end - 3), 1) as label
+      from bases where base between cds_start and cds_end group by read_id, rf, j),
+    codons as (select read_id, rf, j // 3 as k, arg_min(label, j) as label from nt group by read_id, rf, j // 3 having count(*) = 3),
+    frames as (
+      select u.read_id, f.rf, list_transform(range(0, ({_LENGTH} - f.rf) // 3), lambda k: cast(coalesce(m[k], 0) as tinyint)) as labels
+      from usable u cross join (select unnest([0, 1, 2]) as rf) f
+      left join (select read_id, rf, map(list(k order by k), list(label order by k)) as m from codons group by read_id, rf) c on c.read_id = u.read_id and c.rf = f.rf),
+    job_labels as (
+      select read_id as name, {_LENGTH} as length, any_value(labels) filter (rf = 0) as rf0_labels, any_value(labels) filter (rf = 1) as rf1_labels, any_value(labels) filter (rf = 2) as rf2_labels
+      from frames group by read_id),
+    {_CHAINED_TRUTH.replace("{labelled}", "job_labels")},
+    linked as (select *, lead(start) over c as next_start, (lead(rf) over c - rf + 3) % 3 as step from walk window c as (partition by name, chain order by k)),
+    coords as (
+      select s.name, list(concat('[', start, ', ', "end", ', ', chr(39), s.rf, chr(39), ']') order by k) as spans, list(chain order by k) as chains, bool_or("end" - start < 3) as has_short,
+             bool_or(next_start is not null and kind in (1, 2) and 31 between "end" and next_start and step <> kind) as has_wrong_step
+      from linked s join usable u on s.name = u.read_id group by s.name),
+    coded as (select name as read_id, rf, i, i - row_number() over (partition by name, rf order by i) as run from cells where label = 1),
+    residues as (select c.read_id, accession, rf, run, i, substr(restored, cast(3 * i + rf + 1 as int), 3) as x from coded c join usable u on c.read_id = u.read_id),
+    fragments as (
+      select read_id, accession, string_agg(case when {_KNOWN} then replace({_LETTERS}, '*', 'X') else '<unk>' end, '' order by i) as fragment
+      from residues group by read_id, accession, rf, run),
+    proteome as (
+      select distinct accession, replace({_protein_sql("substr(seq, cast(cds_start as int), cast(cds_end - cds_start + 1 as int))", "W", "<unk>")}, 'X', 'W') as protein from genes where cds_start % 7 <> 0),
+    known as (
+      select accession, fragment from (select distinct accession, fragment from fragments) f
+      where exists (select 1 from proteome p where p.accession = f.accession and contains(p.protein, replace(fragment, 'X', 'W')))),
+    unknown as (select distinct read_id from fragments f where not exists (select 1 from known k where k.accession = f.accession and k.fragment = f.fragment)),
+    checked as (
+      select u.*, l.rf0_labels, l.rf1_labels, l.rf2_labels, coalesce(spans, []) as spans, coalesce(chains, []) as chains,
+             is_same and not coalesce(has_short, false) and not coalesce(has_wrong_step, false) and x.read_id is null as kept
+      from usable u join job_labels l on u.read_id = l.name left join coords c on u.read_id = c.name left join unknown x on u.read_id = x.read_id)"""
+
+
+def _list_sql(items: str) -> str:
+    return f"concat('[', array_to_string({items}, ','), ']')"
+
+
+_ROWS = f"""
+    labelled_rows as (
+      select read_id as read_name, read, concat('[', array_to_string(spans, ', '), ']') as cds_coords,
+             list_transform(list_sort(list_distinct(chains)), lambda c: list_filter(range(0, len(chains)), lambda i: chains[i + 1] = c)) as lists,
+             cast(start_at as int) as start_coord, assembly_id, cigar as "CIGAR", md as "MD", case kind when 1 then '31I' when 2 then '31D' end as indel_positions, accession, kind, chains,
+             {_protein_sql("read", "X", "<unk>")} as rf0_seq, rf0_labels, {_protein_sql("substr(read, 2)", "X", "<unk>")} as rf1_seq, rf1_labels, {_protein_sql("substr(read, 3)", "X", "<unk>")} as rf2_seq, rf2_labels,
+             '+' as strand
+      from checked where kept)"""
 
 
-@query()
+@query(
+    f"""
+    with {_JOB}, {_ROWS}
+    select read_name, read, cds_coords, {_list_sql(f"list_transform(lists, lambda c: {_list_sql('c')})")} as cds_fragments_connection, start_coord, assembly_id, "CIGAR", "MD", indel_positions, accession,
+           rf0_seq, {_list_sql("rf0_labels")} as rf0_labels, rf1_seq, {_list_sql("rf1_labels")} as rf1_labels, rf2_seq, {_list_sql("rf2_labels")} as rf2_labels, strand
+    from labelled_rows""",
+    recursive=True,
+)
 def labelled_reads(t):
-    """Reads cut from every text, restored, labelled, checked and written in the labelled-read schema."""
-    return LR.labelled_rows(LR.check_reads(*_genome_inputs(t), read_length=_LENGTH))
+    """Reads cut from every text, restored, labelled, checked and written in the labelled-read schema, lists as text."""
+    return sinks.as_csv_text(LR.labelled_rows(LR.check_reads(*_genome_inputs(t), read_length=_LENGTH)))
 
 
-@query()
+@query(
+    f"""
+    with {_JOB}
+    select accession, count(*) filter (kept) as n_correct, count(*) filter (not kept) as n_wrong, round(count(*) filter (kept) / count(*) * 100, 2) as percent_correct from checked group by accession""",
+    recursive=True,
+)
 def read_keep_rate(t):
     """Kept and rejected reads per genome of the labelled-read job."""
     return DS.keep_rate(LR.check_reads(*_genome_inputs(t), read_length=_LENGTH))
 
 
-@query()
+def _bordered(labels: str) -> str:
+    """Labels of a read with an indel: the first 1 after a 0 becomes 4, another 1 before a 0 becomes 5."""
+    marked = f"case when x <> 1 then x when i > 1 and {labels}[i - 1] = 0 then 4 when i < len({labels}) and {labels}[i + 1] = 0 then 5 else x end"
+    return f"case when kind in (1, 2) then list_transform({labels}, lambda x, i: {marked}) else {labels} end"
+
+
+def _hidden(rf: int) -> str:
+    codons = f"regexp_extract_all(rf{rf}_nt, '...')"
+    return f"array_to_string(list_transform(string_split(substr(rf{rf}_seq, 1, n), ''), lambda x, i: case when contains({codons}[i], 'N') then '<unk>' else x end), '')"
+
+
+_RF = range(3)
+_TRAINING = f"""
+    described as (
+      select r.*, len(rf1_labels) as n, {", ".join(f"{_bordered(f'rf{rf}_labels')} as l{rf}" for rf in _RF)},
+             {" or ".join(f"list_contains(rf{rf}_labels, 2)" for rf in _RF)} as has_start, {" or ".join(f"list_contains(rf{rf}_labels, 3)" for rf in _RF)} as has_stop,
+             {" or ".join(f"(list_contains(rf{rf}_labels, 0) and list_contains(rf{rf}_labels, 1))" for rf in _RF)} as is_mixed,
+             array_to_string(list_transform(string_split(read, ''), lambda x, i: case when substr(md5(concat_ws(':', 42, read_name, i - 1)), 1, 8) < '{threshold(1e-4)}' then 'N' else x end), '') as masked
+      from labelled_rows r),
+    framed as (select *, {", ".join(f"substr(masked, {rf + 1}, {_LENGTH} - 3) as rf{rf}_nt" for rf in _RF)} from described)"""
+_CLASS_OF = f"list_position({[100 * a + 10 * b + c for a, b, c in _LABEL_SCHEME]}, 100 * cast(l0[i] as int) + 10 * cast(l1[i] as int) + l2[i])"
+
+
+@query(
+    f"""
+    with {_JOB}, {_ROWS}, {_TRAINING}
+    select accession, read_name, {", ".join(f"rf{rf}_nt as rf{rf}_seq_nt, {_hidden(rf)} as rf{rf}_seq_aa, {_list_sql(f'l{rf}[1:n]')} as rf{rf}_labels" for rf in _RF)},
+           {_list_sql(f"list_transform(range(1, n + 1), lambda i: coalesce(cast({_CLASS_OF} - 1 as varchar), 'null'))")} as label_encodings,
+           case when kind in (1, 2) and is_mixed then 'transition_indel' when has_start and has_stop then 'transition_start_stop' when has_start then 'transition_start' when has_stop then 'transition_stop'
+                when len(chains) = 0 then 'non-coding' when "MD" <> '{_LENGTH}' then 'coding_with_substitutions' else 'coding' end as seq_desc, true as consistent
+    from framed""",
+    recursive=True,
+)
 def model_dataset(t):
-    """Training rows with masked bases, class ids and sequence types from labelled reads."""
+    """Training rows with masked bases, class ids and sequence types from labelled reads, lists as text."""
     reads = LR.labelled_rows(LR.check_reads(*_genome_inputs(t), read_length=_LENGTH))
-    return DS.model_dataset(reads, _LABEL_SCHEME, _LENGTH, training=True)
+    rows = DS.model_dataset(reads, _LABEL_SCHEME, _LENGTH, training=True)
+    return rows.withColumns({c: F.to_json(c) for c, kind in rows.dtypes if kind.startswith("array")})
 
 
 @query()

@@ -298,9 +298,7 @@ def chained_segments(t):
 
 
 # Fragments in order; each row carries the chains that may still go on, with their last fragment.
-@query(
-    f"""
-    with {_CELLS},
+_CHAINED_TRUTH = f"""{_CELLS},
     marked as (
       select *, sum(case when label in (1, 2) and (prev is null or prev not in (1, 2)) or label = 3 and (prev is null or prev not in (1, 2)) then 1 else 0 end)
                 over (partition by name, rf order by i) as run
@@ -320,10 +318,10 @@ def chained_segments(t):
       from (select p.name, p.k, p.start, p."end", p.rf, w.n_chains, w.open,
                    list_min(list_transform(list_filter(w.open, lambda o: p.start - o['end'] - 1 between 0 and {X.MAX_FRAGMENT_GAP} and p.rf <> o['rf']
                      and o['end'] < p.labelled_to[o['rf'] + 1] and p.start < p.labelled_to[p.rf + 1]), lambda o: o['chain'])) as fit
-            from walk w join placed p on p.name = w.name and p.k = w.k + 1) x)
-    select name, start, "end", rf, cast(chain as int) as cds_group from walk""",
-    recursive=True,
-)
+            from walk w join placed p on p.name = w.name and p.k = w.k + 1) x)"""
+
+
+@query(f"""with {_CHAINED_TRUTH} select name, start, "end", rf, cast(chain as int) as cds_group from walk""", recursive=True)
 def truth_chains(t):
     """Truth intervals of each read chained over small gaps."""
     runs = L.in_all_frames(FRAMES, L.truth_intervals)
