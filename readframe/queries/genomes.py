@@ -15,7 +15,7 @@ from readframe.operators import stats as T
 from readframe.operators import taxonomy as X
 from readframe.plans import cds_records as CR
 from readframe.plans import labelled_reads as LR
-from readframe.queries.labels import _CHAINED_TRUTH, _CLASSES, _LABEL_SCHEME, _called
+from readframe.queries.labels import _CHAINED_TRUTH, _CLASSES, _LABEL_SCHEME
 from readframe.queries.registry import draw_sql, query
 from readframe.queries.sequences import _KNOWN, _LETTERS, _protein_sql
 from readframe.sources import sinks
@@ -247,17 +247,6 @@ def model_dataset(t):
     return rows.withColumns({c: F.to_json(c) for c, kind in rows.dtypes if kind.startswith("array")})
 
 
-@query()
-def called_cds_records(t):
-    """Nucleotide and protein records of all called CDSs."""
-    from readframe.plans import scoring
-
-    reads = t("reads").select(F.col("name").alias("read_name"), "input_order")
-    features = scoring.gff_features(_called(t), reads).filter("type = 'CDS'")
-    line = F.col("input_order") * 1_000_000 + (F.col("strand") == "-").cast("long") * 500_000 + F.col("idx")
-    return CR.cds_records(features.withColumn("line", line), t("reads").select("name", "seq"))
-
-
 # Every 42 bases of a read hold four single CDSs, on both strands, and one of two fragments.
 _ORFS = f"""
     blocks as (select input_order, name, seq, length(seq) as n, unnest(range(0, (length(seq) + 41) // 42)) as b from {{reads}}),

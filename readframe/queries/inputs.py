@@ -1,8 +1,8 @@
 """Sequence, annotation, prediction and genome tables derived from the test tables.
 
 Each derivation is one SQL text that both engines run over whole tables and whole texts.  The few spellings that differ
-are written as marks: ``<ALL>`` (replace every match), ``MAP(`` (transform an array), ``<x>`` (a lambda's argument) and
-``EACH(`` (a row for each value).
+are written as marks: ``<ALL>`` (replace every match), ``MAP(`` (transform an array), ``<x>`` (a lambda's argument),
+``EACH(`` (a row for each value) and ``NUMBERED(`` (a row for each element of an array, with its place from 0).
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ DERIVED = {
         select doc_id as input_order, concat('d', doc_id) as name, concat('g', doc_id % 20) as accession,
                translate(lower(regexp_replace(text, '[^A-Za-z]', ''<ALL>)), 'abcdefghijklmnopqrstuvwxyz', '{BASE_OF_LETTER}') as seq
         from {{documents}}""",
+    # Reads of at most 600 bases that together are the whole texts.
+    "pieces": """
+        select cast(input_order * 1000000 + b as bigint) as input_order, concat(name, '.', b) as name, piece as seq
+        from (select input_order, name, NUMBERED(regexp_extract_all(seq, '.{{1,600}}', 0)) as (b, piece) from {reads}) p""",
     # Label arrays: the label of a codon is told by its first base.
     "labelled": f"""
         select name, accession, length(seq) as length, seq,
@@ -131,8 +135,10 @@ def _dialect(sql: str, spark: bool) -> str:
     if spark:
         out = sql.replace("<ALL>", "").replace("MAP(", "transform(").replace("<x>", "x ->")
         out = re.sub(r"EACH\(([^()]*)\)", r"explode(array(\1))", out)
+        out = re.sub(r"NUMBERED\((.*)\) as \(", r"posexplode(\1) as (", out)
         return out.replace('"end"', "`end`").replace('"order"', "`order`")
     sql = re.sub(r"EACH\(([^()]*)\)", r"unnest([\1])", sql)
+    sql = re.sub(r"NUMBERED\((.*)\) as \((\w+), (\w+)\)", r"cast(generate_subscripts(\1, 1) - 1 as int) as \2, unnest(\1) as \3", sql)
     return sql.replace("<ALL>", ", 'g'").replace("MAP(", "list_transform(").replace("<x>", "lambda x:")
 
 
@@ -154,7 +160,7 @@ def _closure(sql: str, seen: dict[str, str]) -> None:
     for name in _dependencies(sql):
         if name in DERIVED and name not in seen:
             _closure(DERIVED[name], seen)
-            seen[name] = DERIVED[name]
+            seen[name] = DERIVED[name].replace("{{", "{").replace("}}", "}")
 
 
 def oracle(sql: str, recursive: bool = False) -> str:

@@ -11,7 +11,6 @@ from readframe.operators import datasets as DS
 from readframe.operators import decode as D
 from readframe.operators import frameshift as X
 from readframe.operators import windows as W
-from readframe.plans import scoring
 from readframe.queries.registry import query
 from readframe.queries.sequences import _scored
 
@@ -203,41 +202,11 @@ def legal_transitions(t):
 _LABEL_SCHEME = [(0, 0, 0)] + [tuple(label if rf == at else 0 for rf in range(3)) for at in range(3) for label in range(1, 6)]
 
 
-def composition_scorer(batches):
-    """A stand-in for a model: class scores from the bases of each codon, so that calls depend on the text alone."""
-    import pandas as pd
-
-    weights = np.array([[(7 * a + 3 * k) % 11 / 11 for k in range(len(_LABEL_SCHEME))] for a in range(125)], dtype=np.float32)
-    code = np.zeros(256, dtype=int)
-    for i, base in enumerate(b"ACGTN"):
-        code[base] = i
-    for batch in batches:
-        scores = []
-        for seq in batch["window_seq"]:
-            digits = code[np.frombuffer(seq.encode(), dtype=np.uint8)]
-            whole = digits[: len(digits) // 3 * 3].reshape(-1, 3)
-            scores.append(list(weights[whole @ np.array([25, 5, 1])]))
-        yield pd.DataFrame(batch[["read_name", "strand", "length", "window_start"]]).assign(scores=scores)
-
-
-def _called(t):
-    steps = D.transition_scores(_LABEL_SCHEME, weight=-0.5, n_labels=6)
-    return scoring.call_reads(t("reads").select("input_order", "name", "seq"), composition_scorer, _LABEL_SCHEME, steps)
-
-
-@query()
-def called_features(t):
-    """GFF rows of all reads on both strands: windows, scores, best path, segments, chains, features."""
-    return scoring.gff_features(_called(t), t("reads").select(F.col("name").alias("read_name"), "input_order"))
-
-
 # Segments of labels with marked borders; k is a segment's place in its read.
-_MARKED_SEGMENTS = f"""{_CELLS},
-    bordered as (select name, rf, i, case when label = 1 and prev = 0 then 4 when label = 1 and next = 0 then 5 else label end as label from cells),
-    beside as (select *, lag(label) over w as prev, lead(label) over w as next from bordered window w as (partition by name, rf order by i)),
+_RUN_SEGMENTS = """
     runs as (
       select *, sum(case when label in (1, 2, 4) and (prev is null or prev not in (1, 2, 4)) then 1 else 0 end) over (partition by name, rf order by i) as run
-      from beside),
+      from {beside}),
     bodies as (
       select name, rf, run, min(i) as first, max(i) as last, arg_min(label, i) as opening, arg_max(next, i) as closing
       from runs where label in (1, 2, 4) group by name, rf, run),
@@ -247,6 +216,10 @@ _MARKED_SEGMENTS = f"""{_CELLS},
              case closing when 3 then 'stop_codon' when 5 then 'indel_stop' else 'internal_region' end as end_type
       from bodies),
     placed as (select *, row_number() over (partition by name order by start, frame) as k from segs)"""
+_MARKED_SEGMENTS = f"""{_CELLS},
+    bordered as (select name, rf, i, case when label = 1 and prev = 0 then 4 when label = 1 and next = 0 then 5 else label end as label from cells),
+    beside as (select *, lag(label) over w as prev, lead(label) over w as next from bordered window w as (partition by name, rf order by i)),
+    {_RUN_SEGMENTS.replace("{beside}", "beside").strip()}"""
 
 # A walk over the segments of a read; each row carries the chains that wait for a further segment.
 _LINKED = f"""
