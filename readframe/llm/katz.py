@@ -81,11 +81,14 @@ class Words:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays one after another, compressed: most are small numbers in wide types."""
+    plain = np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def _unpack(payload: bytes, kinds: str) -> list[np.ndarray]:
     types = kinds.split()
+    payload = pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True)
     sizes, at, out = np.frombuffer(payload, "<i8", len(types)), 8 * len(types), []
     for n, kind in zip(sizes.tolist(), types, strict=True):
         out.append(np.frombuffer(payload, f"<{kind}", n, at))
