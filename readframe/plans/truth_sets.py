@@ -9,6 +9,7 @@ from readframe.functions import cds as C
 from readframe.functions import errors as E
 from readframe.operators.evaluate import READ
 from readframe.operators.frameshift import gap_indels
+from readframe.operators.rejects import kept_rows, with_reason
 
 
 def _tiers(rows: DataFrame) -> DataFrame:
@@ -29,6 +30,11 @@ def grouped_coordinates(coords: Column, connections: Column) -> Column:
     )
 
 
+def judged_by_cds(reads: DataFrame) -> DataFrame:
+    """Add ``reason``: reads without any CDS are no truth."""
+    return with_reason(reads, {"no CDS": F.size("cds_coords") > 0})
+
+
 def truth_cds(reads: DataFrame) -> DataFrame:
     """(tier, testset, accession, read_name, cds_group, fragments, indels) of labelled reads, one row per CDS.
 
@@ -36,7 +42,7 @@ def truth_cds(reads: DataFrame) -> DataFrame:
     goes by the span of all fragments; indels are those inside it.
     """
     groups = F.array_distinct(F.transform("cds_coords", lambda c: c["cds_group"]))
-    rows = reads.withColumn("cds_group", F.explode(groups)).withColumn(
+    rows = kept_rows(judged_by_cds(reads)).withColumn("cds_group", F.explode(groups)).withColumn(
         "fragments",
         F.transform(
             F.filter("cds_coords", lambda c: c["cds_group"] == F.col("cds_group")),

@@ -11,6 +11,7 @@ from readframe.operators import containment as K
 from readframe.operators import datasets as DS
 from readframe.operators import genomes as G
 from readframe.operators import intervals as I
+from readframe.operators import rejects as J
 from readframe.operators import stats as T
 from readframe.operators import taxonomy as X
 from readframe.plans import cds_records as CR
@@ -165,6 +166,7 @@ _JOB = f"""
     unknown as (select distinct read_id from fragments f where not exists (select 1 from known k where k.accession = f.accession and k.fragment = f.fragment)),
     checked as (
       select u.*, l.rf0_labels, l.rf1_labels, l.rf2_labels, coalesce(spans, []) as spans, coalesce(chains, []) as chains,
+             case when not is_same then 'not the reference' when has_short then 'short CDS' when has_wrong_step then 'indel against its frames' when x.read_id is not null then 'fragment in no protein' end as reason,
              is_same and not coalesce(has_short, false) and not coalesce(has_wrong_step, false) and x.read_id is null as kept
       from usable u join job_labels l on u.read_id = l.name left join coords c on u.read_id = c.name left join unknown x on u.read_id = x.read_id)"""
 
@@ -207,6 +209,13 @@ def read_keep_rate(t):
     return DS.keep_rate(LR.check_reads(*_genome_inputs(t), read_length=_LENGTH))
 
 
+@query(f"with {_JOB} select accession, reason, count(*) as n from checked where not kept group by all", recursive=True)
+def rejected_labelled_reads(t):
+    """Reads that the labelled-read job rejects, by genome and reason."""
+    rejected = J.rejected_rows(LR.check_reads(*_genome_inputs(t), read_length=_LENGTH))
+    return rejected.groupBy("accession", "reason").agg(F.count("*").alias("n"))
+
+
 def _bordered(labels: str) -> str:
     """Labels of a read with an indel: the first 1 after a 0 becomes 4, another 1 before a 0 becomes 5."""
     marked = f"case when x <> 1 then x when i > 1 and {labels}[i - 1] = 0 then 4 when i < len({labels}) and {labels}[i + 1] = 0 then 5 else x end"

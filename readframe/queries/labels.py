@@ -11,6 +11,8 @@ from readframe.operators import datasets as DS
 from readframe.operators import decode as D
 from readframe.operators import frameshift as X
 from readframe.operators import windows as W
+from readframe.operators.scheme import LabelScheme
+from readframe.plans import truth_sets as TS
 from readframe.queries.registry import query
 from readframe.queries.sequences import _scored
 
@@ -80,6 +82,16 @@ def truth_intervals(t):
     return t("labelled").select("name", F.inline(runs))
 
 
+@query(
+    """
+    select name, case when len(list_filter(list_concat(rf0_labels, list_concat(rf1_labels, rf2_labels)), lambda x: x in (1, 2, 3))) = 0 then 'no CDS' end as reason from {labelled}"""
+)
+def reads_by_cds(t):
+    """Reads that can be truth, and why the others cannot."""
+    runs = L.in_all_frames(FRAMES, L.truth_intervals)
+    return TS.judged_by_cds(t("labelled").select("name", runs.alias("cds_coords"))).select("name", "reason")
+
+
 @query(
     f"""
     with {_CELLS},
@@ -198,6 +210,32 @@ def legal_transitions(t):
     return D.legal_transitions(DS.number_triples(DS.label_triples(t("labelled"))), n_labels=4)
 
 
+_BORDERED_CLASSES = f"""{_CELLS.replace("cells as", "beside as")},
+    bordered as (select name, rf, i, case when label = 1 and prev = 0 then 4 when label = 1 and next = 0 then 5 else label end as label from beside),
+    broken as (select distinct a.label as rf0, b.label as rf1, c.label as rf2 from bordered a join bordered b on a.name = b.name and a.i = b.i and a.rf = 0 and b.rf = 1 join bordered c on a.name = c.name and a.i = c.i and c.rf = 2),
+    broken_classes as (select cast(row_number() over (order by rf0, rf1, rf2) - 1 as int) as class_id, rf0, rf1, rf2 from broken)"""
+_LEGAL_STEPS = {"S": L.LEGAL_FOUR, "SI": L.LEGAL_SIX}
+
+
+def _step_sql(variant: str, classes: str) -> str:
+    follows = " or ".join(f"({{0}} = {a} and {{1}} in ({', '.join(map(str, b))}))" for a, b in _LEGAL_STEPS[variant].items())
+    legal = " and ".join(f"({follows.format(f'x.rf{r}', f'y.rf{r}')})" for r in range(3))
+    free = "x.class_id = y.class_id and x.rf0 + x.rf1 + x.rf2 <= 1 and greatest(x.rf0, x.rf1, x.rf2) <= 1"
+    return f"""select '{variant}' as variant, x.class_id as from_id, y.class_id as to_id, concat(x.rf0, x.rf1, x.rf2) as labels,
+      cast(case when {free} then 0 when {legal} then -0.5 else -10 end as double) as score from {classes} x cross join {classes} y"""
+
+
+@query(f"with {_CLASSES}, {_BORDERED_CLASSES} {_step_sql('S', 'classes')} union all {_step_sql('SI', 'broken_classes')}")
+def scheme_steps(t):
+    """Classes and step scores of two variants, learned from the labelled reads: with and without borders at indels."""
+    spark, rows = t("labelled").sparkSession, []
+    for variant in ("S", "SI"):
+        scheme = LabelScheme.of_reads(t("labelled"), variant)
+        steps = scheme.steps(-0.5)
+        rows += [(variant, a, b, "".join(map(str, x)), float(steps[a, b])) for a, x in enumerate(scheme.classes) for b in range(len(scheme.classes))]
+    return spark.createDataFrame(rows, "variant string, from_id int, to_id int, labels string, score double")
+
+
 # Six labels, one coding frame at a time.
 _LABEL_SCHEME = [(0, 0, 0)] + [tuple(label if rf == at else 0 for rf in range(3)) for at in range(3) for label in range(1, 6)]
 

@@ -8,6 +8,7 @@ from readframe.functions import sequence as S
 from readframe.functions.draws import threshold
 from readframe.operators import genomes as G
 from readframe.operators import windows as W
+from readframe.plans.labelled_reads import without_n
 from readframe.queries.registry import query
 from readframe.sources import fasta
 
@@ -206,7 +207,7 @@ def routed_reads(t):
 
 @query("select name, seq from {reads} where not contains(seq, 'N')")
 def reads_without_n(t):
-    return t("reads").filter(~F.contains("seq", F.lit("N"))).select("name", "seq")
+    return without_n(t("reads"), "seq").select("name", "seq")
 
 
 _STARTS = """case when length(seq) <= 300 then [0] else

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from readframe.plans import annotations
+from readframe.queries.alignments import _CHECKED
 from readframe.queries.registry import query
 from readframe.sources import fasta, gff, sinks, tables
 
@@ -92,6 +94,51 @@ def gff_gene_caller_cds(t):
     return gff.gene_caller_cds(gff.parse_gff(_gff_lines(t)))
 
 
+# Two sets of the same assemblies under other names; the second one's CDSs are every third, longer at the end.
+_BOTH_SETS = """
+    lengths as (select assembly_id, max(cds_end) + 100 as length from {annotations} group by assembly_id),
+    stacked as (
+      select assembly_id, strand, cds_start, cds_end, certain from {annotations}
+      union all select assembly_id, strand, cds_start, cds_end + 30, certain from {annotations} where cds_start % 3 = 0),
+    flipped as (
+      select concat('NZ_', s.assembly_id) as assembly_id, strand, case when strand = '-' then length - cds_end + 1 else cds_start end as cds_start,
+             case when strand = '-' then length - cds_start + 1 else cds_end end as cds_end, certain
+      from stacked s join lengths l on s.assembly_id = l.assembly_id)"""
+
+
+@query(f"with {_BOTH_SETS}, {_CHECKED.replace('{annotations}', 'flipped')} select * from checked")
+def merged_annotation_sets(t):
+    """Annotations from the GFF lines of two sets of the same genomes: named alike, flipped, conflicts settled."""
+    rows = t("annotations")
+
+    def lines(prefix, of, longer):
+        note = F.when(F.col("certain"), F.lit("ID=x;product=kinase")).otherwise("ID=x;pseudo=true")
+        fields = [F.concat(F.lit(prefix), "assembly_id"), F.lit("s"), F.lit("CDS"), "cds_start", F.col("cds_end") + longer, F.lit("."), "strand", F.lit("0"), note]
+        text = F.concat_ws("\t", *[F.col(f).cast("string") if isinstance(f, str) else f.cast("string") for f in fields])
+        return gff.parse_gff(of.select(text.alias("value"), F.concat(F.lit("g"), "assembly_id").alias("accession")))
+
+    lengths = rows.groupBy("assembly_id").agg((F.max("cds_end") + 100).alias("length"))
+    sets = F.array(*[F.struct(F.lit(i).alias("source_rank"), F.lit(p).alias("prefix")) for i, p in enumerate(("NZ_", "CP"))])
+    records = lengths.select("assembly_id", "length", F.inline(sets)).select(
+        F.concat(F.lit("g"), "assembly_id").alias("accession"), "source_rank", F.lit(1).alias("ordinal"), F.concat("prefix", "assembly_id").alias("name"), "length"
+    )
+    kept = lengths.select(F.concat(F.lit("NZ_"), "assembly_id").alias("assembly_id"), "length")
+    return annotations.build_annotations(lines("NZ_", rows, 0), lines("CP", rows.filter("cds_start % 3 = 0"), 30), records, kept)
+
+
+@query("select name, reverse(translate(seq, 'ACGTN', 'TGCAN')) as seq from {reads} where seq <> ''")
+def reversed_genome_lines(t):
+    """Sequences reversed line by line from the lines of a FASTA file, and put together again."""
+    reads = t("reads").filter("seq != ''")
+    pieces = F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,70}"), F.lit(0))).alias("line", "value")
+    heads = reads.select((F.col("input_order") * 1_000_000).alias("place"), F.concat(F.lit(">"), "name").alias("value"))
+    body = reads.select("input_order", pieces).select((F.col("input_order") * 1_000_000 + F.col("line") + 1).alias("place"), "value")
+    turned = fasta.reverse_lines(heads.unionByName(body), width=50)
+    record = turned.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("turned", "piece", "value"))).alias("r"))
+    text = F.transform("r", lambda r: r["value"])
+    return record.select(F.substr(F.get(text, F.lit(0)), F.lit(2)).alias("name"), F.array_join(F.slice(text, F.lit(2), F.size(text)), "").alias("seq"))
+
+
 @query(
     f"""
     with {_GFF}
