@@ -27,6 +27,8 @@ FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 50_000
 PART_TOKENS = 3_000_000
 #: A word with a larger share of all training tokens is spread; there are fewer such words than this.
 HOT_WORDS = 1_000
+#: Words with fewer tokens than this are never hot.
+FREQUENT = 1_000
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 START, END = 0, 1  # numbers of the token before the first and of the last
@@ -131,12 +133,15 @@ def count_words(docs: DataFrame) -> Words:
         columns = [pa.array(np.r_[words.view(np.int64), 0], mask=np.r_[np.zeros(len(words), bool), True]), pa.array(np.r_[counts, held].astype(np.int64))]
         return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
-    words = cut(docs.select("held", "text").mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    by_count = [F.count_if(F.col("word").isNotNull() & (F.col("n") == r)).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
-    known = F.col("word").isNotNull()
-    row = words.agg(F.sum(F.when(known, F.col("n"))), F.count_if(known), F.sum(F.when(~known, F.col("n"))), *by_count).first()
+    words = docs.select("held", "text").mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Only frequent words keep their name; the others are told by how many there are of each count.
+    name = F.when(F.col("n") >= FREQUENT, F.col("word"))
+    kept = cut(words.groupBy(F.col("word").isNotNull().alias("known"), name.alias("word"), "n").agg(F.count("*").alias("kinds")))
+    known, kinds = F.col("known"), F.col("kinds")
+    by_count = [F.coalesce(F.sum(F.when(known & (F.col("n") == r), kinds)), F.lit(0)) for r in range(1, DISCOUNTED + 2)]
+    row = kept.agg(F.sum(F.when(known, F.col("n") * kinds)), F.coalesce(F.sum(F.when(known, kinds)), F.lit(0)), F.sum(F.when(~known, F.col("n") * kinds)), *by_count).first()
     total = row[0] or 0
-    hot = words.where(known & (F.col("n") > total / HOT_WORDS)).orderBy("word").collect()
+    hot = kept.where(known & F.col("word").isNotNull() & (F.col("n") > total / HOT_WORDS)).collect()
     numbers = np.array([r.word for r in hot], np.int64).view(np.uint64)
     order = np.argsort(numbers)
     return Words(total, row[1], total + (row[2] or 0), list(row[3:]), numbers[order], np.array([r.n for r in hot], np.int64)[order])
@@ -358,8 +363,8 @@ def fit(docs: DataFrame, with_pairs: bool = False) -> Model:
     answers = cut(shipped.groupBy("part").applyInArrow(_answer(words, with_pairs), SHIPPED))
     names = ["h", *COUNTS, "tokens", "probability"]
     found = _unpacked(answers, CONTEXT, "u8 " + "u4 " * len(COUNTS) + "i8 f8", names)
-    sums = cut(found.groupBy("h").agg(*[F.sum(n).alias(n) for n in names[1:]]))
-    row = sums.agg(*[F.sum(m) for m in COUNTS], F.max(F.when(F.col("h") == START, F.col("tokens")))).first()
+    row = found.agg(*[F.sum(m) for m in COUNTS], F.sum(F.when(F.col("h") == START, F.col("tokens")))).first()
+    sums = found.groupBy("h").agg(*[F.sum(n).alias(n) for n in names[1:]])
     factors = good_turing([n or 0 for n in row[: len(COUNTS)]])
     free = reduce(Column.__add__, [F.col(COUNTS[r - 1]) * float(r * (1 - factors[r - 1])) for r in range(1, DISCOUNTED + 1)])
     free = free + (F.col("tokens") > DISCOUNTED).cast("double")
@@ -367,7 +372,7 @@ def fit(docs: DataFrame, with_pairs: bool = False) -> Model:
     weight = F.log10(free / F.greatest(1 - F.col("probability"), F.lit(unknown)))
     began = row[len(COUNTS)] or 0
     start = math.log10(began + (began > DISCOUNTED)) if began else 0.0
-    contexts = cut(sums.select("h", "tokens", weight.alias("weight")))
+    contexts = sums.select("h", "tokens", weight.alias("weight"))
     return Model(words, factors, contexts, answers, docs.schema["doc_id"].dataType.simpleString(), start)
 
 
