@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readframe.llm.shared import cut, parts_of
@@ -350,6 +350,20 @@ class Model:
         return summed.join(backed, ["flush", "doc"], "left").select("doc_id", "held", "n_tokens", "n_known", "base", score.alias("score"))
 
 
+def _answers(docs: DataFrame, words: Words, parts: int, with_pairs: bool) -> DataFrame:
+    # Documents in a fixed order, so that a task that runs again packs them alike.
+    ordered = docs.select("doc_id", "held", "text", F.xxhash64("doc_id", "text").alias("key")).sortWithinPartitions("key")
+    return _ship(ordered, parts, words.hot).groupBy("part").applyInArrow(_answer(words, with_pairs), SHIPPED)
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Have the driver look for what nothing refers to any more.
+
+    Shuffle files of a finished step stay on the executors until then, and those of the pairs are the largest by far.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def fit(docs: DataFrame, with_pairs: bool = False) -> Model:
     """Train on documents that are not held out and sum up all; ``docs`` has (doc_id, held, text).
 
@@ -357,10 +371,8 @@ def fit(docs: DataFrame, with_pairs: bool = False) -> Model:
     """
     words = count_words(docs)
     parts = max(parts_of(docs.sparkSession), -(-words.all_tokens // PART_TOKENS))
-    # Documents in a fixed order, so that a task that runs again packs them alike.
-    ordered = docs.select("doc_id", "held", "text", F.xxhash64("doc_id", "text").alias("key")).sortWithinPartitions("key")
-    shipped = _ship(ordered, parts, words.hot)
-    answers = cut(shipped.groupBy("part").applyInArrow(_answer(words, with_pairs), SHIPPED))
+    answers = cut(_answers(docs, words, parts, with_pairs))
+    _let_go(docs.sparkSession)
     names = ["h", *COUNTS, "tokens", "probability"]
     found = _unpacked(answers, CONTEXT, "u8 " + "u4 " * len(COUNTS) + "i8 f8", names)
     row = found.agg(*[F.sum(m) for m in COUNTS], F.sum(F.when(F.col("h") == START, F.col("tokens")))).first()
