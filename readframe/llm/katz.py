@@ -359,7 +359,8 @@ def _answers(docs: DataFrame, words: Words, parts: int, with_pairs: bool) -> Dat
 def _let_go(spark: SparkSession) -> None:
     """Have the driver look for what nothing refers to any more.
 
-    Shuffle files of a finished step stay on the executors until then, and those of the pairs are the largest by far.
+    Shuffle files of a finished step stay on the executors until then, and those of the pairs are the largest by far.  A
+    session refers to its last query, so this comes after a further one.
     """
     spark.sparkContext._jvm.System.gc()
 
@@ -372,10 +373,10 @@ def fit(docs: DataFrame, with_pairs: bool = False) -> Model:
     words = count_words(docs)
     parts = max(parts_of(docs.sparkSession), -(-words.all_tokens // PART_TOKENS))
     answers = cut(_answers(docs, words, parts, with_pairs))
-    _let_go(docs.sparkSession)
     names = ["h", *COUNTS, "tokens", "probability"]
     found = _unpacked(answers, CONTEXT, "u8 " + "u4 " * len(COUNTS) + "i8 f8", names)
     row = found.agg(*[F.sum(m) for m in COUNTS], F.sum(F.when(F.col("h") == START, F.col("tokens")))).first()
+    _let_go(docs.sparkSession)
     sums = found.groupBy("h").agg(*[F.sum(n).alias(n) for n in names[1:]])
     factors = good_turing([n or 0 for n in row[: len(COUNTS)]])
     free = reduce(Column.__add__, [F.col(COUNTS[r - 1]) * float(r * (1 - factors[r - 1])) for r in range(1, DISCOUNTED + 1)])
