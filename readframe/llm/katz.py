@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readframe.llm.shared import cut, parts_of
 
 #: Tokens and documents that a task counts at a time; documents fit in 16 bits.
-FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 50_000
+FLUSH_TOKENS, FLUSH_DOCS = 2_500_000, 50_000
 #: Tokens of one partition of the table, about.
 PART_TOKENS = 3_000_000
 #: A word with a larger share of all training tokens is spread; there are fewer such words than this.
@@ -151,7 +151,7 @@ def _place(w: np.ndarray, h: np.ndarray, parts: int, hot: np.ndarray) -> np.ndar
     mixed = w * MIX
     spread = mixed ^ ((h + np.uint64(1)) * MIX >> np.uint64(7))
     mixed = np.where(np.isin(w, hot), spread * MIX, mixed)
-    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(parts)).astype(np.int64)
+    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(parts)).astype(np.int32)
 
 
 def _ship(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
@@ -175,12 +175,14 @@ def _ship(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     def _flushed(ids, helds, texts, flush: int) -> list[tuple[int, int, int, bytes]]:
         lengths = np.array([len(t) for t in texts])
         w = np.concatenate(texts)
-        doc = np.repeat(np.arange(len(texts), dtype=np.uint16), lengths)
+        texts.clear()
+        doc = np.repeat(np.arange(len(ids), dtype=np.uint16), lengths)
         h = np.r_[np.uint64(START), w[:-1]]
         h[np.cumsum(lengths)[:-1]] = START
         part = _place(w, h, parts, hot)
         order = np.lexsort((doc, h, w, part))
-        w, h, doc, part = w[order], h[order], doc[order], part[order].astype(np.int32)
+        w, h, doc, part = w[order], h[order], doc[order], part[order]
+        del order
         pair = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (h[1:] != h[:-1])])
         new = np.zeros(len(w), bool)
         new[pair] = True
@@ -342,9 +344,10 @@ class Model:
         schema = f"flush long, doc long, doc_id {self.id_type}, held boolean, " + "".join(f"{n} long, " for n in NUMBERS) + "base double, part_score double"
         summed = docs.groupBy("flush").applyInArrow(_documents, schema)
         asked = _unpacked(self.answers, ASK, "u8 u2 u4", ["h", "doc", "times"], flush=True)
-        name = F.concat(F.lit("h"), F.col("h").cast("string"))
-        weights = self.contexts.select(name.alias("name"), "weight")
-        backed = asked.withColumn("name", name).join(weights, "name").groupBy("flush", "doc").agg(F.sum(F.col("times") * F.col("weight")).alias("backed"))
+        # Under another name both sides are dealt out anew, so that the rows of a hot context can be split.
+        name = F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("name")
+        weights = self.contexts.select(name, "weight")
+        backed = asked.select("flush", "doc", "times", name).join(weights, "name").groupBy("flush", "doc").agg(F.sum(F.col("times") * F.col("weight")).alias("backed"))
         seen = reduce(Column.__add__, [F.col(f"c{r}") * math.log10(r * self.factors[r - 1]) for r in range(1, DISCOUNTED + 1)])
         score = F.col("part_score") + seen + F.coalesce("backed", F.lit(0.0)) - F.lit(self.start)
         return summed.join(backed, ["flush", "doc"], "left").select("doc_id", "held", "n_tokens", "n_known", "base", score.alias("score"))
@@ -356,15 +359,6 @@ def _answers(docs: DataFrame, words: Words, parts: int, with_pairs: bool) -> Dat
     return _ship(ordered, parts, words.hot).groupBy("part").applyInArrow(_answer(words, with_pairs), SHIPPED)
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Have the driver look for what nothing refers to any more.
-
-    Shuffle files of a finished step stay on the executors until then, and those of the pairs are the largest by far.  A
-    session refers to its last query, so this comes after a further one.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def fit(docs: DataFrame, with_pairs: bool = False) -> Model:
     """Train on documents that are not held out and sum up all; ``docs`` has (doc_id, held, text).
 
@@ -376,11 +370,10 @@ def fit(docs: DataFrame, with_pairs: bool = False) -> Model:
     names = ["h", *COUNTS, "tokens", "probability"]
     found = _unpacked(answers, CONTEXT, "u8 " + "u4 " * len(COUNTS) + "i8 f8", names)
     row = found.agg(*[F.sum(m) for m in COUNTS], F.sum(F.when(F.col("h") == START, F.col("tokens")))).first()
-    _let_go(docs.sparkSession)
-    sums = found.groupBy("h").agg(*[F.sum(n).alias(n) for n in names[1:]])
     factors = good_turing([n or 0 for n in row[: len(COUNTS)]])
     free = reduce(Column.__add__, [F.col(COUNTS[r - 1]) * float(r * (1 - factors[r - 1])) for r in range(1, DISCOUNTED + 1)])
-    free = free + (F.col("tokens") > DISCOUNTED).cast("double")
+    sums = found.select("h", "tokens", "probability", free.alias("free")).groupBy("h").agg(*[F.sum(n).alias(n) for n in ("tokens", "probability", "free")])
+    free = F.col("free") + (F.col("tokens") > DISCOUNTED).cast("double")
     unknown = float(words.probability(np.array([0]))[0])
     weight = F.log10(free / F.greatest(1 - F.col("probability"), F.lit(unknown)))
     began = row[len(COUNTS)] or 0
