@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,13 +24,74 @@ ENDS = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}
 ENDS |= {c: (CELLS, {"table", "tr"}) for c in CELLS} | {s: (SECTIONS | {"tr", "caption", "colgroup"}, {"table"}) for s in SECTIONS}
 ENDS |= {b: ({"p"}, {"table", "td", "th", "caption", "button"}) for b in BLOCKS - {"li", "dt", "dd", "caption"}}
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>)""", re.DOTALL)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+MARKS = re.compile("[>\"']")
+INSIDE = re.compile(r"""((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 UNQUOTED_END = re.compile(r"""=\s*[^\s"'>]+\Z""")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+GONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 SPACES = re.compile(r"[\x20\t\n\r\f]+")
 
 
+class Tags:
+    """Tags of a page from left to right, each place looked at a bounded number of times.
+
+    A tag ends at the first ``>`` outside quotes; a ``<`` from which none is in sight is text.  After the first such one the
+    end seen from each quote is worked out once, from the end of the page, so that no further search runs in vain.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.marks: list[int] | None = None
+
+    def _prepare(self) -> None:
+        source = self.source
+        self.marks = [m.start() for m in MARKS.finditer(source, 0, self.last + 1)]
+        self.ends = [-1] * (len(self.marks) + 1)
+        following = {'"': -1, "'": -1}  # the next quote of each kind, as a place among the marks
+        for k in range(len(self.marks) - 1, -1, -1):
+            mark = source[self.marks[k]]
+            if mark == ">":
+                self.ends[k] = self.marks[k]
+            else:
+                partner, following[mark] = following[mark], k
+                self.ends[k] = self.ends[partner + 1] if partner >= 0 else -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, name of a closing tag, name and attributes of an opening one; comments have no names."""
+        source = self.source
+        while (lt := source.find("<", at)) >= 0:
+            if source.startswith("!--", lt + 1):
+                end = source.find("-->", lt + 4)
+                return lt, end + 3 if end >= 0 else len(source), "", "", ""
+            if lt > self.last:
+                lt = source.find("<!--", lt)
+                return (lt, len(source), "", "", "") if lt >= 0 else None
+            kind = source[lt + 1 : lt + 2]
+            if kind in ("!", "?"):
+                return lt, source.find(">", lt) + 1, "", "", ""
+            name = NAME.match(source, lt + 1 + (kind == "/"))
+            if name and kind == "/":
+                return lt, source.find(">", name.end()) + 1, name[0], "", ""
+            if name:
+                if self.marks is None and (whole := INSIDE.match(source, name.end())):
+                    return lt, whole.end(), "", name[0], whole[1]
+                if self.marks is None:
+                    self._prepare()
+                end = self.ends[bisect_left(self.marks, name.end())]
+                if end >= 0:
+                    return lt, end + 1, "", name[0], source[name.end() : end]
+            at = lt + 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int]:
+        """Where the text of an element that holds no tags ends, and where its closing tag does."""
+        found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(self.source, at, max(at, self.last + 1))
+        return found.span() if found else (len(self.source), len(self.source))
+
+
 class Flow:
     """Lines of one block of text, page or table cell, as they grow."""
 
@@ -79,20 +141,40 @@ class Flow:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []  # of each cell: columns spanned, lines
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # of each cell: columns and rows spanned, lines
         self.caption: list[str] = []
 
+    def _placed(self) -> list[list[tuple[int, list[str]]]]:
+        """Cells of each row with empty ones where a cell of an earlier row reaches down."""
+        down: dict[int, int] = {}  # rows that a column is still taken for
+        out = []
+        for row in self.rows:
+            cells: list[tuple[int, list[str]]] = []
+            at, after = 0, {c: n - 1 for c, n in down.items() if n > 1}
+            for span, rows, lines in row:
+                while at in down:
+                    cells.append((1, []))
+                    at += 1
+                cells.append((span, lines))
+                if rows > 1:
+                    after |= dict.fromkeys(range(at, at + span), rows - 1)
+                at += span
+            out.append(cells)
+            down = after
+        return out
+
     def lines(self) -> list[str]:
         """Rows with their cells side by side, each column as wide as its widest single cell, two spaces apart."""
         width: dict[int, int] = {}
-        for row in self.rows:
+        placed = self._placed()
+        for row in placed:
             at = 0
             for span, lines in row:
                 if span == 1:
                     width[at] = max([width.get(at, 0), *map(len, lines)])
                 at += span
         out = list(self.caption)
-        for row in self.rows:
+        for row in placed:
             for k in range(max((len(lines) for _, lines in row), default=0)):
                 at, text = 0, ""
                 for span, lines in row:
@@ -108,7 +190,8 @@ class Page:
 
     def __init__(self):
         self.open: list[str] = []
-        self.hidden: list[bool] = []
+        self.places: dict[str, list[int]] = {}  # of each element that is open, from the outermost
+        self.hidden: list[tuple[bool, bool]] = []  # of each: not laid out at all, laid out but invisible
         self.flows = [Flow()]
         self.tables: list[Table] = []
         self.lists: list[int | None] = []  # next number, or None for bullets
@@ -121,23 +204,29 @@ class Page:
         if tag not in HEAD | {"html", "head"}:
             self._end_head()
         self.headed = self.headed or tag == "head"
-        if empty and (tag in FOREIGN or not FOREIGN.isdisjoint(self.open)):
+        if empty and (tag in FOREIGN or self.is_foreign()):
             return
         if tag in ENDS:
             self._imply_end(*ENDS[tag])
-        if tag in CELLS and "tr" not in self._since("table") and "table" in self.open:
+        if tag in CELLS and not self._in_table("tr") and self._is_open("table"):
             self.start("tr", {})
-        if tag in CELLS | SECTIONS | {"tr", "caption"} and "table" not in self.open:
+        if tag in CELLS | SECTIONS | {"tr", "caption"} and not self._is_open("table"):
             return
-        hidden = (self.hidden[-1] if self.hidden else False) or tag in HIDDEN or "hidden" in attributes or bool(INVISIBLE.search(attributes.get("style", "")))
+        gone, unseen = self.hidden[-1] if self.hidden else (False, False)
+        style = attributes.get("style", "")
+        gone = gone or tag in HIDDEN or "hidden" in attributes or bool(GONE.search(style))
+        if stated := VISIBILITY.findall(style):
+            unseen = stated[-1].lower() != "visible"
+        hidden = gone or unseen
         if tag in VOID:
             if tag == "br" and not hidden:
                 self.flows[-1].end_line(always=True)
             elif tag == "hr":
                 self.flows[-1].gap()
             return
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(tag)
-        self.hidden.append(hidden)
+        self.hidden.append((gone, unseen))
         flow = self.flows[-1]
         if tag in BLOCKS and not (tag in ("p", "div") and flow.mark and not flow.parts):
             flow.gap() if tag in PARAGRAPHS and not (tag in LISTS and len(self.lists)) else flow.end_line()
@@ -156,18 +245,18 @@ class Page:
             self.pre += 1
         elif tag == "table":
             self.tables.append(Table())
-        elif tag == "tr" and not hidden:
+        elif tag == "tr" and not gone:
             self.tables[-1].rows.append([])
         elif tag in CELLS or tag == "caption":
             self.flows.append(Flow())
             if tag in CELLS:
-                span = attributes.get("colspan", "1")
-                self.flows[-1].span = min(1000, int(span)) if re.fullmatch("[1-9][0-9]{0,5}", span) else 1
+                spans = [attributes.get(n, "1") for n in ("colspan", "rowspan")]
+                self.flows[-1].spans = [min(1000, int(n)) if re.fullmatch("[1-9][0-9]{0,5}", n) else 1 for n in spans]
 
     def end(self, tag: str) -> None:
-        if tag == "p" and "p" not in self._since("table"):
+        if tag == "p" and not self._in_table("p"):
             self.start("p", {})
-        if tag not in self.open or tag not in CELLS | SECTIONS | {"tr", "table"} and tag not in self._since("table"):
+        if not self._is_open(tag) or tag not in CELLS | SECTIONS | {"tr", "table"} and not self._in_table(tag):
             return
         while self._close() != tag:
             pass
@@ -175,7 +264,7 @@ class Page:
     def text(self, text: str) -> None:
         if text.strip(" \t\n\r\f"):
             self._end_head()
-        if not (self.hidden and self.hidden[-1]):
+        if not (self.hidden and any(self.hidden[-1])):
             self.flows[-1].write(text, self.pre > 0)
 
     def finish(self) -> str:
@@ -189,28 +278,34 @@ class Page:
         if self.open and self.open[-1] == "head":
             self._close()
 
-    def _since(self, boundary: str) -> list[str]:
-        """Open elements inside the nearest such element."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k] == boundary:
-                return self.open[k + 1 :]
-        return self.open
+    def is_foreign(self) -> bool:
+        return any(map(self._is_open, FOREIGN))
+
+    def _is_open(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def _nearest(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _in_table(self, tag: str) -> bool:
+        """Is such an element open inside the nearest table, or at all where there is none?"""
+        return self._nearest({tag}) > self._nearest({"table"})
 
     def _imply_end(self, tags: set[str], boundary: set[str]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k] in tags:
-                while len(self.open) > k:
-                    self._close()
-                return
-            if self.open[k] in boundary:
-                return
+        place = self._nearest(tags)
+        if place > self._nearest(boundary):
+            while len(self.open) > place:
+                self._close()
 
     def _close(self) -> str:
-        tag, hidden = self.open.pop(), self.hidden.pop()
+        tag, (gone, unseen) = self.open.pop(), self.hidden.pop()
+        hidden = gone or unseen
+        self.places[tag].pop()
         if tag in CELLS:
             cell = self.flows.pop()
-            if not hidden and self.tables[-1].rows:
-                self.tables[-1].rows[-1].append((cell.span, cell.done()))
+            lines = cell.done()
+            if (lines or not hidden) and self.tables[-1].rows:
+                self.tables[-1].rows[-1].append((*cell.spans, lines))
             return tag
         if tag == "caption":
             self.tables[-1].caption = self.flows.pop().done()
@@ -219,7 +314,7 @@ class Page:
         if tag == "table":
             table = self.tables.pop()
             flow.gap()
-            if not hidden:
+            if not gone:
                 for line in table.lines():
                     flow.parts.append(line)
                     flow.end_line()
@@ -242,23 +337,25 @@ def visible_text(source: str | None) -> str:
     """Text that a browser would show for a page."""
     page, at = Page(), 0
     source = source or ""
-    while match := TAG.search(source, at):
-        if match.start() > at:
-            page.text(html.unescape(source[at : match.start()]))
-        at = match.end()
-        if match[1]:
-            page.end(match[1].lower())
-        elif match[2]:
-            tag = match[2].lower()
-            attributes = {n.lower(): html.unescape(v.strip("\"'")) for n, v in ATTRIBUTE.findall(match[3])} if match[3].strip() else {}
-            empty = match[3].endswith("/") and not UNQUOTED_END.search(match[3])
+    tags = Tags(source)
+    while found := tags.next(at):
+        start, end, closed, opened, inside = found
+        if start > at:
+            page.text(html.unescape(source[at:start]))
+        at = end
+        if closed:
+            page.end(closed.lower())
+        elif opened:
+            tag = opened.lower()
+            attributes = {n.lower(): html.unescape(v.strip("\"'")) for n, v in ATTRIBUTE.findall(inside)} if inside.strip() else {}
+            empty = inside.endswith("/") and not UNQUOTED_END.search(inside)
             page.start(tag, attributes, empty)
-            if tag in RAW and tag not in VOID and not (empty and not FOREIGN.isdisjoint(page.open)):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(source, at)
+            if tag in RAW and tag not in VOID and not (empty and page.is_foreign()):
+                stop, end = tags.raw_end(tag, at)
                 if tag == "textarea":
-                    page.text(html.unescape(source[at : close.start()]))
+                    page.text(html.unescape(source[at:stop]))
                 page.end(tag)
-                at = close.end()
+                at = end
     page.text(html.unescape(source[at:]))
     return page.finish()
 

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -488,6 +490,41 @@ def test_extract_gives_a_row_for_each_page(spark):
     assert html_layout.visible_text("<div>" * 30_000 + "deep") == "deep"
 
 
+PLAIN_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*+)[^>]*>|([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>)""", re.DOTALL)
+
+
+def test_tags_are_those_of_a_plain_pattern():
+    rng = random.Random(6)
+    for _ in range(4000):
+        source = "".join(rng.choice(["<", "<", ">", '"', "'", "a", "/", "!", "--", "-->", "<!--", " ", "=", "<b", "</b"]) for _ in range(rng.randrange(24)))
+        tags, at, found = html_layout.Tags(source), 0, []
+        while tag := tags.next(at):
+            found.append(tag)
+            at = tag[1]
+        assert found == [(m.start(), m.end(), m[1] or "", m[2] or "", m[3] or "") for m in PLAIN_TAG.finditer(source)], source
+
+
+@pytest.mark.parametrize(
+    "piece, tail",
+    [('<a "', ""), ("<a '", ">"), ('<a "', ">"), ("<a ", ""), ("</a ", ""), ("<!", ""), ("<!--", ""), ("<", ">"), ("<script></script ", ""), ("<div>", ""), ("<p><table><td><div>", ""), ("<b><i></p>", "")],
+)
+def test_time_grows_with_the_page(piece, tail):
+    def seconds(n):
+        began = time.perf_counter()
+        html_layout.visible_text(piece * n + tail)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(0.05, seconds(10_000))
+
+
+def test_cells_that_reach_down_and_visible_parts_of_hidden_ones():
+    table = "<table><tr><td rowspan=2>a<td>bb<tr><td>c<tr><td>d<td rowspan=9>e</table>"
+    assert html_layout.visible_text(table) == "a  bb\n   c\nd  e"
+    page = "<div style='visibility:hidden'>x<b style='visibility: visible'>seen</b>y<p style='display:none'><b style='visibility:visible'>z</b></div>"
+    assert html_layout.visible_text(page) == "seen"
+
+
 # --- 8 nearest vectors
 
 

@@ -118,7 +118,7 @@ def texts(seed, n):
     return [rng.choice([" ", "\n", "\t "]).join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 5, 40, 200]))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("n, parts", [(0, 1), (1, 1), (60, 1), (300, 40)])
+@pytest.mark.parametrize("n, parts", [(0, 1), (1, 1), (300, 40)])
 def test_scores_are_those_of_the_model_word_by_word(spark, monkeypatch, n, parts):
     monkeypatch.setattr(katz, "PART_TOKENS", 10**9 if parts == 1 else 500)
     rows = [(None if k % 11 == 7 else k, t) for k, t in enumerate(texts(n, n))]
@@ -219,7 +219,7 @@ def manifest_of(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("n, langs", [(0, "a"), (1, "a"), (9, "a"), (60, "many"), (1500, "few")])
+@pytest.mark.parametrize("n, langs", [(0, "a"), (60, "many"), (1500, "few")])
 def test_manifest_is_the_tree_of_sorted_leaves(spark, n, langs):
     rng = random.Random(n)
     named = {"a": ["a"], "many": [None, "", "é", "zz", *map(str, range(20))], "few": [None, "en", "en", "en", "de"]}[langs]
@@ -260,8 +260,7 @@ def trie_of(rows, rebuild=True):
 NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
 
 
-@pytest.mark.parametrize("rebuild", [True, False])
-@pytest.mark.parametrize("n", [0, 1, 150, 700])
+@pytest.mark.parametrize("n, rebuild", [(0, True), (700, True), (150, False)])
 def test_trie_is_that_of_all_prefixes(spark, n, rebuild):
     rng = random.Random(n)
     rows = []
