@@ -166,13 +166,12 @@ def _confirmed(docs: DataFrame, one: DataFrame, rough: DataFrame, least: int, mo
     that connects nearly all, as it does in a large group of close copies, only the sets outside the largest part are
     left to be compared with all chunks.  Pairs inside one part are connected already and need no comparison.
     """
-    asked = one.select("s1", "first", "n").join(rough, F.col("s1") == F.col("node")).select("s1", "first", "n", F.col("component").alias("g"))
+    asked = one.select("s1", "row", "n").join(rough, F.col("s1") == F.col("node")).select("s1", "row", "n", F.col("component").alias("g"))
     loads = asked.groupBy("g").agg(
         F.greatest(F.ceil(F.sum("n") / most), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("chunks"), F.min("s1").alias("p1"), F.max("s1").alias("p2")
     )
     placed = join_back(asked, loads, "g").withColumn("chunk", F.pmod(F.xxhash64("s1"), F.col("chunks")).cast("int"))
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    full = cut(placed.join(texts, F.col("first").eqNullSafe(F.col("_id"))).select("g", "s1", "chunk", "chunks", "p1", "p2", "text").mapInArrow(_sets, SET))
+    full = cut(_texts(docs, placed).select("g", "s1", "chunk", "chunks", "p1", "p2", "text").mapInArrow(_sets, SET))
 
     pivot = (F.col("s1") == F.col("p1")) | (F.col("s1") == F.col("p2"))
     own = F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
@@ -196,17 +195,32 @@ def _confirmed(docs: DataFrame, one: DataFrame, rough: DataFrame, least: int, mo
     return first.union(left.union(right).groupBy(cell).applyInPandas(compare, LINK))
 
 
+def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The text of each set, from its first document.
+
+    A document is found again by its id and text together, so rows of one id, or of none, meet only where their texts
+    are equal.
+    """
+    texts = docs.select("text", "doc_id", *_text_hashes()).select("text", _row_name("doc_id", "t1", "t2"))
+    return sets.withColumn("_name", _row_name("row.doc_id", "row.t1", "row.t2")).join(texts, "_name")
+
+
 SET, LINK = "g long, s1 long, chunk int, chunks int, p1 long, p2 long, hashes binary", "a long, b long"
 BLOCK_SETS = 1024
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full set of each text; rows whose doc_id another text has as well fall out by the set's hash."""
+    """The full set of each text, once in a task, however many equal rows it has."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-        named = [int(np.frombuffer(xxhash.xxh3_128_digest(s), "<i8")[0]) for s in sets]
-        whole = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sets, pa.binary())], [*batch.schema.names[:6], "hashes"])
-        yield whole.filter(pa.array([a == b for a, b in zip(named, batch.column("s1").to_pylist(), strict=True)], pa.bool_()))
+        new = []
+        for at, s1 in enumerate(batch.column("s1").to_pylist()):
+            if s1 not in seen:
+                seen.add(s1)
+                new.append(at)
+        batch = batch.take(pa.array(new, pa.int64()))
+        sets = pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], sets], [*batch.schema.names[:6], "hashes"])
 
 
 def _comparer(least: int):

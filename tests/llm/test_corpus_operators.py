@@ -9,7 +9,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, multi_index, repeats, secret_links, substring_trees, url_rules
 from readframe.llm.shared import components, tokenizer_files
@@ -437,6 +439,28 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == sorted([(4, 2, 4, True), (None, 2, 4, False), (1, 0, 1, True), (2, 0, 2, True), (7, 1, 7, True), (7, 1, 7, True), (None, 1, None, True)], key=repr)
 
 
+def test_rows_without_id_meet_only_their_own_text(spark):
+    rng = random.Random(11)
+    base = words_of(rng, 120, [f"v{k}" for k in range(200)]).split()
+    texts = []
+    for k in range(60):
+        w = list(base)
+        w[2 * k] = f"own{k}"
+        texts.append(" ".join(w))
+    docs = documents(spark, texts + texts[:1] * 40, [None] * 30 + [5] * 30 + [None] * 40)
+    known = min_max.sketches(docs).where("s1 is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t1", "t2")
+    sets = known.groupBy("s1", "s2").agg(F.min(row).alias("row"))
+    met = min_max._texts(docs, sets)
+    assert met.count() == 60 + 40  # one for each text, and the copies of the first
+    assert {r.text for r in met.collect()} == set(texts)
+    fields = [pa.field(c, pa.int64()) for c in ("g", "s1", "chunk", "chunks", "p1", "p2")]
+    batch = pa.RecordBatch.from_arrays([*(pa.array([7, 7, 8]) for _ in fields), pa.array(["a b", "a b", "c"])], schema=pa.schema([*fields, ("text", pa.string())]))
+    assert [b.column("s1").to_pylist() for b in min_max._sets(iter([batch, batch]))] == [[7, 8], []]
+    got = min_max.near_duplicates(docs).collect()
+    assert len(got) == 100 and {r.component_id for r in got} == {5} and sum(r.kept for r in got) == 30
+
+
 def test_exactly_one_row_of_a_group_stays(spark):
     near = "a b c d e f g h"
     texts = [near, near.upper(), near, near, "k l m n o", "k l m n o", "k l m n o", "p q r", "p q r", "x y", "x y z", None, " ", " "]
