@@ -110,9 +110,24 @@ tags as (
   union all
   select url, regexp_extract(unnest(regexp_extract_all(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0, 'is')), '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
   from p where contains(url, '://')),
+plain as (
+  select url, regexp_replace(target, '&(?:amp|AMP|#0*38|#[xX]0*26);', '&', 'g') as target,
+         case when {_PATH.format("url")} = '' then '/' else {_PATH.format("url")} end as own from tags),
+led as (
+  select *, regexp_extract(target, '^([^?#]*)', 1, 's') as head, regexp_extract(target, '^[^?#]*(.*)$', 1, 's') as rest from plain),
+steps as (
+  select *, string_split(regexp_replace(regexp_replace(case when starts_with(target, '/') then head else regexp_extract(own, '^(.*/)', 1, 's') || head end,
+                                                       '^/', ''), '((?:^|/)[.]{{1,2}})$', '\1/'), '/') as segments from led),
+walked as (
+  select *, list_reduce(list_concat([cast([] as varchar[])], list_transform(segments, lambda x : [x])),
+                        lambda a, x : case when x[1] = '..' then a[1 : greatest(len(a) - 1, 0)] when x[1] = '.' then a else list_concat(a, x) end) as stack
+  from steps),
 whole as (
-  select url, case when contains(target, '://') then target when starts_with(target, '//') then 'http:' || target
-                   when starts_with(target, '/') then 'http://' || {_HOST.format("url")} || target end as target from tags),
+  select url, case when regexp_matches(target, '^[a-z][a-z0-9+.-]*://', 'i') then target
+                   when starts_with(target, '//') then 'http:' || target
+                   when regexp_matches(target, '^[a-z][a-z0-9+.-]*:', 'i') or starts_with(target, '#') or target = '' then null
+                   when starts_with(target, '?') then 'http://' || {_HOST.format("url")} || own || target
+                   else 'http://' || {_HOST.format("url")} || '/' || coalesce(array_to_string(stack, '/'), '') || rest end as target from walked),
 edges as (select {_node("url")} as a, {_node("target")} as b from whole where target is not null),
 links as (select a, b from edges where a <> b union select b, a from edges where a <> b),
 reached as (select a, b from links union select r.a, l.b from reached r join links l on r.b = l.a),

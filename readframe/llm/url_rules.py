@@ -84,19 +84,33 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame
     Null url, or one without ``://``: empty host and path, no rule, no alias, allowed.  Null html: no links.  Null or
     repeated page_id: one row for each input row.  Further columns are ignored.  No rows: no rows.
     """
-    asked = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
-    groups = components(alias_edges(pages) if edges is None else edges.select("a", "b"))
+    return _judged(pages.select(F.struct("page_id").alias("row"), "url"), alias_edges(pages) if edges is None else edges, rules).select(
+        "row.page_id", "host", "path", "rule", "verdict"
+    )
+
+
+def _judged(rows: DataFrame, edges: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Rows (row, host, path, rule, verdict) from rows (row, url)."""
+    asked = rows.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    groups = components(edges.select("a", "b"))
     url = F.concat(F.lit("x://"), "node")
     groups = groups.select("node", "component", host_of(url).alias("host"), path_of(url).alias("path"))
-    rules = pages.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, decision string")
-    ruled = ruling(asked.select("host", "path").union(groups.select("host", "path")), rules)
-    votes = groups.join(ruled, ["host", "path"]).groupBy("component").agg(F.min("decision").alias("voted"))  # allow sorts before block
+    given = rows.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, decision string")
+    ruled = ruling(asked.select("host", "path").union(groups.select("host", "path")), given)
+    votes = _with_rule(groups, ruled).groupBy("component").agg(F.min("decision").alias("voted"))  # allow sorts before block
     aliases = join_back(groups, votes, "component").select("node", "voted")
-    return (
-        asked.join(ruled, ["host", "path"], "left")
-        .join(aliases, "node", "left")
-        .select("page_id", "host", "path", "rule", F.coalesce("decision", "voted", F.lit("allow")).alias("verdict"))
-    )
+    verdict = F.coalesce("decision", "voted", F.lit("allow")).alias("verdict")
+    return _with_rule(asked, ruled).join(aliases, "node", "left").select("row", "host", "path", "rule", verdict)
+
+
+def _with_rule(rows: DataFrame, ruled: DataFrame) -> DataFrame:
+    """Add the rule and decision of each row's host and path.
+
+    Both sides are dealt out anew by one name for the two: ``ruled`` comes from an aggregate by host and path, and where a
+    join takes its partitions over, adaptive execution cannot split the rows of a hot path.  A host holds no slash.
+    """
+    name = F.concat("host", F.lit("/"), "path")
+    return rows.withColumn("_name", name).join(ruled.select(name.alias("_name"), "rule", "decision"), "_name", "left").drop("_name")
 
 
 def ruling(paths: DataFrame, rules: DataFrame) -> DataFrame:
@@ -111,6 +125,6 @@ def ruling(paths: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def allowed_pages(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Pages whose URL is allowed, with all their columns."""
-    blocked = judge(pages, rules).where("verdict = 'block'").select(F.col("page_id").alias("_blocked")).distinct()
-    return pages.join(blocked, F.col("page_id") == F.col("_blocked"), "left_anti")
+    """Pages whose URL is allowed, with all their columns; each row goes by its own URL, whatever its page_id."""
+    rows = pages.select(F.struct("*").alias("row"), "url")
+    return _judged(rows, alias_edges(pages), rules).where("verdict = 'allow'").select("row.*")

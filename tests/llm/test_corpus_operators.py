@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, multi_index, repeats, secret_links, substring_trees, url_rules
+from readframe.llm import best_fit, cube_mix, html_layout, interval_dedup, line_rules, min_max, multi_index, queries, repeats, secret_links, substring_trees, url_rules
 from readframe.llm.shared import components, tokenizer_files
 
 # Names that operators use inside stand next to the columns they need.
@@ -690,6 +690,43 @@ def test_links_are_taken_relative_to_their_page(spark):
     assert verdicts == {1: "block", 2: "block"}
 
 
+def test_sql_follows_links_like_the_code(spark):
+    duckdb = pytest.importorskip("duckdb")
+    links = ["next.html", "../x", "../../../x/", "..", "./", "?p=2", "/go?u=http://x", "/fr/../b/./c", "x?y=../z", "/?a=1&amp;b=2", "//two.net/fr/p#f", "#top", "mailto:a@b.c",
+             "HTTP://two.net/es/?q", "/fr/a", "../fr/./", "https://www.example.com/en/&#38;"]
+    rows = []
+    for k, link in enumerate(links):
+        html = f'<link rel="canonical" href="{link}">' if k % 2 else f'<META http-equiv=refresh content="0; url={link}">'
+        for host in ("one.net", "one.org", "www.Example.com"):
+            rows.append((len(rows), f"http://{host}/a/b/c?k={k}", html))
+    rows += [(len(rows) + k, f"https://{u}", None) for k, u in enumerate(["one.net/fr/a", "one.net/b/c", "one.org/a/x", "two.net/es/?q", "one.org", "two.net/fr/p"])]
+    rows += [(None, "http://one.net/fr/a", ""), (None, None, "x"), (0, "bare", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    connection = duckdb.connect()
+    connection.register("pages", pages.toArrow())
+    relation = connection.sql(queries.oracle_sql()["op10_url_rules"])
+    theirs = [tuple(dict(zip(relation.columns, r, strict=True))[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in relation.fetchall()]
+    got = [tuple(r) for r in url_rules.judge(pages, url_rules.RULES).collect()]
+    assert sorted(got, key=repr) == sorted(theirs, key=repr) and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
+def test_allowed_pages_go_row_by_row(spark):
+    rows = [(None, "http://a.net/fr/x"), (None, "http://a.org/"), (1, "http://b.net/es/"), (1, "http://b.org/"), (2, "http://c.org/"), (2, "http://c.org/"), (3, None)]
+    pages = spark.createDataFrame([(*r, "") for r in rows], "page_id long, url string, html string").selectExpr("*", "'x' as verdict", "2 as row", "3 as _name")
+    kept = url_rules.allowed_pages(pages, url_rules.RULES)
+    assert kept.columns == pages.columns
+    assert sorted((str(r.page_id), str(r.url)) for r in kept.collect()) == sorted((str(a), str(b)) for a, b in rows if not b or "net" not in b)
+
+
+def test_a_hot_path_meets_its_rule_in_parts(spark):
+    rows = spark.range(3000).selectExpr("id as page_id", "concat('http://hot.net/fr/s?q=', id) as url", "'' as html")
+    assert {(r.rule, r.verdict, r["count"]) for r in url_rules.judge(rows, url_rules.RULES).groupBy("rule", "verdict").count().collect()} == {("net/fr/", "block", 3000)}
+    asked = rows.select(url_rules.host_of(F.col("url")).alias("host"), url_rules.path_of(F.col("url")).alias("path"))
+    given = spark.createDataFrame(url_rules.RULES, "rule_host string, rule_path string, decision string")
+    plan = url_rules._with_rule(asked, url_rules.ruling(asked, given))._jdf.queryExecution().toString()
+    assert plan.count("hashpartitioning(_name") != 1  # both sides are dealt out by the name, or the rules are small enough to send
+
+
 # --- no rows
 
 
