@@ -149,6 +149,8 @@ def _pair_counts(read_counts: DataFrame, models: list[str], min_genomes: int) ->
         F.max(F.when(F.col("model") == m, F.struct("tp", "fp", "fn"))).alias(f"_m{i}") for i, m in enumerate(models)
     ]
     per_read = read_counts.groupBy("testset", "accession", "read_name").agg(*per_model)
+    # Reads of a genome with equal counts go on as one row, made once: which genomes count follows from the same rows.
+    alike = checkpointed(per_read.groupBy("testset", "accession", *[f"_m{i}" for i in range(len(models))]).agg(F.count("*").alias("n")))
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")])
     pairs = F.array(
         *[
@@ -160,13 +162,12 @@ def _pair_counts(read_counts: DataFrame, models: list[str], min_genomes: int) ->
         ]
     )
     vectors = (
-        per_read.select("testset", "accession", F.explode(pairs).alias("x"))
-        .select("testset", "accession", "x.*")
+        alike.select("testset", "accession", "n", F.explode(pairs).alias("x"))
+        .select("testset", "accession", "n", "x.*")
         .groupBy("testset", "accession", "model_a", "model_b", "a", "b")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
-    # Which models have scored a genome follows from the same rows.
-    scored = per_read.groupBy("testset", "accession").agg(*[F.max(F.col(f"_m{i}").isNotNull()).alias(f"_has{i}") for i in range(len(models))])
+    scored = alike.groupBy("testset", "accession").agg(*[F.max(F.col(f"_m{i}").isNotNull()).alias(f"_has{i}") for i in range(len(models))])
     both = [
         F.when(F.col(f"_has{i}") & F.col(f"_has{j}"), F.struct(F.lit(models[i]).alias("model_a"), F.lit(models[j]).alias("model_b")))
         for i, j in combinations(range(len(models)), 2)
