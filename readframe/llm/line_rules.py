@@ -163,7 +163,9 @@ def keep_documents(docs: DataFrame, **limits) -> DataFrame:
     kept = judged(docs, docs.columns, **limits).where("kept")
     changed = F.col("n_line_words") > 0
     text = F.when(changed, without_lines(F.col("row.text"), F.col("frequent"))).otherwise(F.col("row.text"))
-    out = kept.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns), changed.alias("_changed"))
+    # The input's columns stay inside ``row``, so that none can clash with these.
+    out = kept.select("row", changed.alias("changed"), text.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -214,7 +214,10 @@ def test_kept_documents_lose_their_frequent_lines(spark):
     own = [" ".join(chr(97 + k) + chr(97 + n) + "x" * (n // 26) for n in range(26)) for k in range(9)]
     texts = [f"Page {k} of 9\n{x}\n\n  PAGE 7\tof 1 \nend {x[:9]}" for k, x in enumerate(own)] + ["Page 1 of 2\n" + own[0]]
     docs = documents(spark, texts, None, ["a"] * 9 + ["b"])
-    got = {r.doc_id: r for r in line_rules.keep_documents(docs, min_docs=3, max_share=0.5).collect()}
+    docs = docs.withColumns({"_changed": F.lit("x"), "changed": F.lit("y"), "n_line_words": F.lit(3)})
+    kept = line_rules.keep_documents(docs, min_docs=3, max_share=0.5)
+    assert kept.schema.names == docs.columns and {(r["_changed"], r.changed, r.n_line_words) for r in kept.collect()} == {("x", "y", 3)}
+    got = {r.doc_id: r for r in kept.collect()}
     expected = {k: f"{x}\n\nend {x[:9]}" for k, x in enumerate(own)} | {9: texts[9]}
     assert {k: r.text for k, r in got.items()} == expected
     assert all(r.n_chars == len(r.text) and r.bucket == 9 for r in got.values())
