@@ -15,6 +15,7 @@ from readframe.operators.scheme import LabelScheme
 from readframe.plans import truth_sets as TS
 from readframe.queries.registry import query
 from readframe.queries.sequences import _scored
+from readframe.session import measured
 
 FRAMES = ("rf0_labels", "rf1_labels", "rf2_labels")
 
@@ -130,10 +131,9 @@ def codon_labels(t):
 def padded_labels(t):
     """Labels filled up to the longest read of each genome."""
     longest = t("labelled").groupBy("accession").agg(F.max(F.size("rf0_labels")).alias("longest"))
-    padded = L.pad_labels(F.col("rf0_labels"), F.col("longest"))
-    return t("labelled").join(longest, "accession").select(
-        "name", F.array_join(F.transform(padded, lambda x: x.cast("string")), ",").alias("padded"), F.size(L.valid_labels(padded)).alias("n_valid")
-    )
+    padded = L.pad_labels(F.col("rf0_labels"), F.col("longest")).alias("k")
+    rows = t("labelled").join(measured(longest), "accession").select("name", padded)
+    return rows.select("name", F.array_join(F.col("k").cast("array<string>"), ",").alias("padded"), F.size(L.valid_labels(F.col("k"))).alias("n_valid"))
 
 
 @query(

@@ -10,6 +10,7 @@ from readframe.operators import genomes as G
 from readframe.operators import windows as W
 from readframe.plans.labelled_reads import without_n
 from readframe.queries.registry import query
+from readframe.session import measured
 from readframe.sources import fasta
 
 # The codon table as SQL: the three letters are base-4 digits.
@@ -143,9 +144,10 @@ VOCABULARY = {"<cls>": 0, "<pad>": 1, "<eos>": 2, "<unk>": 3} | {r: 4 + i for i,
 def token_ids(t):
     """Token ids filled up to the longest read of each genome."""
     tokens = S.token_ids(S.model_residues(F.col("seq")), VOCABULARY, F.col("codons"))
-    rows = t("reads").join(_longest(t), "accession").select("name", tokens.alias("k"))
-    attended = F.aggregate("k.attention_mask", F.lit(0), lambda acc, x: acc + x)
-    return rows.select("name", F.array_join(F.transform("k.input_ids", lambda x: x.cast("string")), ",").alias("ids"), attended.alias("n_attended"))
+    rows = t("reads").join(measured(_longest(t)), "accession").select("name", tokens.alias("k"))
+    # The mask holds ones and zeros.
+    attended = F.size(F.array_remove("k.attention_mask", 0))
+    return rows.select("name", F.array_join(F.col("k.input_ids").cast("array<string>"), ",").alias("ids"), attended.alias("n_attended"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, app: str = "readframe", **conf: str) -> SparkSession:
@@ -26,13 +27,18 @@ def local_session(cores: int | str = 8, app: str = "readframe", **conf: str) ->
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a plain scan to all cores if it comes in fewer pieces than there are cores.
+    """Deal the rows of a plain scan to all cores if they come in fewer pieces than that, or most of them in a few.
 
-    For inputs that cannot be split, such as a gzip file or one small Parquet file, ahead of work that is heavy per
-    row.  A large input has more pieces than that and is left alone.
+    For inputs that cannot be split, such as a gzip file or a Parquet file of one row group, ahead of work that is heavy
+    per row.  Where there are pieces enough their rows are counted, which reads no column: a file is cut by its bytes,
+    but only the piece with the middle of a row group gets its rows.  A large even input is left alone.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    if scan.rdd.getNumPartitions() >= cores:
+        pieces = scan.groupBy(F.spark_partition_id().alias("piece")).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        if (pieces["most"] or 0) * cores <= 2 * (pieces["all"] or 0):
+            return scan
+    return scan.repartition(2 * cores)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -49,3 +55,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="readframe-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def measured(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The rows of a table with one short row per group, made now and kept, to be joined to a large one.
+
+    With at most ``rows`` rows, which are counted, it is sent to all tasks, so that the large side stays where it is; a
+    shuffle by few groups would put its rows into as few tasks.  A larger table is left to Spark's choice.
+    """
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept
