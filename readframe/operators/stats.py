@@ -23,7 +23,8 @@ COUNTS = ["tp", "fp", "fn"]
 
 def spearman(scores: DataFrame, keys: list[str], x: str, y: str, min_rows: int = 3) -> DataFrame:
     """Rank correlation of two columns per key: rho, n and its t statistic; keys with fewer rows are left out."""
-    data = scores.select(*keys, x, y).dropna(subset=[x, y])
+    # Kept, as both columns are ranked by several passes and what leads to the scores is long.
+    data = checkpointed(scores.select(*keys, x, y).dropna(subset=[x, y]))
     ranked = average_ranks(average_ranks(data, keys, x, "_rx"), keys, y, "_ry")
     out = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
     spread = F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("rho") * F.col("rho"))
@@ -40,7 +41,8 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def box_numbers(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, population spread, quartiles and 1.5-IQR whisker ends."""
-    values = scores.select(*keys, F.col(value).cast("double").alias("_v"))
+    # Kept, as mean, quartiles and whiskers are passes of their own and what leads to the scores is long.
+    values = checkpointed(scores.select(*keys, F.col(value).cast("double").alias("_v")))
     stats = values.groupBy(*keys).agg(
         F.count("_v").alias("n"),
         F.avg("_v").alias("mean"),
@@ -219,7 +221,9 @@ def permutation_test(
         .groupBy(*PAIR, *COUNTS)
         .agg(F.sum("n").alias("n"))
     )
-    coins = deltas.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {COINS})"))).repartition("block", *PAIR, *COUNTS)
+    # A row of few bytes stands for a thousand hashes, so their number of tasks is named: by bytes they would be one.
+    tasks = max(int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions")), deltas.sparkSession.sparkContext.defaultParallelism)
+    coins = deltas.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {COINS})"))).repartition(tasks, "block", *PAIR, *COUNTS)
     thrown = coins.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
     in_block = F.least(F.lit(COINS), F.col("n") - F.col("block") * COINS)
     swapped = heads(in_block, F.lit(seed), *[F.col(c) for c in (*PAIR, *COUNTS, "block", "permutation")])
