@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from readframe.functions import cds as C
 from readframe.functions.metrics import precision, recall, with_scores
-from readframe.session import checkpointed
+from readframe.session import checkpointed, task_number
 
 GENOME = ["model", "testset", "accession"]
 READ = [*GENOME, "read_name"]
@@ -352,7 +352,7 @@ def indel_matches(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """
     places = (
         _stack(truth, pred, [*READ, F.col("pos").cast("int").alias("pos")])
-        .repartition(*READ)
+        .repartition(task_number(truth), *READ)
         .groupBy(*READ, "pos")
         .agg(F.sum("in_truth").alias("n_truth"), F.sum("in_pred").alias("n_pred"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from readframe.functions.draws import DRAW_BITS, heads
 from readframe.functions.metrics import f1, ratio
 from readframe.operators.scan import average_ranks, exact_quantiles, same_keys
-from readframe.session import checkpointed
+from readframe.session import checkpointed, task_number
 
 # The settings of the paired test.
 PERMUTATIONS = 1000
@@ -222,8 +222,7 @@ def permutation_test(
         .agg(F.sum("n").alias("n"))
     )
     # A row of few bytes stands for a thousand hashes, so their number of tasks is named: by bytes they would be one.
-    tasks = max(int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions")), deltas.sparkSession.sparkContext.defaultParallelism)
-    coins = deltas.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {COINS})"))).repartition(tasks, "block", *PAIR, *COUNTS)
+    coins = deltas.withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {COINS})"))).repartition(task_number(deltas), "block", *PAIR, *COUNTS)
     thrown = coins.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
     in_block = F.least(F.lit(COINS), F.col("n") - F.col("block") * COINS)
     swapped = heads(in_block, F.lit(seed), *[F.col(c) for c in (*PAIR, *COUNTS, "block", "permutation")])

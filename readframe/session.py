@@ -41,6 +41,12 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(2 * cores)
 
 
+def task_number(df: DataFrame) -> int:
+    """Partitions for a shuffle whose rows cost far more than their bytes tell, which adaptive execution would merge."""
+    session = df.sparkSession
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, made now and kept in the folder that ``spark.checkpoint.dir`` names, for jobs that iterate.
 
