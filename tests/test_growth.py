@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from readframe.functions import metrics as M
 from readframe.operators import evaluate as V
+from readframe.operators import intervals as I
 from readframe.operators import stats as T
 from readframe.queries.catalog import QUERIES
 from readframe.session import measured, spread
+from readframe.sources import gff
 
 SPANS = "testset string, accession string, read_name string, cds_group string, start int, end int, rf int"
 TRUTH = [("t", "g", "r1", None, 1, 30, 0), ("t", "g", "r1", None, 1, 30, 0), ("t", "g", "r1", "a", 40, 60, 0), ("t", "g", "r1", "a", 62, 90, 1), ("t", "g", None, "b", 4, 9, 0)]
@@ -120,3 +122,19 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_annotations_are_made_and_cut_once(spark, counted):
+    make, seen = counted
+    rows = [("a", "+", 1, 30, True), ("a", "+", 1, 60, True), ("a", "+", 7, 60, True), ("a", "+", 1, 30, False), ("a", "-", 5, 9, False), ("a", "-", 5, 9, False)]
+    rows += [("a", "-", 2, 8, True), ("a", "-", 2, 8, False), ("b", None, 4, 6, True), ("b", "+", 4, 6, None), ("b", "+", 4, None, False), ("b", "+", 8, None, True)]
+    checked = I.check_annotations(make(rows, "assembly_id string, strand string, cds_start long, cds_end long, certain boolean"))
+    wanted = [("a", "+", 1, 60, True), ("a", "+", 1, 30, False), ("a", "-", 5, 9, False), ("a", "-", 2, 8, False), ("b", None, 4, 6, True), ("b", "+", 4, None, False), ("b", "+", 8, None, None)]
+    assert sorted(map(str, checked.collect())) == sorted(str(r) for r in spark.createDataFrame(wanted, checked.schema).collect())
+    assert seen.value == len(rows)
+    lines = spark.createDataFrame([("x\ts\tCDS\t1\t9\t.\t-\t0\tID=1",), ("#x\ts\tCDS\t1\t9\t.\t-\t0\tID=1",), ("x\ty",), ("",), (None,)], "value string")
+    parsed = gff.parse_gff(lines).filter("type = 'CDS' and strand in ('+', '-') and start < 5")
+    assert plan(parsed).count("split(") == 1 and parsed.count() == 1
+    lengths = spark.createDataFrame([("a", 100), ("b", 50)], "assembly_id string, length int")
+    turned = I.flip_minus_strand(checked, lengths.groupBy("assembly_id").agg(F.max("length").alias("length")))
+    assert "BroadcastHashJoin" in plan(turned) and turned.filter("cds_start = 92 and cds_end = 96").count() == 1
