@@ -1,12 +1,20 @@
 """What must not grow faster than the input: passes over it, groupings, tasks that hold most rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from readframe.functions import errors as E
+from readframe.functions import labels as L
 from readframe.functions import metrics as M
+from readframe.functions import sequence as S
+from readframe.functions.draws import threshold
+from readframe.operators import datasets as DS
 from readframe.operators import evaluate as V
 from readframe.operators import intervals as I
 from readframe.operators import stats as T
+from readframe.queries import alignments
 from readframe.queries.catalog import QUERIES
 from readframe.session import measured, spread
 from readframe.sources import gff
@@ -138,3 +146,22 @@ def test_annotations_are_made_and_cut_once(spark, counted):
     lengths = spark.createDataFrame([("a", 100), ("b", 50)], "assembly_id string, length int")
     turned = I.flip_minus_strand(checked, lengths.groupBy("assembly_id").agg(F.max("length").alias("length")))
     assert "BroadcastHashJoin" in plan(turned) and turned.filter("cds_start = 92 and cds_end = 96").count() == 1
+
+
+def test_places_of_cds_do_not_carry_texts(spark, tmp_path, monkeypatch):
+    from readframe.queries import genomes
+
+    text = "acgt" * 30
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    records = QUERIES["cds_records"](spark, str(tmp_path)).collect()
+    assert len(records) == 3 * 4 + 3 and all(r.protein for r in records if len(r.cds_seq) > 2)
+    monkeypatch.setattr(genomes.CR, "cds_records", lambda places, reads: places)
+    made = [line for line in plan(QUERIES["cds_records"](spark, str(tmp_path))).splitlines() if "Generate explode" in line]
+    assert len(made) == 4 and not any("seq#" in line for line in made)
+
+
+def test_residues_of_odd_codons(spark):
+    rows = [("TTTATGTAANNNT TTT ÄÄÄttt",), ("AC",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "s string").select(S.translate_protein(F.col("s")).alias("p"), S.translate_model(F.col("s")).alias("m"), S.translate_protein(F.col("s")).alias("q"))
+    assert [(r.p, r.m) for r in got.collect()] == [("FM*XXXXF", "FMX" + "<unk>" * 5), ("", ""), ("", ""), (None, None)]
+    assert plan(got).count("substring") == 0
