@@ -141,11 +141,10 @@ def gap_indels(t):
 def base_masking_check(t):
     """How many bases masking leaves unknown in a read; the others equal the input, and no N is lost."""
     masked = S.mask_bases(F.col("seq"), F.col("name"), 42, 10_000)
-    rows = t("reads").select("name", "seq", masked.alias("masked"))
-    pairs = F.zip_with(F.split("seq", ""), F.split("masked", ""), lambda a, b: (b == "N") | (a == b))
-    kept = F.zip_with(F.split("seq", ""), F.split("masked", ""), lambda a, b: (a != "N") | (b == "N"))
+    bases = F.zip_with(F.split("seq", ""), F.split("masked", ""), lambda a, b: F.struct(((b == "N") | (a == b)).alias("same"), ((a != "N") | (b == "N")).alias("kept")))
+    rows = t("reads").select("name", "seq", masked.alias("masked")).withColumn("bases", bases)
     unknown = [(F.length(c) - F.length(F.translate(c, "N", ""))).cast("long").alias(n) for c, n in (("masked", "n_unknown"), ("seq", "n_before"))]
-    flags = F.forall(pairs, lambda x: x).alias("is_same_elsewhere"), F.forall(kept, lambda x: x).alias("has_only_more_n")
+    flags = F.forall("bases", lambda x: x["same"]).alias("is_same_elsewhere"), F.forall("bases", lambda x: x["kept"]).alias("has_only_more_n")
     return rows.select("name", F.length("masked").cast("long").alias("n"), *unknown, *flags)
 
 

@@ -165,3 +165,12 @@ def test_residues_of_odd_codons(spark):
     got = spark.createDataFrame(rows, "s string").select(S.translate_protein(F.col("s")).alias("p"), S.translate_model(F.col("s")).alias("m"), S.translate_protein(F.col("s")).alias("q"))
     assert [(r.p, r.m) for r in got.collect()] == [("FM*XXXXF", "FMX" + "<unk>" * 5), ("", ""), ("", ""), (None, None)]
     assert plan(got).count("substring") == 0
+
+
+def test_masking_names_the_row_once(spark):
+    reads = spark.createDataFrame([("ACGTN" * 40, "a"), ("AC" * 50, None), ("", "b"), (None, "c")], "seq string, name string")
+    masked = reads.select("seq", "name", S.mask_bases(F.col("seq"), F.col("name"), 42, 300_000).alias("m"))
+    for r in masked.collect():
+        drawn = lambda i: hashlib.md5(":".join(["42", *([r.name] if r.name else []), str(i)]).encode()).hexdigest()[:8]
+        assert r.m == (None if r.seq is None else "".join("N" if drawn(i) < threshold(0.3) else x for i, x in enumerate(r.seq)))
+    assert "concat_ws(:, 42, name" in plan(masked)
