@@ -35,10 +35,23 @@ def label_classes(reads: DataFrame) -> DataFrame:
 
 
 def label_triples(reads: DataFrame) -> DataFrame:
-    """rf0, rf1, rf2: the distinct label triples of all reads, as far as all three frames go."""
+    """rf0, rf1, rf2: the distinct label triples of all reads, as far as all three frames go.
+
+    A triple is told apart as one number: an array's distinct numbers are found by hash, structs one against all others.
+    """
     common = F.least(*[F.size(c) for c in LABELS])
     zipped = F.arrays_zip(*[F.slice(c, F.lit(1), common).alias(f) for f, c in zip(FRAMES, LABELS)])
-    return reads.select(F.explode(F.array_distinct(zipped)).alias("t")).select("t.*").distinct()
+
+    def number(triple):
+        # A label is a tinyint, or absent.
+        first, second, third = (F.coalesce(triple[f].cast("tinyint").cast("int") + 128, F.lit(256)) for f in FRAMES)
+        return (first * 257 + second) * 257 + third
+
+    # A plain explode makes Spark filter by the size of its array first, which would make the numbers a second time.
+    found = reads.select(F.explode_outer(F.array_distinct(F.transform(zipped, number))).alias("_n")).filter("_n is not null").distinct()
+    digits = [F.pmod(F.floor(F.col("_n") / 257**power), F.lit(257)) for power in (2, 1, 0)]
+    kinds = [reads.schema[c].dataType.elementType for c in LABELS]
+    return found.select(*[F.when(d != 256, d - 128).cast(kind).alias(f) for f, d, kind in zip(FRAMES, digits, kinds)])
 
 
 def number_triples(triples: DataFrame) -> DataFrame:

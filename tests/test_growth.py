@@ -174,3 +174,12 @@ def test_masking_names_the_row_once(spark):
         drawn = lambda i: hashlib.md5(":".join(["42", *([r.name] if r.name else []), str(i)]).encode()).hexdigest()[:8]
         assert r.m == (None if r.seq is None else "".join("N" if drawn(i) < threshold(0.3) else x for i, x in enumerate(r.seq)))
     assert "concat_ws(:, 42, name" in plan(masked)
+
+
+def test_triples_are_distinct_numbers(spark):
+    rows = [([0, 1, 1, None], [0, -1, -1, 5], [2, 127, 127, -128, 9]), ([], [1], [1]), (None, [1], [1])]
+    reads = spark.createDataFrame(rows, ", ".join(f"{c} array<tinyint>" for c in DS.LABELS))
+    triples = DS.label_triples(reads)
+    assert [f.dataType.typeName() for f in triples.schema] == ["byte"] * 3
+    assert sorted(map(str, map(tuple, triples.collect()))) == sorted(map(str, [(0, 0, 2), (1, -1, 127), (None, 5, -128)]))
+    assert "arrays_zip" in plan(triples) and "size(array_distinct" not in plan(triples) and "array_distinct(transform" in plan(triples)
