@@ -52,12 +52,12 @@ def codon_labels(nt_labels: Column) -> Column:
         starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(3))).otherwise(F.array().cast("array<int>"))
 
         def one(i: Column) -> Column:
-            codon = F.slice(bound, i + 1, 3)
-            return F.when(F.exists(codon, lambda x: x == 0), F.lit(0)).otherwise(_at(bound, i)).cast("tinyint")
+            broken = (_at(bound, i) == 0) | (_at(bound, i + 1) == 0) | (_at(bound, i + 2) == 0)
+            return F.when(broken, F.lit(0)).otherwise(_at(bound, i)).cast("tinyint")
 
-        return F.transform(starts, one)
+        return F.when(bound.isNotNull(), F.transform(starts, one))
 
-    return F.when(nt_labels.isNotNull(), let(nt_labels, per_codon))
+    return let(nt_labels, per_codon)
 
 
 def pad_labels(labels: Column, length: Column | int) -> Column:
@@ -247,10 +247,8 @@ def nt_labels_with_indels(read_start: Column, read_length: Column, cds: Column,
     wanted = (F.floor((read_length - frame) / 3) * 3).cast("int")
 
     def piece_labels(p: Column) -> Column:
-        moved = F.transform(
-            cds, lambda c: F.struct((c["start"] + p["shift"]).alias("start"), (c["end"] + p["shift"]).alias("end"))
-        )
-        painted = _paint(_in_frame(moved, frame_start), frame_start + p["from"], p["to"] - p["from"], 1)
+        in_frame = _in_frame(cds, frame_start - p["shift"])
+        painted = _paint(in_frame, frame_start - p["shift"] + p["from"], p["to"] - p["from"], 1)
         return F.when(p["op"] == "M", painted).otherwise(F.array_repeat(F.lit(0), p["to"] - p["from"]))
 
     labels = F.slice(F.flatten(F.transform(_matched_pieces(ops, frame), piece_labels)), F.lit(1), wanted)

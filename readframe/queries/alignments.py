@@ -293,7 +293,8 @@ def _certain(t):
 
 def _nonzero(reads, labels):
     frames = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda rf: F.struct(rf.alias("rf"), labels(rf).alias("labels")))
-    rows = reads.select("read_id", F.inline(frames)).select("read_id", "rf", F.posexplode("labels").alias("codon", "label"))
+    # Outer, as Spark filters by the size of the array of a plain inline first and would make the labels a second time.
+    rows = reads.select("read_id", F.inline_outer(frames)).select("read_id", "rf", F.posexplode("labels").alias("codon", "label"))
     return rows.filter("label != 0")
 
 

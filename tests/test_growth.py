@@ -183,3 +183,15 @@ def test_triples_are_distinct_numbers(spark):
     assert [f.dataType.typeName() for f in triples.schema] == ["byte"] * 3
     assert sorted(map(str, map(tuple, triples.collect()))) == sorted(map(str, [(0, 0, 2), (1, -1, 127), (None, 5, -128)]))
     assert "arrays_zip" in plan(triples) and "size(array_distinct" not in plan(triples) and "array_distinct(transform" in plan(triples)
+
+
+def test_frames_are_labelled_once(spark):
+    rows = [("r", 10, [(4, 33), (1, 12)], "20M1I9M"), ("s", 10, [], "30M"), ("t", 10, [(10, 39)], "9M")]
+    reads = spark.createDataFrame(rows, "read_id string, start long, cds array<struct<start:long,end:long>>, cigar string").withColumn("ops", E.parse_cigar(F.col("cigar")))
+    nt = lambda rf: L.nt_labels_with_indels(F.col("start"), F.lit(30), F.col("cds"), F.col("ops"), rf)
+    found = alignments._nonzero(reads, lambda rf: L.codon_labels(nt(rf)))
+    assert "size(transform(" not in plan(found) and plan(L_only := reads.select(L.codon_labels(nt(0)).alias("x"))).count("flatten(") == 1
+    assert sorted((r.read_id, r.rf, r.codon, r.label) for r in found.collect() if r.read_id == "r") == [
+        ("r", 0, 0, 3), *[("r", 0, i, 1) for i in range(1, 6)], ("r", 1, 7, 3),
+    ]
+    assert [r.x for r in L_only.collect()][1:] == [[0] * 10, None]
