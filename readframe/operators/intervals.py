@@ -9,7 +9,7 @@ from readframe.functions import cds as C
 from readframe.functions.bind import let
 from readframe.operators.scan import running_before
 from readframe.operators.skew import HOT_ROWS, salt_hot_keys
-from readframe.session import measured
+from readframe.session import measured, task_number
 
 PLACE = ["assembly_id", "strand"]
 
@@ -124,12 +124,14 @@ def check_annotations(annotations: DataFrame, place: list[str] = PLACE) -> DataF
     long becomes uncertain.  Uncertain input passes through without its copies.
     """
     # Certain and uncertain rows go through the same two groupings, so that what leads to them runs once: an uncertain
-    # row is a group of its own, as both of its ends are keys.
+    # row is a group of its own, as both of its ends are keys.  Rows are dealt out by their end to a named number of tasks:
+    # that serves the second grouping and the distinct, and tasks that adaptive execution merges would hold many rows.
     is_certain, is_whole = F.col("certain"), (F.pmod(F.col("cds_end") - 2 - F.col("cds_start"), F.lit(3)) == 0)
     longest = (
         annotations.filter("certain is not null")
         .groupBy(*place, "certain", "cds_start", F.when(~is_certain, F.col("cds_end")).alias("_end"))
         .agg(F.max("cds_end").alias("cds_end"))
+        .repartition(task_number(annotations), *place, "cds_end")
         .groupBy(*place, "certain", "cds_end", F.when(~is_certain, F.col("cds_start")).alias("_start"))
         .agg(F.min("cds_start").alias("cds_start"))
     )

@@ -195,3 +195,10 @@ def test_frames_are_labelled_once(spark):
         ("r", 0, 0, 3), *[("r", 0, i, 1) for i in range(1, 6)], ("r", 1, 7, 3),
     ]
     assert [r.x for r in L_only.collect()][1:] == [[0] * 10, None]
+
+
+def test_checked_annotations_come_in_a_named_number_of_tasks(spark):
+    rows = spark.createDataFrame([("a", "+", 3 * i, 3 * i + 2, True) for i in range(50)], "assembly_id string, strand string, cds_start long, cds_end long, certain boolean")
+    checked = I.check_annotations(rows)
+    assert checked.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and checked.count() == 50
+    assert plan(checked).count("Exchange hashpartitioning") == 2
