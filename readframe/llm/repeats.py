@@ -179,9 +179,8 @@ class Repeats:
 
     def _segments(self, d: int, t: int, symbols: np.ndarray, flags: np.ndarray, parts: int):
         data, size = symbols.tobytes(), symbols.itemsize
-        grams = gram_hashes(symbols.astype(np.uint64), self.gram)
-        for at, n, kind in flags.tolist():
-            minimizer = int(grams[at : at + n - self.gram + 1][least_gram(grams[at : at + self.width - self.gram + 1])])
+        minimizers = least_grams(symbols, flags["at"].astype(np.int64), self.width, self.gram)[1]
+        for (at, n, kind), minimizer in zip(flags.tolist(), minimizers.tolist(), strict=True):
             if kind == SHARED:
                 pieces = [(at, n, minimizer)]
             else:  # by window, as many windows of the same minimizer differ
@@ -211,6 +210,10 @@ class Repeats:
             yield from self._covered(head[part], [symbols[b : b + n] for b, n in zip(begin[part], head["n"][part], strict=True)], parts)
 
     def _covered(self, head: np.ndarray, pieces: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+        agreeing = np.flatnonzero(may_share_window(head["minimizer"], pieces, self.width, self.gram))
+        if not len(agreeing):
+            return
+        head, pieces = head[agreeing], [pieces[k] for k in agreeing]
         active = head["active"].astype(np.int64)
         # One place is left free behind each segment; see the methods for what they put there.
         begin = np.cumsum([0, *(len(p) + 1 for p in pieces[:-1])])
@@ -288,6 +291,46 @@ def least_gram(grams: np.ndarray) -> int:
     return int(np.argmin(grams & ~_place_mask()))
 
 
+def _runs_at(symbols: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` symbols from each start on, one run behind the other."""
+    return symbols[(starts[:, None] + np.arange(n)).ravel()].astype(np.uint64)
+
+
+def least_grams(symbols: np.ndarray, starts: np.ndarray, width: int, gram: int, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Of the window at each start, where its minimizer stands in it, and the minimizer; so many windows at a time."""
+    places, least = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64)
+    for lo in range(0, len(starts), most):
+        some = starts[lo : lo + most]
+        grams = np.zeros(len(some) * width, np.uint64)
+        grams[: len(grams) - gram + 1] = gram_hashes(_runs_at(symbols, some, width), gram)
+        grams = grams.reshape(-1, width)[:, : width - gram + 1]
+        places[lo : lo + most] = at = np.argmin(grams & ~_place_mask(), axis=1)
+        least[lo : lo + most] = grams[np.arange(len(some)), at]
+    return places, least
+
+
+def may_share_window(keys: np.ndarray, pieces: list[np.ndarray], width: int, gram: int) -> np.ndarray:
+    """Which pieces can have a window in common with another one of their key; keys come in groups.
+
+    Equal windows hold their minimizer at the same place, and of the symbols beside it one half at least on the left or the
+    other half at least on the right.  A piece that agrees on neither half with another piece of its key repeats nothing.
+    """
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    symbols, begin = np.concatenate(pieces), np.cumsum(sizes) - sizes
+    place = least_grams(symbols, begin, width, gram)[0]
+    left = (width - gram + 1) // 2
+    right = width - gram + 1 - left
+    agrees = np.zeros(len(pieces), bool)
+    for n, first, fits in ((left, place - left, place >= left), (right, place + gram, place + gram + right <= sizes)):
+        some = np.flatnonzero(fits)
+        if len(some):
+            half = gram_hashes(_runs_at(symbols, begin[some] + first[some], n), n)[::n] if n else np.zeros(len(some), np.uint64)
+            order = np.lexsort((half, keys[some]))
+            same = (keys[some][order][1:] == keys[some][order][:-1]) & (half[order][1:] == half[order][:-1])
+            agrees[some[order]] |= np.r_[same, False] | np.r_[False, same]
+    return agrees
+
+
 def _runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
     """Documents in runs of less than 2**24 symbols, for memory; a longer document makes a run of its own."""
     lo = 0

@@ -293,6 +293,39 @@ def test_repeated_words_go(spark, corpus, monkeypatch, width, hot):
         assert (r.n_words, r.n_removed, r.kept_sha256) == e
 
 
+def test_segments_that_agree_on_no_half_are_not_compared(spark, monkeypatch):
+    """Texts that share a line shorter than a window reach the named method only where a window may repeat."""
+    compared = []
+
+    def classes(joined, starts, width):
+        compared.append(int((~joined.mask).sum()))
+        return interval_dedup.long_prefix_classes(joined, starts, width)
+
+    rng = random.Random(5)
+    line, other = ("".join(rng.choices("abcdefgh ", k=30)) for _ in range(2))
+    noise = lambda n: "".join(rng.choices("ijklmnopq ", k=n))
+    texts = [noise(90) + line + noise(90) for _ in range(40)] + [noise(60) + other * 3 + noise(60 + k) for k in range(2)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], ["d", "t", "text"])
+    found = repeats.Repeats(width=50, gram=12, own=True, symbols=interval_dedup._bytes, classes=classes)
+    split = pa.Table.from_batches(found._split(1)(iter([rows]))).to_batches()
+    flags = found._judged(iter(split), 1)
+    spans = {}
+    for batch in flags:
+        for payload in batch.column("payload").to_pylist():
+            n = int(np.frombuffer(payload, "<i8", 1)[0])
+            for d, item in zip(np.frombuffer(payload, "<i8", n, 8).tolist(), np.frombuffer(payload, repeats.FLAG, n, 8 + 16 * n), strict=True):
+                spans.setdefault(d, []).append(item.tobytes())
+    flagged = rows.append_column("flags", pa.array([b"".join(spans.get(d, [])) or None for d in range(len(texts))], pa.binary()))
+    met = list(found._fetch(1)(iter([flagged])))
+    fetched = sum(int(np.frombuffer(p, repeats.SEGMENT, int(np.frombuffer(p, "<i8", 1)[0]), 8)["n"].sum()) for b in met for p in b.column("payload").to_pylist())
+    gone = list(found._compared(iter(met), 1))
+    assert fetched > 40 * 50 and gone
+    assert 0 < sum(compared) < fetched / 2
+    docs = documents(spark, texts, range(len(texts)))
+    for r, e in zip(sorted(interval_dedup.remove_repeated_bytes(docs, 50).collect(), key=lambda r: r.doc_id), bytes_removed(texts, 50), strict=True):
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == e
+
+
 @pytest.mark.parametrize("bits, n", [(8, 5_000), (24, 2**24 + 5_000)])
 def test_long_documents_split_like_short_ones(monkeypatch, bits, n):
     """Behind the places that the lower bits can hold, segments and their minimizers are those of the tail alone."""
