@@ -8,6 +8,7 @@ from readframe.functions import errors as E
 from readframe.functions import labels as L
 from readframe.operators import genomes as G
 from readframe.operators import intervals as I
+from readframe.operators.read_arrays import nonzero_labels
 from readframe.operators import frameshift as X
 from readframe.queries.inputs import READ_LENGTH
 from readframe.queries.registry import query
@@ -326,10 +327,7 @@ def _nonzero(reads, labels):
 )
 def frame_labels_with_indels(t):
     """Non-zero codon labels of all reads through their CIGAR."""
-    reads = I.attach_cds(_placed(t), _certain(t), READ_LENGTH)
-    reads = reads.withColumn("ops", E.parse_cigar(F.col("cigar")))
-    labels = lambda rf: L.nt_labels_with_indels(F.col("start"), F.lit(READ_LENGTH), F.col("cds"), F.col("ops"), rf)
-    return _nonzero(reads, lambda rf: L.codon_labels(labels(rf)))
+    return nonzero_labels(I.attach_cds(_placed(t), _certain(t), READ_LENGTH), READ_LENGTH)
 
 
 # A walk over the breaks of a call: its indels in order, then the base behind its end.
