@@ -91,6 +91,43 @@ def exact_match_counts(truth: DataFrame, pred: DataFrame, keys: list[str] = READ
     return _totals(per_key, keys)
 
 
+def _side_by_side(truth: DataFrame, pred: DataFrame, models: list[str], columns: list) -> DataFrame:
+    """Both sides with 0/1 flags: ``_t`` for the truth, which is there once, and ``_p0`` .. for the models' predictions."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    none = [zero.alias(f"_p{i}") for i in range(len(models))]
+    of_model = [F.when(F.col("model") == m, one).otherwise(zero).alias(f"_p{i}") for i, m in enumerate(models)]
+    return truth.select(*columns, one.alias("_t"), *none).unionByName(pred.select(*columns, zero.alias("_t"), *of_model))
+
+
+def _model_totals(per_key: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
+    """tp, fp, fn per ``keys``, model among them, from the numbers of truths and of each model's predictions.
+
+    A model has a row wherever there is a truth or a prediction of its own.
+    """
+    sides = [f"_p{i}" for i in range(len(models))]
+    hits = [F.sum(F.least("_t", side)).alias(f"{side}_tp") for side in sides]
+    sums = per_key.groupBy(*[k for k in keys if k != "model"]).agg(*[F.sum(c).alias(c) for c in ("_t", *sides)], *hits)
+
+    def counts(m: str, side: str) -> Column:
+        tp = F.col(f"{side}_tp")
+        row = F.struct(F.lit(m).alias("model"), tp.alias("tp"), (F.col(side) - tp).alias("fp"), (F.col("_t") - tp).alias("fn"))
+        return F.when((F.col("_t") > 0) | (F.col(side) > 0), row)
+
+    rows = F.array_compact(F.array(*[counts(m, side) for m, side in zip(models, sides)]))
+    return sums.select(*[k for k in keys if k != "model"], F.inline(rows)).select(*keys, "tp", "fp", "fn")
+
+
+def exact_match_counts_by_model(truth: DataFrame, pred: DataFrame, models: list[str], keys: list[str] = READ) -> DataFrame:
+    """What :func:`exact_match_counts` gives for the truth of each model, with the models' counts in one row of a place.
+
+    ``truth`` has no model, so it is there once; ``models`` names all that ``pred`` has, and ``keys`` holds model.
+    """
+    place = ["testset", "accession", "read_name", "start", "end", "rf_code"]
+    stacked = _side_by_side(truth, pred, models, [*place[:-1], F.coalesce("rf", F.lit(BROKEN)).alias("rf_code")])
+    numbers = [F.sum(c).alias(c) for c in ("_t", *[f"_p{i}" for i in range(len(models))])]
+    return _model_totals(stacked.groupBy(*place).agg(*numbers), models, keys)
+
+
 Cds = tuple[list[tuple[int, int, int]], int]  # fragments (start, end, rf) and the number of copies
 
 
@@ -299,6 +336,18 @@ def boundary_counts(truth: DataFrame, pred: DataFrame, read_length: Column, keys
     return _totals(per_place, [*keys, "kind"])
 
 
+def boundary_counts_by_model(truth: DataFrame, pred: DataFrame, models: list[str], read_length: Column, keys: list[str] = GENOME) -> DataFrame:
+    """What :func:`boundary_counts` gives for the truth of each model, with the models' flags in one row of a place.
+
+    ``truth`` has no model, so it is there once; ``models`` names all that ``pred`` has, and ``keys`` holds model.
+    """
+    read = ["testset", "accession", "read_name"]
+    place = [*read, "kind", "pos", "rf_code"]
+    stacked = _side_by_side(boundary_codons(truth, read_length, read), boundary_codons(pred, read_length), models, place)
+    flags = [F.max(c).alias(c) for c in ("_t", *[f"_p{i}" for i in range(len(models))])]
+    return _model_totals(stacked.groupBy(*place).agg(*flags), models, [*keys, "kind"])
+
+
 def _closest_pairs(items: list) -> tuple[int, int]:
     """(matches, summed distance) when ever the closest truth and prediction are paired and used up.
 

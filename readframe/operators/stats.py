@@ -147,10 +147,11 @@ def holm(tests: DataFrame, family: list[str], order: list[str]) -> DataFrame:
 
 def _pair_counts(read_counts: DataFrame, models: list[str], min_genomes: int) -> DataFrame:
     """(testset, model_a, model_b, counts of a and b, n): how many reads have these counts under the two models."""
-    per_model = [
-        F.max(F.when(F.col("model") == m, F.struct("tp", "fp", "fn"))).alias(f"_m{i}") for i, m in enumerate(models)
-    ]
+    # Plain numbers are put side by side in a hash table; structs would have the reads sorted.
+    per_model = [F.max(F.when(F.col("model") == m, F.col(c))).alias(f"_{c}{i}") for i, m in enumerate(models) for c in COUNTS]
     per_read = read_counts.groupBy("testset", "accession", "read_name").agg(*per_model)
+    counts = [F.struct(*[F.col(f"_{c}{i}").alias(c) for c in COUNTS]) for i in range(len(models))]
+    per_read = per_read.withColumns({f"_m{i}": F.when(F.col(f"_tp{i}").isNotNull(), x) for i, x in enumerate(counts)})
     # Reads of a genome with equal counts go on as one row, made once: which genomes count follows from the same rows.
     alike = checkpointed(per_read.groupBy("testset", "accession", *[f"_m{i}" for i in range(len(models))]).agg(F.count("*").alias("n")))
     zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")])

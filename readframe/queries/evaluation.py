@@ -51,8 +51,13 @@ def _whole(t):
     return truth, V.whole_cds(t("pred"), V.READ)
 
 
+def _sides(t):
+    """Whole CDSs with the truth once for all models."""
+    return V.whole_cds(t("truth"), READ_KEYS), V.whole_cds(t("pred"), V.READ)
+
+
 def _counts(t, keys=V.GENOME):
-    return V.exact_match_counts(*_whole(t), keys)
+    return V.exact_match_counts_by_model(*_sides(t), MODELS, keys)
 
 
 @query(f"with {_MATCHED} select *, {_SCORES} from genome_counts")
@@ -290,7 +295,7 @@ def codon_scores(t):
     select model, testset, accession, kind, cast(sum(p * t) as bigint) as tp, cast(sum(p * (1 - t)) as bigint) as fp, cast(sum(t * (1 - p)) as bigint) as fn from cells group by all"""
 )
 def start_stop_detection(t):
-    return V.boundary_counts(*_whole(t), F.lit(READ_LENGTH))
+    return V.boundary_counts_by_model(*_sides(t), MODELS, F.lit(READ_LENGTH))
 
 
 # Greedy matches as a walk over the pairs of a read in the order of choice.

@@ -202,3 +202,45 @@ def test_checked_annotations_come_in_a_named_number_of_tasks(spark):
     checked = I.check_annotations(rows)
     assert checked.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and checked.count() == 50
     assert plan(checked).count("Exchange hashpartitioning") == 2
+
+
+def scattered(spark):
+    """Truth and predictions with copies, chains, a read and a genome of one side only, null keys and a model without calls."""
+    truth = [("t", g, f"r{i % 9}", f"c{i % 4}" if i % 3 == 0 else None, 1 + 3 * (i % 7), 30 + 3 * (i % 5), i % 3) for i in range(60) for g in ("g1", "g2")]
+    truth += [("t", "g3", "r1", None, 1, 30, 0), ("t", None, "r1", None, 1, 30, 0), ("t", "g1", None, None, 4, 33, 1), ("t", "g1", "r1", None, None, 33, None)]
+    pred = [(m, *row[:-2], row[-2] + 3 * (k % 2 == i), row[-1]) for i, m in enumerate("ab") for k, row in enumerate(truth) if k % (5 + i)]
+    pred += [("a", "t", "g4", "r1", None, 1, 30, 0)]
+    pred = [tuple(row) for row in pred if row[6] is not None]
+    return spark.createDataFrame(truth, SPANS), spark.createDataFrame(pred, "model string, " + SPANS), ["a", "b", "none"]
+
+
+def test_models_side_by_side_count_as_one_by_one(spark):
+    truth, pred, models = scattered(spark)
+    ours, theirs = V.whole_cds(truth, V.READ[1:]), V.whole_cds(pred, V.READ)
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    for keys in (V.READ, V.GENOME, ["testset", "model"]):
+        found = V.exact_match_counts_by_model(ours, theirs, models, keys)
+        assert found.columns == [*keys, "tp", "fp", "fn"]
+        assert rows(found) == rows(V.exact_match_counts(V.for_models(ours, models), theirs, keys))
+    edges = V.boundary_counts_by_model(ours, theirs, models, F.lit(300))
+    assert rows(edges) == rows(V.boundary_counts(V.for_models(ours, models), theirs, F.lit(300)).select(edges.columns))
+
+
+def test_the_truth_is_not_repeated_for_each_model(spark, tmp_path):
+    """A row of a place holds all models, and the counts of a read are put side by side without sorting the reads."""
+    for name in ("exact_match_metrics", "start_stop_detection", "gc_rank_correlation", "ablation_sweep"):
+        assert name in QUERIES
+    truth, pred, models = scattered(spark)
+    found = V.exact_match_counts_by_model(V.whole_cds(truth, V.READ[1:]), V.whole_cds(pred, V.READ), models)
+    assert "explode(array(a, b, none))" not in plan(found) and "_p2" in plan(found)
+    counts = spark.createDataFrame([(m, "t", f"g{i}", "r", 1, 0, i) for m in "ab" for i in range(6)] + [("a", "t", "g1", "s", 2, 2, 2)], "model string, testset string, accession string, read_name string, tp long, fp long, fn long")
+    vectors = T._pair_counts(counts, ["a", "b"], 5)
+    assert sorted((tuple(r.a), tuple(r.b), r.n) for r in vectors.collect()) == sorted([((1, 0, i), (1, 0, i), 1) for i in range(6)] + [((2, 2, 2), (0, 0, 0), 1)])
+
+
+def test_counts_of_a_read_need_no_sort(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(T, "checkpointed", lambda df: kept.append(plan(df)) or df)
+    counts = spark.createDataFrame([("a", "t", "g", "r", 1, 0, 0)], "model string, testset string, accession string, read_name string, tp long, fp long, fn long")
+    T._pair_counts(counts, ["a", "b"], 1)
+    assert "SortAggregate" not in kept[0] and "HashAggregate" in kept[0]
